@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +40,6 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by reliable files in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a staged table whose readers are done."""
     jvm = spark._jvm
@@ -125,4 +120,4 @@ class Pieces:
 
 def flattened(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
     lens = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    return np.fromiter((x for one in lists for x in one), dtype=np.uint32, count=int(lens.sum())), lens
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(lens.sum())), lens

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from gridloom.llm import quality_rules
 from gridloom.llm.bpe import op4_byte_bpe
+from gridloom.llm.decontaminate import op2_greedy_tiling
 from gridloom.llm.quality_rules import op5_quality_rules
+from gridloom.llm.simhash import op6_simhash_pigeonring
 from gridloom.llm.sharding import op7_byte_prefix_shards
 from gridloom.llm.token_store import op1_rans_token_store
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_store, op4_byte_bpe, op5_quality_rules, op7_byte_prefix_shards)}
+QUERIES = {f.__name__: f for f in (op1_rans_token_store, op2_greedy_tiling, op4_byte_bpe, op5_quality_rules, op6_simhash_pigeonring, op7_byte_prefix_shards)}
 ORACLES = {"op5_quality_rules": quality_rules.ORACLE_SQL}
