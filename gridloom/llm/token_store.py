@@ -20,10 +20,12 @@ tables without rows. Other columns are left out. A long document makes one long
 
 from __future__ import annotations
 
+import contextlib
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -33,48 +35,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import rans
-from gridloom.llm._shared import Pieces, Words, dropped, flattened, new_path, slices, starts_of, sums, table
+from gridloom.llm._shared import Pieces, Words, dropped, flattened, gather, new_path, slices, starts_of, sums, table
 
 #: Ids in a block, about.
 BLOCK = 1 << 18
 #: Words that a worker keeps with their ids; beyond it the cache begins anew.
-CACHED = 500_000
+CACHED = 700_000
 #: A stop after a letter or digit and before a space begins and ends a piece of its own.
-_STOP = re.compile(r"(?<=[^\W_])([.,])(?=[ \n])")
-_BREAKS = str.maketrans("\n\t\r", "   ")
+_STOP = re.compile(r"[.,](?=[ \n])(?<=[^\W_].)")
+#: Words that a tokenizer which lower-cases, composes and cuts between letters and others leaves as they are.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 IDS_SCHEMA = "doc_id long, n_tokens long, packed binary"
 BLOCK_SCHEMA = "part int, seq int, part_start long, doc_ids binary, doc_nulls binary, doc_lens binary, n_tokens long, states binary, offsets binary, words binary, words_crc32 long, ids_crc32 long"
 
 
 class WordCache:
-    """Ids of texts by the tokenizers library, with a cache of words."""
+    """Ids of texts by the tokenizers library, with a cache of words, for a vocabulary that lower-cases and drops white space."""
 
     def __init__(self, path: str, cached: int = CACHED) -> None:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
+        self.tokenizer, self.plain, self.cached = Tokenizer.from_file(path), Tokenizer.from_file(path), cached
+        self.plain.normalizer = None  # for plain words, which its steps would not change
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.words, self.pieces = Words(), Pieces()
 
+    def _add(self, words: list[str]) -> None:
+        plain = np.fromiter((m is not None for m in map(_PLAIN, words)), dtype=bool, count=len(words))
+        some, rest = list(compress(words, plain)), list(compress(words, ~plain))
+        found = self.plain.encode_batch_fast(some, add_special_tokens=False) + self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        ids, lens = flattened([e.ids for e in found])
+        order = np.empty(len(words), dtype=np.int64)
+        order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
+        self.pieces.add(gather(ids, starts_of(lens)[order], lens[order]), lens[order])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if len(self.words) > self.cached:
             self.words, self.pieces = Words(), Pieces()
-        numbers, counts, look = [], [], self.words.__getitem__
+        numbers, counts, look = [np.zeros(0, dtype=np.int64)], [], self.words.__getitem__
         for text in texts:
-            own = _STOP.sub(r" \1", text).translate(_BREAKS).split(" ")
+            with contextlib.suppress(UnicodeEncodeError):
+                text.encode("latin-1")
+                text = text.lower()  # one to one among these characters
+            own = _STOP.sub(r" \g<0>", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             counts.append(len(own))
             numbers.append(np.fromiter(map(look, own), dtype=np.int64, count=len(own)))
         if self.words.fresh:
-            self.pieces.add(*flattened([e.ids for e in self.tokenizer.encode_batch_fast(self.words.fresh, add_special_tokens=False)]))
+            self._add(self.words.fresh)
             self.words.fresh.clear()
-        if not texts:
-            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
         at = np.concatenate(numbers)
-        return self.pieces.take(at), sums(self.pieces.lens[at], np.array(counts))
+        return self.pieces.take(at), sums(self.pieces.lens[at], np.array(counts, dtype=np.int64))
 
 
 @lru_cache(maxsize=2)
