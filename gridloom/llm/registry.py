@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import quality_rules
+from gridloom.llm import chat_rotation, quality_rules
 from gridloom.llm.bpe import op4_byte_bpe
+from gridloom.llm.chat_rotation import op3_perspective_rotation
 from gridloom.llm.decontaminate import op2_greedy_tiling
 from gridloom.llm.langid import op10_nearest_centroid
 from gridloom.llm.pii import op9_pii_anchors
@@ -13,5 +14,5 @@ from gridloom.llm.sharding import op7_byte_prefix_shards
 from gridloom.llm.simhash import op6_simhash_pigeonring
 from gridloom.llm.token_store import op1_rans_token_store
 
-QUERIES = {f.__name__: f for f in (op1_rans_token_store, op2_greedy_tiling, op4_byte_bpe, op5_quality_rules, op6_simhash_pigeonring, op7_byte_prefix_shards, op8_lsa_neighbours, op9_pii_anchors, op10_nearest_centroid)}
-ORACLES = {"op5_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_rans_token_store, op2_greedy_tiling, op3_perspective_rotation, op4_byte_bpe, op5_quality_rules, op6_simhash_pigeonring, op7_byte_prefix_shards, op8_lsa_neighbours, op9_pii_anchors, op10_nearest_centroid)}
+ORACLES = {"op3_perspective_rotation": chat_rotation.ORACLE_SQL, "op5_quality_rules": quality_rules.ORACLE_SQL}
