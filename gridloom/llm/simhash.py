@@ -102,7 +102,8 @@ def grouped(docs: DataFrame, most: int = 64) -> DataFrame:
     roots = components(links(nodes.select("fp"), most))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select(F.col("node").alias("fp"), "component")
-    label = nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    # written, so that the join below stands alone and a hot fingerprint's rows can be split
+    label, _ = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "labels")
     return prints.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
