@@ -34,7 +34,7 @@ _SPACE = r"\t-\r \x85\xa0  -     　"
 #: What a byte-level tokenizer cuts texts into before the merges (fixed by the vocabulary file's kind).
 _CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NEVER = np.int64(1 << 40)
-CACHED = 500_000
+CACHED = 300_000
 
 
 def byte_chars() -> list[str]:

@@ -28,6 +28,8 @@ from gridloom.llm._shared import slices, staged, starts_of, table
 from gridloom.llm.components import components
 
 SEGMENTS, BITS, WITHIN = 16, 4, 2
+#: Characters whose shingles' bits are held at a time.
+PART_CHARS = 300_000
 #: Segments that must agree fully: the longest chain that may hold no difference.
 EXACT = -(-SEGMENTS // WITHIN) - 1
 
@@ -44,7 +46,7 @@ def fingerprint(texts: list[str]) -> np.ndarray:
     some = np.flatnonzero(lens)
     if len(some):
         bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        votes = np.add.reduceat(bits, starts_of(lens[some]), axis=0, dtype=np.int64)
+        votes = np.add.reduceat(bits, starts_of(lens[some]), axis=0, dtype=np.int32)
         out[some] = np.packbits(2 * votes > lens[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
     return out
 
@@ -54,7 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=PART_CHARS):
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fingerprint(texts).view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
