@@ -1,38 +1,6 @@
-"""The queries of this package by name, and SQL for DuckDB that gives the same rows."""
+"""All queries of this package by name, and SQL for DuckDB that gives the same rows."""
 
-from __future__ import annotations
+from gridloom.plans import graphs, parsing, placing, scenarios, telemetry  # noqa: F401
+from gridloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-@query("""
-WITH last AS (
-  SELECT date_trunc('day', ts) AS tick, event_type AS meter, max_by(value, (ts, event_id)) AS p_kw
-  FROM events GROUP BY 1, 2)
-SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters, round(sum(p_kw), 6) AS p_kw
-FROM last GROUP BY 1 HAVING count(*) >= 5""")
-def tick_barrier_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks for which all five meters have reported, with each meter's last reading."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    last = events.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("tick"), F.col("event_type").alias("meter")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("p_kw"))
-    return last.groupBy("tick").agg(F.count("*").alias("n_meters"), F.round(F.sum("p_kw"), 6).alias("p_kw")).filter("n_meters >= 5")
+__all__ = ["ORACLES", "QUERIES"]
