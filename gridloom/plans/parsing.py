@@ -14,12 +14,12 @@ from gridloom.sources.statements import like_resolved, merged
 
 @query(r"""
 SELECT page_id, nullif(regexp_extract(url, '^https?://([^/:]+)', 1), '') AS host, nullif(regexp_extract(url, '^https?://[^/]+/([a-z]{2})/', 1), '') AS lang,
-  TRY_CAST(nullif(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1), '') AS BIGINT) AS item, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS page
+  nullif(regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1), '') AS item, nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), '') AS page
 FROM pages""")
 def url_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named parts of a text, null where an optional one is missing."""
     u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", T.found(u, r"^https?://([^/:]+)").alias("host"), T.found(u, r"^https?://[^/]+/([a-z]{2})/").alias("lang"), T.found(u, r"/([0-9]+)(?:[?#]|$)").try_cast("long").alias("item"), T.found(u, r"[?&]page=([0-9]+)").alias("page"))
+    return table(spark, sf_dir, "pages").select("page_id", T.found(u, r"^https?://([^/:]+)").alias("host"), T.found(u, r"^https?://[^/]+/([a-z]{2})/").alias("lang"), T.found(u, r"/([0-9]+)(?:[?#]|$)").alias("item"), T.found(u, r"[?&]page=([0-9]+)").alias("page"))
 
 
 @query(r"""

@@ -114,10 +114,10 @@ def ci_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(s, "n").select("c_custkey", "s_suppkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order."""
-    return A.table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(A.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without an order in progress."""
+    return A.table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(A.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS matched")
