@@ -59,6 +59,20 @@ def idf_of(found: np.ndarray, n: int) -> np.ndarray:
     return (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
 
 
+def first_by_hash(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """doc_id, kind of at most `most` ids of each kind, those with the least hashes of doc_id.
+
+    A cut of the hashes, from the kind's count, leaves about twice as many before a window ranks them, so no task sees more, however large the table.
+    """
+    counts = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}  # a row for each language or label
+    if not counts:
+        return rows.select("doc_id", kind)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (2 * most + 50) / n)]), F.col(kind))
+    near = rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < share).select("doc_id", kind).distinct()
+    first = W.partitionBy(kind).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).select("doc_id", kind)
+
+
 def vectors_of(sample: DataFrame, kind: str, bins: int, gram: int, lower: bool) -> pd.DataFrame:
     """kind, counts (float32 bytes) of the rows of a bounded sample (doc_id, text, kind), one for each doc_id, in a fixed order."""
 
@@ -101,9 +115,7 @@ def fitted(docs: DataFrame, bins: int = BINS, gram: int = GRAM, centroids: int =
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     found, n = document_frequencies(known, bins, gram, lower=True)
     idf = idf_of(found, n)
-    # the window ranks ids alone, and each task sends it per_lang of a language at most
-    first = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_lang).select("doc_id", "lang").distinct()
+    ids = first_by_hash(known.select("doc_id", "lang"), "lang", per_lang)
     sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # at most per_lang rows of each language
     rows = vectors_of(sample, "lang", bins, gram, True)
     if not len(rows):

@@ -20,12 +20,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._shared import slices, table
 from gridloom.llm.features import ngram_counts, unit
-from gridloom.llm.langid import held_out, idf_of
+from gridloom.llm.langid import first_by_hash, held_out, idf_of
 
 BINS, DIMENSIONS, NEIGHBOURS, POWER, PER_LABEL = 2048, 64, 15, 16, 2000
 #: Terms of repetition, and what their idf is multiplied by, as three terms stand against many bigrams.
@@ -83,8 +82,7 @@ def fitted(docs: DataFrame, labels: DataFrame, bins: int = BINS, dimensions: int
     idf[bins:] *= BOOST
     known = labels.filter(F.col("quality").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = known.join(docs.select("doc_id").distinct(), "doc_id")  # a label without its document takes no place in the sample
-    first = W.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_label).select("doc_id", "quality")
+    ids = first_by_hash(known, "quality", per_label)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most 2 x per_label ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
