@@ -27,35 +27,56 @@ _END = "<|im_end|>"
 
 
 def rotated(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """conv_id, perspective, segment, n_turns, start, text, mask from turns (conv_id, turn, role, text)."""
-    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """conv_id, perspective, segment, n_turns, start, text, mask from turns (conv_id, turn, role, text).
+
+    Texts are shuffled once, to their segments; places come from a table of lengths, which is joined to them there.
+    """
+    said = turns.select(F.col("conv_id").isNull().alias("_none"), F.coalesce("conv_id", F.lit("0").cast(turns.schema["conv_id"].dataType)).alias("_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = said.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
+    talk = ["_none", "_id"]
     # turns of one segment; their number is bounded unless rows repeat
-    parts = said.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = said.filter("role <> 'system'").groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("speakers"))
-    seen = parts.join(speakers, parts["conv_id"].eqNullSafe(speakers["conv_id"])).drop(speakers["conv_id"])
-    seen = seen.select("conv_id", "segment", "turns", F.explode("speakers").alias("perspective"))
-
-    def head(t: Column) -> Column:
-        as_user = F.concat(F.lit("<|im_start|>user name="), t["role"])
-        return F.concat(F.when(t["role"] == F.col("perspective"), F.lit("<|im_start|>assistant")).when(t["role"] == "system", F.lit("<|im_start|>system")).otherwise(as_user), F.lit("\n"))
-
-    body = lambda t: F.concat(t["text"], F.lit(_END))
-    seen = seen.withColumn("pieces", F.transform("turns", lambda t: F.struct(head(t).alias("head"), body(t).alias("body"), (t["role"] == F.col("perspective")).alias("own"))))
-    seen = seen.withColumn("text", F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), ""))
+    parts = said.groupBy(*talk, "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    seen = parts.join(_views(said, talk), [*talk, "segment"]).select(*talk, "segment", "turns", F.explode("views").alias("view"))
+    seen = seen.withColumn("perspective", F.col("view.perspective"))
+    pieces = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(_END)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
+    seen = seen.withColumn("pieces", pieces)
     # each body's place: a running length over the pieces
     step = lambda a, p: F.struct(
         (a["at"] + F.length(p["head"]) + F.length(p["body"]) + 1).alias("at"),
         F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))))).otherwise(a["spans"]).alias("spans"),
     )
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    seen = seen.withColumn("spans", F.aggregate("pieces", none, step, lambda a: a["spans"]))
-    seen = seen.select("conv_id", "perspective", "segment", F.size("turns").cast("long").alias("n_turns"), "text", "spans", F.length("text").cast("long").alias("size"))
-    # the window reads a row for each segment of a conversation
-    before = W.partitionBy("conv_id", "perspective").orderBy("segment")
-    seen = seen.withColumn("start", F.sum("size").over(before) - F.col("size"))
-    mask = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
-    return seen.select("conv_id", "perspective", "segment", "n_turns", "start", "text", mask.alias("mask"))
+    first = F.struct(F.col("view.start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    return seen.select(
+        F.when(~F.col("_none"), F.col("_id")).alias("conv_id"),
+        "perspective",
+        "segment",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.col("view.start").alias("start"),
+        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
+        F.aggregate("pieces", first, step, lambda a: a["spans"]).alias("mask"),
+    )
+
+
+def _head(role: Column, perspective: Column) -> Column:
+    as_user = F.concat(F.lit("<|im_start|>user name="), role)
+    return F.concat(F.when(role == perspective, F.lit("<|im_start|>assistant")).when(role == "system", F.lit("<|im_start|>system")).otherwise(as_user), F.lit("\n"))
+
+
+def _views(said: DataFrame, talk: list[str]) -> DataFrame:
+    """For each segment its perspectives, with the characters of the segments before it in each. Counts and lengths alone meet here."""
+    role, nobody = F.col("role"), F.lit(None).cast("string")
+    as_user = F.length(_head(role, nobody)) + F.length("text") + len(_END) + 1
+    per = said.groupBy(*talk, "segment", "role").agg(F.count("*").alias("own"), F.sum(as_user).alias("size"))
+    speakers = per.filter("role <> 'system'").select(*talk, role.alias("perspective")).distinct()
+    sizes = per.groupBy(*talk, "segment").agg(F.sum("size").alias("size"))
+    own = per.select(*talk, "segment", role.alias("perspective"), "own")
+    grid = sizes.join(speakers, talk).join(own, [*talk, "segment", "perspective"], "left")
+    # as the assistant, a speaker's turns have another head
+    less = F.length(_head(F.col("perspective"), nobody)) - F.length(_head(F.col("perspective"), F.col("perspective")))
+    grid = grid.withColumn("size", F.col("size") - F.coalesce("own", F.lit(0)) * less)
+    before = W.partitionBy(*talk, "perspective").orderBy("segment")
+    grid = grid.withColumn("start", (F.sum("size").over(before) - F.col("size")).cast("long"))
+    return grid.groupBy(*talk, "segment").agg(F.collect_list(F.struct("perspective", "start")).alias("views"))  # one for each speaker
 
 
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:

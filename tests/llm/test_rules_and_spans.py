@@ -105,7 +105,7 @@ def test_added_spans_and_masks(spark):
 
 
 def brute_chat(turns):
-    said = sorted(((-1 if t is None else t), r or "unknown", x or "") for t, r, x in turns)
+    said = sorted(((-1 if t is None else t), "unknown" if r is None else r, x or "") for t, r, x in turns)
     out = {}
     for who in {r for _, r, _ in said} - {"system"}:
         text, mask = "", []
@@ -123,6 +123,7 @@ def test_rotation(spark):
     talks = {c: [(i, rng.choice(["ann", "bob", "système", "system", None]), rng.choice(["hi é", "", None, "a b\nc"])) for i in range(n)] for c, n in ((1, 3), (2, 200), (3, 1))}
     talks[4] = [(0, "ann", "x"), (0, "ann", "x"), (None, "bob", "first")]
     talks[5] = [(0, "system", "alone")]
+    talks[0] = [(0, "", "no name"), (70, "ann", "y"), (200, "", "z")]
     talks[None] = [(0, "ann", "no id")]
     rows = [(c, *t, 1, "x") for c, ts in talks.items() for t in ts]
     got = chat_rotation.rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment int, mask string")).orderBy("segment").collect()
