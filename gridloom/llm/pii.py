@@ -159,6 +159,6 @@ def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans for every document, from the operator's spans."""
     out = located(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    base = told(F.filter("spans", lambda s: s["kind"].isin(*BASE)))
-    return out.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]
+    return out.select("doc_id", *counts, F.sha2(told(of(*BASE)), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import zlib
@@ -104,6 +105,17 @@ def test_added_spans_and_masks(spark):
     assert pii.masked(docs(spark, [])).count() == pii.located(docs(spark, [])).count() == 0
 
 
+def test_spans_query(spark):
+    got = {r["doc_id"]: r for r in registry.QUERIES["op9_pii_anchors"](spark, SF).collect()}
+    texts = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    assert len(got) == len(texts) and any(r["spans"] for r in got.values())
+    for i, t in texts:
+        want, all_spans = brute_spans(t or ""), pii.spans(t or "")
+        told = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in xs)
+        assert got[i]["base_sha256"] == hashlib.sha256(told(want).encode()).hexdigest() and got[i]["spans"] == told(all_spans)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == [sum(s[0] == k for s in want) for k in pii.BASE]
+
+
 def brute_chat(turns):
     said = sorted(((-1 if t is None else t), "unknown" if r is None else r, x or "") for t, r, x in turns)
     out = {}
