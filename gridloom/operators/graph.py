@@ -46,18 +46,19 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
     return levels
 
 
-def rooted_by_parent(parents: DataFrame, most_levels: int = 10_000) -> DataFrame:
-    """The same from node, parent where a root's parent is null: levels by joins on the parent."""
-    level = staged(parents.filter("parent IS NULL").select("node", "parent", F.lit(0).alias("depth"), F.array("node").alias("ancestors")))
-    below = parents.filter("parent IS NOT NULL")
-    levels = level
-    for _ in range(most_levels):
-        up = level.select(F.col("node").alias("p"), "depth", "ancestors")
-        level = staged(below.join(up, F.col("parent") == F.col("p")).select("node", "parent", (F.col("depth") + 1).alias("depth"), F.concat("ancestors", F.array("node")).alias("ancestors")))
-        if level.isEmpty():
-            break
-        levels = levels.unionByName(level)
-    return levels
+def rooted_by_parent(parents: DataFrame, most_rounds: int = 40) -> DataFrame:
+    """The same but for path, from node, parent where a root's parent is null; nodes that no root leads to are left out.
+
+    Ways double in length each round, so a tree of depth d takes about log2(d) joins. Raises ValueError on a cycle.
+    """
+    state = staged(parents.select("node", "parent", F.col("parent").alias("up"), F.col("parent").alias("above"), F.array("node").alias("ancestors")))
+    for _ in range(most_rounds):
+        if state.filter("up IS NOT NULL").isEmpty():
+            return state.filter("above IS NULL").select("node", "parent", (F.size("ancestors") - 1).alias("depth"), "ancestors")
+        more = state.select(F.col("node").alias("n"), F.col("up").alias("far"), F.col("above").alias("over"), F.col("ancestors").alias("first"))
+        met = F.col("n").isNotNull()
+        state = staged(state.join(more, F.col("up") == F.col("n"), "left").select("node", "parent", F.col("far").alias("up"), F.when(met, F.col("over")).otherwise(F.col("above")).alias("above"), F.when(met, F.concat("first", "ancestors")).otherwise(F.col("ancestors")).alias("ancestors")))
+    raise ValueError("parents form a cycle")
 
 
 def subtree_sums(tree: DataFrame, values: DataFrame, node: str, value: str, name: str = "downstream") -> DataFrame:

@@ -115,6 +115,14 @@ def test_rooted_with_cycles(spark, seed):
     assert {r["node"]: r["branch"] for r in graph.branches(tree).collect()} == branch
 
 
+def test_rooted_by_parent(spark):
+    rows = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 30)] + [("x", "5"), ("lost", "nowhere"), ("lost2", "lost")]
+    got = {r["node"]: r for r in graph.rooted_by_parent(spark.createDataFrame(rows, "node string, parent string")).collect()}
+    assert set(got) == {str(i) for i in range(30)} | {"x"} and got["x"]["depth"] == 6 and got["29"]["ancestors"] == [str(i) for i in range(30)]
+    with pytest.raises(ValueError):
+        graph.rooted_by_parent(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"), 5)
+
+
 def test_numbered_groups(spark):
     rows = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(50)], "g string, i int")
     got = numbered(rows, "i", by=("g",)).collect()
