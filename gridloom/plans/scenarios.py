@@ -84,6 +84,18 @@ def monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.round(F.avg("value"), 6).alias("kw"), F.round(F.max("value"), 6).alias("peak"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 0.48 ELSE 4.16 END AS base_kv FROM part")
+def voltage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bus's voltage base by its zone."""
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 40, 0.48).otherwise(4.16).alias("base_kv"))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS bus, c_name FROM customer ORDER BY c_custkey DESC LIMIT 5")
+def head_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last five of keys that are text, ordered as numbers."""
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("bus"), "c_name").orderBy(F.col("bus").cast("long").desc()).limit(5)
+
+
 @query("WITH sw AS (SELECT p_partkey AS id, p_size % 5 <> 0 AS closed FROM part) SELECT closed, count(*) AS n FROM sw GROUP BY 1")
 def switch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges by whether their switch is closed."""

@@ -112,6 +112,34 @@ def rejects(stmts: DataFrame) -> DataFrame:
     return of_kind(stmts, "load").join(loads(stmts).select("file_ord", "pos"), ["file_ord", "pos"], "left_anti")
 
 
+def line_codes(stmts: DataFrame) -> DataFrame:
+    """name, i, j, r, x, c: the lower triangles of the matrices of line codes; rows are parted by |, brackets are square or round."""
+    cmd = F.col("cmd")
+
+    def cells(matrix: str) -> Column:
+        rows = F.split(found(cmd, rf"(?i)\b{matrix}\s*=\s*[\[(]([^\])]*)"), r"\|")
+        return F.flatten(F.transform(rows, lambda row, i: F.transform(F.split(F.trim(row), r"[\s,]+"), lambda v, j: F.struct((i + 1).alias("i"), (j + 1).alias("j"), v.try_cast("double").alias("v")))))
+
+    at = lambda m, cell: F.element_at(F.filter(m, lambda y: (y["i"] == cell["i"]) & (y["j"] == cell["j"])), 1)["v"]
+    made = of_kind(stmts, "linecode").select("name", *[cells(f"{m}matrix").alias(m) for m in "rxc"])
+    made = made.withColumns({m: F.coalesce(m, F.array().cast("array<struct<i:int,j:int,v:double>>")) for m in "xc"})
+    made = made.select("name", F.explode(F.transform("r", lambda q: F.struct(q["i"].alias("i"), q["j"].alias("j"), q["v"].alias("r"), F.when(F.size("x") > 0, at(F.col("x"), q)).alias("x"), F.when(F.size("c") > 0, at(F.col("c"), q)).alias("c")))).alias("m"))
+    return made.select("name", "m.*")
+
+
+def coordinates(spark: SparkSession, path: str) -> DataFrame:
+    """bus, x, y from lines of three fields parted by white space or commas."""
+    part = F.split(F.trim("value"), r"[\s,]+")
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(part[0].alias("bus"), part[1].try_cast("double").alias("x"), part[2].try_cast("double").alias("y"))
+    return rows.filter("x IS NOT NULL AND y IS NOT NULL")
+
+
+def load_shape(spark: SparkSession, path: str, interval_s: float) -> DataFrame:
+    """step, t_s, mult from a file with one multiplier a line."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", r"\R"), lambda x: F.trim(x) != "")).alias("step", "mult"))
+    return rows.select("step", (F.col("step") * interval_s).alias("t_s"), F.trim("mult").try_cast("double").alias("mult"))
+
+
 def edges(stmts: DataFrame) -> DataFrame:
     """seq, id, src, dst, device, phases, length, linecode of switches, two-bus transformers and lines; terminals without their phases."""
     bare = lambda c: F.split(F.col(c), r"\.")[0]
