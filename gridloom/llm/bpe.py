@@ -30,7 +30,7 @@ from gridloom.llm._shared import Pieces, Words, flattened, gather, slices, start
 from gridloom.llm.token_store import tokenizer_file
 
 #: White space as Unicode has it.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What a byte-level tokenizer cuts texts into before the merges (fixed by the vocabulary file's kind).
 _CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NEVER = np.int64(1 << 40)
