@@ -29,19 +29,21 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
 
     `path` orders the nodes of a level as a queue would pop them, neighbours sorted as strings; `ancestors` runs from the source to the node itself.
     A node met from several parents belongs to the first. A level is a join of the last one with the edges, written to
-    the shared folder; nodes seen before are left out, so cycles end.
+    the shared folder. near holds both directions, so neighbours lie at most a level apart: leaving out the last two levels leaves out all that was seen, and cycles end.
     """
     spark = near.sparkSession
     ranked = staged(near.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("nbr"))))
     level = staged(spark.createDataFrame([(source, None, 0, "", [source])], "node string, parent string, depth int, path string, ancestors array<string>"))
     levels = level
+    seen = level.select("node")
     for _ in range(most_levels):
         step = level.select(F.col("node").alias("parent"), "depth", "path", "ancestors").join(ranked, F.col("parent") == F.col("node"))
         step = step.select(F.col("nbr").alias("node"), "parent", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lpad(F.col("k").cast("string"), 8, "0")).alias("path"), F.concat("ancestors", F.array("nbr")).alias("ancestors"))
         best = step.groupBy("node").agg(F.min_by(F.struct("parent", "depth", "path", "ancestors"), "path").alias("b")).select("node", "b.*")
-        level = staged(best.join(levels.select("node"), "node", "left_anti"))
+        last, level = level, staged(best.join(seen, "node", "left_anti"))
         if level.isEmpty():
             break
+        seen = last.select("node").union(level.select("node"))
         levels = levels.unionByName(level)
     return levels
 
