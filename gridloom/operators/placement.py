@@ -15,10 +15,10 @@ from gridloom.operators import graph
 from gridloom.operators.order import numbered
 from gridloom.sources.shared import staged
 
-#: Weights of size, depth, downstream load and backbone; the backbone's flag counts 1.5. They sum to more than 1 by design.
+#: Weights of size, depth, downstream load and backbone, whose flag counts 1.5; they sum to more than 1 (fixed values).
 WEIGHTS = (0.30, 0.20, 0.40, 0.20)
 BACKBONE = 1.5
-#: What a load on a bus that can't be reached has.
+#: What a load on a bus that can't be reached has (fixed values).
 NO_DEPTH, NO_BRANCH = 999, -1
 
 
