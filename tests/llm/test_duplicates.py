@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 import xxhash
 
-from gridloom.llm import decontaminate, simhash
+from gridloom.llm import decontaminate, resemblance, simhash
 from gridloom.llm.components import components
 
 from .helpers import docs, wide
@@ -84,6 +84,41 @@ def test_grouped_and_deduplicated(spark):
     assert simhash.grouped(docs(spark, [])).count() == simhash.deduplicated(docs(spark, [])).count() == 0
 
 
+def runs_of_five(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
+
+
+def jaccard_groups(texts):
+    """Components of texts at 0.8 or more, by all pairs."""
+    own, root = [runs_of_five(t) for t in texts], list(range(len(texts)))
+    for i, x in enumerate(own):
+        for j in range(i):
+            if 9 * len(x & own[j]) >= 4 * (len(x) + len(own[j])):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("most", [2, 64])
+def test_near_copies_at_four_fifths(spark, most):
+    rng, texts = random.Random(5), []
+    passage = [f"common{i}" for i in range(30)]
+    for k in range(12):
+        base = [f"w{k}x{i}" for i in range(100)] + passage
+        for edits in range(8):
+            words = list(base)
+            for at in rng.sample(range(100), edits):
+                words[at] = f"new{rng.random()}"
+            texts.append(" ".join(words))
+    texts += [" ".join([*passage, *(f"own{k}y{i}" for i in range(n))]) for k in range(30) for n in [rng.randrange(2, 20)]]
+    texts += ["one two three", "One two  three", "one two four"]
+    want = jaccard_groups(texts)
+    kept = simhash.deduplicated(docs(spark, list(enumerate(texts))), most)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert 12 < len(set(want)) < len(texts) - 12
+
+
 def plain_tiling(doc, item, least):
     in_doc, in_item, total = [False] * len(doc), [False] * len(item), 0
     while True:
