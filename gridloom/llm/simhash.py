@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import resemblance
-from gridloom.llm._shared import slices, staged, starts_of, table
+from gridloom.llm._shared import dropped, slices, staged, starts_of, table
 from gridloom.llm.components import components
 
 SEGMENTS, BITS, WITHIN = 16, 4, 2
@@ -101,13 +101,8 @@ def links(nodes: DataFrame, most: int = 64) -> DataFrame:
 def grouped(docs: DataFrame, most: int = 64) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
     prints, _ = staged(fingerprints(docs), "prints")
-    return _labelled(prints, links(prints.select("fp").distinct(), most))
-
-
-def _labelled(prints: DataFrame, linked: DataFrame) -> DataFrame:
-    """prints (doc_id, fp) with component_id, from links a, b between values of fp."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(linked)
+    roots = components(links(nodes.select("fp"), most))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select(F.col("node").alias("fp"), "component")
     # written, so that the join below stands alone and a hot fingerprint's rows can be split
@@ -121,14 +116,20 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, most: int = 64) -> DataFrame:
-    """docs without near copies: of each component the row of its smallest doc_id stays, once. Rows without a doc_id stay, as nothing names them.
+    """docs without near copies: of each component one row stays, that of the smallest doc_id, then node, then hash of text. Rows without a doc_id stay, as nothing names them.
 
     A near copy shares 0.8 of its 5-word shingles or more (resemblance.py); op6's two bits of 64 would hold little below 0.99.
     """
-    found, _ = staged(resemblance.sets(docs), "sets")
-    grouped_docs = _labelled(found.select("doc_id", F.col("node").alias("fp")), resemblance.links(found, most))
-    keep = grouped_docs.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")).hint("shuffle_hash")
-    found = docs.join(keep, "doc_id").select(*docs.columns, "_rows")
-    once = found.filter("_rows = 1").drop("_rows")
-    again = found.filter("_rows > 1").drop("_rows").dropDuplicates(["doc_id"])
+    found, path = staged(resemblance.sets(docs), "sets")
+    roots = components(resemblance.links(found, most))
+    nodes = found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", F.col("first.node").alias("_node"))
+    rows = found.groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    keep, _ = staged(first.join(rows, "doc_id"), "keep")
+    dropped(docs.sparkSession, path)
+    once = docs.join(keep.filter("_rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id").select(*docs.columns)
+    # a doc_id of several rows doesn't tell which of them was chosen: their sets do
+    several = keep.filter("_rows > 1").select("doc_id", "_node")
+    again = resemblance.marked(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns), "_node").join(several, ["doc_id", "_node"])
+    again = again.groupBy("doc_id", "_node").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("_row")).select("_row.*")
     return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))

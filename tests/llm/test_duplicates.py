@@ -119,6 +119,13 @@ def test_near_copies_at_four_fifths(spark, most):
     assert 12 < len(set(want)) < len(texts) - 12
 
 
+def test_shared_doc_ids(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (3, text("c")), (3, text("d")), (4, text("e")), (4, text("e"))]
+    kept = simhash.deduplicated(wide(spark, rows))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [rows[0], rows[1], rows[2], rows[4], rows[5]]
+
+
 def plain_tiling(doc, item, least):
     in_doc, in_item, total = [False] * len(doc), [False] * len(item), 0
     while True:
