@@ -5,7 +5,7 @@ all others as named users, and the mask has the spans of the assistant's words,
 Turns of a role named `system` belong to every rendering and are nobody's perspective.
 
 A turn reads <|im_start|>assistant, <|im_start|>user name=NAME or <|im_start|>system, a line end, its text, <|im_end|> and a line end. A
-rendering comes in segments of SEGMENT turns by their number, a row for each, which together give the whole dialogue:
+rendering comes in segments of SEGMENT turns by their number, or, in a conversation where so many rows have close numbers (or none) that one would hold more, by their places; a row for each, which together give the whole dialogue:
 `text` of the segment, `start` (characters of the segments before it), and `mask`, spans (start, end) within the dialogue of each text with its <|im_end|>. So a
 conversation of any length is never gathered in one row or task; usual ones have a single segment.
 
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import table
+from gridloom.llm._shared import staged, table
 
 SEGMENT = 64
 _END = "<|im_end|>"
@@ -34,7 +34,8 @@ def rotated(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     said = turns.select(F.col("conv_id").isNull().alias("_none"), F.coalesce("conv_id", F.lit("0").cast(turns.schema["conv_id"].dataType)).alias("_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = said.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
     talk = ["_none", "_id"]
-    # turns of one segment; their number is bounded unless rows repeat
+    said = _bounded(said, talk, segment)
+    # `segment` turns at most
     parts = said.groupBy(*talk, "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     seen = parts.join(_views(said, talk), [*talk, "segment"]).select(*talk, "segment", "turns", F.explode("views").alias("view"))
     seen = seen.withColumn("perspective", F.col("view.perspective"))
@@ -57,6 +58,22 @@ def rotated(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     )
 
 
+def _bounded(said: DataFrame, talk: list[str], segment: int) -> DataFrame:
+    """said, with segments by dense places in those conversations where a segment by numbers holds too many rows. No conversation meets in one task."""
+    over, _ = staged(said.groupBy(*talk, "segment").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select(*talk).distinct(), "over")
+    if over.isEmpty():
+        return said
+    keys = [*talk, "turn", "role", "text"]
+    spread = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = said.join(over, talk, "left_semi").repartitionByRange(spread, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed, _ = staged(placed.withColumn("_part", F.shiftright("_at", 33)), "placed")
+    parts = placed.groupBy(*talk, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy(*talk).orderBy("_part")) - F.col("_n")  # a row for each partition
+    bases = parts.select(*talk, "_part", (before - F.col("_first")).alias("_base"))
+    dense = placed.join(bases, [*talk, "_part"]).withColumn("segment", F.floor((F.col("_at") + F.col("_base")) / segment).cast("long"))
+    return said.join(over, talk, "left_anti").unionByName(dense.select(*said.columns))
+
+
 def _head(role: Column, perspective: Column) -> Column:
     as_user = F.concat(F.lit("<|im_start|>user name="), role)
     return F.concat(F.when(role == perspective, F.lit("<|im_start|>assistant")).when(role == "system", F.lit("<|im_start|>system")).otherwise(as_user), F.lit("\n"))

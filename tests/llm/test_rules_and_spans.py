@@ -148,6 +148,22 @@ def test_rotation(spark):
     assert chat_rotation.rotated(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_rotation_of_piled_up_turns(spark):
+    rng = random.Random(3)
+    talk = lambda turns: [(rng.choice(turns), rng.choice(["ann", "bob", "system"]), f"t{rng.randrange(90)}") for _ in range(300)]
+    talks = {1: talk([0, 1]), 2: talk([None]), None: talk([None, 5, 900]), 3: [(0, "ann", "x"), (70, "bob", "y")]}
+    rows = [(c, *t) for c, ts in talks.items() for t in ts]
+    got = chat_rotation.rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("segment").collect()
+    assert max(r["n_turns"] for r in got) == chat_rotation.SEGMENT
+    built = {}
+    for r in got:
+        text, mask = built.setdefault((r["conv_id"], r["perspective"]), ("", []))
+        assert r["start"] == len(text)
+        built[r["conv_id"], r["perspective"]] = text + r["text"], mask + [(m["start"], m["end"]) for m in r["mask"]]
+    assert built == {(c, who): x for c, ts in talks.items() for who, x in brute_chat(ts).items()}
+    assert {r["segment"] for r in got if r["conv_id"] == 3} == {0, 1}
+
+
 def test_rotation_is_native(spark):
     plan = registry.QUERIES["op3_perspective_rotation"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
