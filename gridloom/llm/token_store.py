@@ -62,6 +62,8 @@ class WordCache:
         self.tokenizer, self.plain, self.cached = Tokenizer.from_file(path), Tokenizer.from_file(path), cached
         self.plain.normalizer = None  # for plain words, which its steps would not change
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # found in the text as it stands, so that case matters
+        self.raw = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.words, self.pieces = Words(), Pieces()
 
     def _add(self, words: list[str]) -> None:
@@ -81,7 +83,9 @@ class WordCache:
         for text in texts:
             with contextlib.suppress(UnicodeEncodeError):
                 text.encode("latin-1")
-                text = text.lower()  # one to one among these characters
+                lower = text.lower()  # one to one among these characters
+                if not any(t.lower() in lower and (t != t.lower() or lower.count(t) != text.count(t)) for t in self.raw):
+                    text = lower
             own = _STOP.sub(r" \g<0>", text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
             counts.append(len(own))
             numbers.append(np.fromiter(map(look, own), dtype=np.int64, count=len(own)))

@@ -13,6 +13,7 @@ from gridloom.llm.token_store import tokenizer_file
 from .helpers import docs, wide
 
 ODD = ["", " ", "\n\t ", "a\x1cb \x1f c\x85d e", "AaAa ΣΑΣ. ΟΔΟΣ, İstanbul ẞ", "<|endoftext|>hi<|endoftext|><|endoftext|> x <|endoftext", "don't we'll I'M\n\n\n  x  ", "日本語テキスト🙂🙂 ½²³ ٣٤ ²., ½. x", "é café. nõ, ÿ.. a., b.,. c!. d_. Ä. ß, µ º. ª ", "aaaa aaaaaaaaa", "\x00\x01", "word. " * 3000, "x" * 5000]
+ODD += ["a <|EndOfText|> b", "<|endoftext|><|ENDOFTEXT|> Don't", "x<|StartOfText|>É <|startoftext|>"]
 _rng = random.Random(4)
 ODD += ["".join(chr(_rng.choice([_rng.randrange(32, 127), _rng.randrange(0x20, 0x3000), _rng.randrange(0x1F300, 0x1F600)])) for _ in range(60)) for _ in range(100)]
 ODD += ["".join(_rng.choice("ab c'st\n\t1.,éÀ_!") for _ in range(80)) for _ in range(200)]
