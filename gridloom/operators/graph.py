@@ -30,6 +30,7 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
     `path` orders the nodes of a level as a queue would pop them, neighbours sorted as strings; `ancestors` runs from the source to the node itself.
     A node met from several parents belongs to the first. A level is a join of the last one with the edges, written to
     the shared folder. near holds both directions, so neighbours lie at most a level apart: leaving out the last two levels leaves out all that was seen, and cycles end.
+    Raises ValueError where most_levels rounds don't reach the end.
     """
     spark = near.sparkSession
     ranked = staged(near.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("nbr"))))
@@ -42,10 +43,10 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
         best = step.groupBy("node").agg(F.min_by(F.struct("parent", "depth", "path", "ancestors"), "path").alias("b")).select("node", "b.*")
         last, level = level, staged(best.join(seen, "node", "left_anti"))
         if level.isEmpty():
-            break
+            return levels
         seen = last.select("node").union(level.select("node"))
         levels = levels.unionByName(level)
-    return levels
+    raise ValueError(f"more than {most_levels} levels")
 
 
 def rooted_by_parent(parents: DataFrame, most_rounds: int = 40) -> DataFrame:

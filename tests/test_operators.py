@@ -115,6 +115,13 @@ def test_rooted_with_cycles(spark, seed):
     assert {r["node"]: r["branch"] for r in graph.branches(tree).collect()} == branch
 
 
+def test_rooted_loses_no_level(spark):
+    near = graph.adjacency(spark.createDataFrame([("0", "1"), ("1", "2"), ("2", "3")], "src string, dst string"))
+    with pytest.raises(ValueError):
+        graph.rooted(near, "0", 2)
+    assert graph.rooted(near, "0", 4).count() == 4
+
+
 def test_rooted_by_parent(spark):
     rows = [("0", None)] + [(str(i), str(i - 1)) for i in range(1, 30)] + [("x", "5"), ("lost", "nowhere"), ("lost2", "lost")]
     got = {r["node"]: r for r in graph.rooted_by_parent(spark.createDataFrame(rows, "node string, parent string")).collect()}
