@@ -11,7 +11,8 @@
 its segments are decoded side by side from the checkpoints (see rans.py).
 
 The ids are made with the tokenizers library, for each distinct word once: ids don't depend
-on what stands beyond a space or line end, so words are cached within a task.
+on what stands beyond a space or line end, so words are cached within a task. This holds for files
+with the steps of `STEPS` alone; others raise ValueError.
 
 Null texts are empty: they have the end id alone. Null doc_ids come first and stay null.
 Repeated rows and rows that share a doc_id all stay, ordered by their ids. An empty table gives
@@ -21,6 +22,7 @@ tables without rows. Other columns are left out. A long document makes one long
 from __future__ import annotations
 
 import contextlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -41,15 +43,34 @@ from gridloom.llm._shared import Pieces, Words, dropped, flattened, gather, new_
 BLOCK = 1 << 18
 #: Words that a worker keeps with their ids; beyond it the cache begins anew.
 CACHED = 700_000
-#: A stop after a letter or digit and before a space begins and ends a piece of its own.
-_STOP = re.compile(r"[.,](?=[ \n])(?<=[^\W_].)")
+#: A stop before a space and after a letter or digit that composing and lower-casing leave alone or turn into one letter begins and ends a piece of its own.
+_STOP = re.compile(r"[.,](?=[ \n])(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿ].)")
 #: Words that a tokenizer which lower-cases, composes and cuts between letters and others leaves as they are.
 _PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
+#: What a tokenizer file has to do before its merges for words to be encoded alone (fixed values).
+STEPS = {
+    "normalizer": ["NFC", {"Regex": r"\s+"}, "Lowercase"],
+    "pre_tokenizer": [{"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "ByteLevel"],
+}
+
 IDS_SCHEMA = "doc_id long, n_tokens long, packed binary"
 BLOCK_SCHEMA = "part int, seq int, part_start long, doc_ids binary, doc_nulls binary, doc_lens binary, n_tokens long, states binary, offsets binary, words binary, words_crc32 long, ids_crc32 long"
 
 
+def checked(path: str) -> str:
+    """path, if the tokenizer file there has the steps that words are encoded alone for; else ValueError."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    told = {"normalizer": (spec["normalizer"] or {}).get("normalizers", []), "pre_tokenizer": (spec["pre_tokenizer"] or {}).get("pretokenizers", [])}
+    found = {k: [step.get("pattern", step["type"]) for step in steps] for k, steps in told.items()}
+    cut = next((s for s in told["pre_tokenizer"] if s["type"] == "Split"), {})
+    odd = [t for t in spec["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or re.search(r"\s", t["content"])]
+    if found != STEPS or (cut["behavior"], cut["invert"]) != ("Removed", True) or odd or spec["truncation"] or spec["padding"] or spec["model"].get("dropout"):
+        raise ValueError(f"{path}: the token store knows files with the steps {STEPS} only")
+    return path
+
+
 class WordCache:
     """Ids of texts by the tokenizers library, with a cache of words, for a vocabulary that lower-cases and drops white space."""
 
@@ -59,7 +80,7 @@ class WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.plain, self.cached = Tokenizer.from_file(path), Tokenizer.from_file(path), cached
+        self.tokenizer, self.plain, self.cached = Tokenizer.from_file(checked(path)), Tokenizer.from_file(path), cached
         self.plain.normalizer = None  # for plain words, which its steps would not change
         self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         # found in the text as it stands, so that case matters
@@ -160,6 +181,7 @@ def loaded(table_of: DataFrame) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: int = BLOCK, parts: int | None = None) -> None:
     """Tokenize docs (doc_id, text) and write the tables `table` and `blocks` below path."""
     spark = docs.sparkSession
+    checked(tokenizer)
     stage = new_path(spark, "ids")
     tokenized(docs, tokenizer, end_id).write.option("compression", "none").parquet(stage)
     ids = spark.read.schema(IDS_SCHEMA).parquet(stage)

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
@@ -31,6 +32,23 @@ def test_word_cache_is_the_library():
     assert runs(*token_store.WordCache(tokenizer_file("word_bpe_49k.json")).encode(ODD)) == [e.ids for e in library("word_bpe_49k.json").encode_batch(ODD, add_special_tokens=False)]
 
 
+def test_every_letter_before_a_stop():
+    """All code points, and mixtures of those that composing or lower-casing take apart, before stops."""
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) not in ("Cn", "Co")]
+    changed = [c for c in chars if unicodedata.normalize("NFC", c).lower() != c]
+    texts = [f"a{c}. b{c}, {c}x.\n" for c in chars]
+    texts += ["".join(_rng.choice([*_rng.choices(changed, k=3), "a", "\u0301", "\u0307", ". ", ", ", ".\n", " ", "<|endoftext|>"]) for _ in range(12)) for _ in range(20_000)]
+    ours, theirs = token_store.WordCache(tokenizer_file("word_bpe_49k.json")), library("word_bpe_49k.json")
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        assert runs(*ours.encode(part)) == [e.ids for e in theirs.encode_batch(part, add_special_tokens=False)]
+
+
+def test_other_files_are_refused():
+    with pytest.raises(ValueError):
+        token_store.WordCache(tokenizer_file("byte_bpe_50k.json"))
+
+
 def test_merge_rounds_are_the_library():
     own, theirs = bpe.ByteBpe(tokenizer_file("byte_bpe_50k.json")), library("byte_bpe_50k.json")
     ids, lens = own.encode(ODD)
@@ -59,7 +77,7 @@ def test_scaled_keeps_rare_ids():
 
 
 def test_store(spark):
-    rows = [(5, "Hello there, hello."), (2, None), (2, ""), (9, "the end " * 900), (None, "nobody"), (5, "Hello there, hello."), (1, "<|endoftext|> x")]
+    rows = [(5, "Hello there, hello."), (2, None), (2, ""), (9, "the end " * 900), (None, "nobody"), (5, "Hello there, hello."), (1, "<|endoftext|> x"), (6, "M. İ. Yılmaz, \u0958. \u09dc, e\u0301. x")]
     path = new_path(spark, "t")
     token_store.write(wide(spark, rows), path, tokenizer_file("word_bpe_49k.json"), end_id=2, block=100)
     got = token_store.read(spark, path).orderBy("start").collect()
