@@ -10,9 +10,12 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text that one step inside a task handles at a time.
 SLICE_CHARS = 1_000_000
+#: A key with over one part in so many of all rows is hot.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df lacks."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -42,6 +53,19 @@ def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def met(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """rows joined with few (a row, or a handful, for each key), where one key may hold a large part of rows.
+
+    Keys of over 1 / HOT of all rows, of which there are less than HOT, find theirs in a table that all tasks are sent; the rest is dealt by key.
+    `rows` is read three times.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("_rows"))
+    total = rows.count()
+    hot = F.broadcast(counts.filter(F.col("_rows") * HOT > total).select(key))  # less than HOT rows
+    often = rows.join(F.broadcast(few.join(hot, key, "left_semi")), key)
+    return often.unionByName(rows.join(hot, key, "left_anti").join(few, key))
+
+
 def dropped(spark: SparkSession, path: str) -> None:
     """Delete a staged table whose readers are done."""
     jvm = spark._jvm

@@ -6,7 +6,7 @@ in the first 7, at most 1 in the first 15. So fingerprints are grouped by each s
 (28 bits), and pairs in a group are kept when the longer chains hold too, before all 64 bits are compared.
 
 Equal fingerprints are one node from the outset, so copies cost nothing. Groups of up to `most` fingerprints are compared
-within a row. The members of larger groups, which occur among many near copies, are linked exactly without pairs: each is filed under itself and the 64 fingerprints one bit away;
+within a row; larger ones that hold over a thousandth of all fingerprints are known before anything is dealt by group. The members of larger groups, which occur among many near copies, are linked exactly without pairs: each is filed under itself and the 64 fingerprints one bit away;
 two that differ in at most 2 bits share such a file, all in a file differ in at most 2 bits, and a file holds 65 at most.
 
 Null and empty texts, and texts of white space alone, have fingerprint zero and are linked like any other. Null doc_ids stay; they never name a component unless nothing else is in it (then null).
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import resemblance
-from gridloom.llm._shared import dropped, slices, staged, starts_of, table
+from gridloom.llm._shared import HOT, dropped, met, slices, staged, starts_of, table, unused
 from gridloom.llm.components import components
 
 SEGMENTS, BITS, WITHIN = 16, 4, 2
@@ -79,9 +79,11 @@ def links(nodes: DataFrame, most: int = 64) -> DataFrame:
     """Links a, b between distinct fingerprints (nodes: fp), enough to join all that differ in at most 2 bits."""
     starts = F.array(*[F.lit(i) for i in range(SEGMENTS)])
     keyed = nodes.select("fp", F.explode(starts).alias("start"))
-    keyed = keyed.select("fp", "start", F.shiftrightunsigned(_turned(F.col("fp"), F.col("start")), 64 - EXACT * BITS).alias("chain")).repartition("start", "chain")
-    sizes = keyed.groupBy("start", "chain").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(sizes, ["start", "chain"])
+    keyed = keyed.select("fp", "start", F.shiftrightunsigned(_turned(F.col("fp"), F.col("start")), 64 - EXACT * BITS).alias("chain"))
+    sizes, _ = staged(keyed.groupBy("start", "chain").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    over = (F.col("n") > most) & (F.col("n") * HOT > nodes.count())
+    hot = F.broadcast(sizes.filter(over).select("start", "chain"))  # less than HOT for each start
+    shared = keyed.join(hot, ["start", "chain"], "left_anti").join(sizes.filter(~over), ["start", "chain"])
 
     def pairs(row: Column, start: Column) -> Column:
         turned = F.transform(row, lambda f: F.struct(f.alias("f"), _turned(f, start).alias("t")))
@@ -91,7 +93,7 @@ def links(nodes: DataFrame, most: int = 64) -> DataFrame:
 
     small = shared.filter(F.col("n") <= most).groupBy("start", "chain").agg(F.collect_list("fp").alias("row"))  # at most `most`
     linked = small.select(F.explode(pairs(F.col("row"), F.col("start"))).alias("p")).select("p.a", "p.b")
-    large = shared.filter(F.col("n") > most).select("fp").distinct()
+    large = shared.filter(F.col("n") > most).select("fp").union(keyed.join(hot, ["start", "chain"], "left_semi").select("fp")).distinct()
     files = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
     filed = large.select("fp", F.explode(files).alias("file")).groupBy("file").agg(F.collect_list("fp").alias("row")).filter(F.size("row") > 1)  # at most 65
     starred = filed.select(F.array_min("row").alias("a"), F.explode("row").alias("b")).filter("a <> b")
@@ -101,13 +103,12 @@ def links(nodes: DataFrame, most: int = 64) -> DataFrame:
 def grouped(docs: DataFrame, most: int = 64) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable over links) of every row."""
     prints, _ = staged(fingerprints(docs), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    nodes, _ = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(links(nodes.select("fp"), most))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp")
     named = linked.groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select(F.col("node").alias("fp"), "component")
-    # written, so that the join below stands alone and a hot fingerprint's rows can be split
     label, _ = staged(nodes.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id")), "labels")
-    return prints.join(label, "fp").select("doc_id", "fp", "component_id")
+    return met(prints, label, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,13 +124,14 @@ def deduplicated(docs: DataFrame, most: int = 64) -> DataFrame:
     found, path = staged(resemblance.sets(docs), "sets")
     roots = components(resemblance.links(found, most))
     nodes = found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", F.col("first.node").alias("_node"))
+    node, row = unused(docs, "node"), unused(docs, "row")
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", F.col("first.node").alias(node))
     rows = found.groupBy("doc_id").agg(F.count("*").alias("_rows"))
     keep, _ = staged(first.join(rows, "doc_id"), "keep")
     dropped(docs.sparkSession, path)
     once = docs.join(keep.filter("_rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id").select(*docs.columns)
     # a doc_id of several rows doesn't tell which of them was chosen: their sets do
-    several = keep.filter("_rows > 1").select("doc_id", "_node")
-    again = resemblance.marked(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns), "_node").join(several, ["doc_id", "_node"])
-    again = again.groupBy("doc_id", "_node").agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias("_row")).select("_row.*")
+    several = keep.filter("_rows > 1").select("doc_id", node)
+    again = resemblance.marked(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns), node).join(several, ["doc_id", node])
+    again = again.groupBy("doc_id", node).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias(row)).select(f"{row}.*")
     return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))

@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -156,16 +158,44 @@ def test_tiles_are_greedy():
         assert all(doc[p : p + n] == item[q : q + n] for p, q, n in got)
 
 
-@pytest.mark.parametrize("block", [10**9, 40])
-def test_decontamination(spark, block):
+def test_tiles_of_long_repetitive_texts():
+    doc, item = np.zeros(100_000, dtype=np.int64), np.zeros(200, dtype=np.int64)
+    began = time.time()
+    assert decontaminate.tiles(doc, item) == [(0, 0, 200)]
+    assert sum(n for _, _, n in decontaminate.tiles(doc, np.zeros(99_000, dtype=np.int64))) == 99_000
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 50, 100_000)
+    assert sum(n for _, _, n in decontaminate.tiles(np.concatenate([words[50_000:], words[:50_000]]), words)) == 100_000
+    assert time.time() - began < 20
+
+
+def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     turned = "zz Eta, theta; iota kappa lambda MU? yy alpha beta gamma delta epsilon zeta!"
     rows = [(1, f"before {item} after"), (2, turned), (3, "alpha beta gamma delta"), (4, None), (5, ""), (None, item), (1, f"before {item} after"), (6, "nothing to see " * 3000)]
     bench = spark.createDataFrame([(10, item), (11, "too short"), (12, None), (None, "one two three four five six"), (10, item)], "item_id long, text string")
-    got = decontaminate.annotated(wide(spark, rows), bench, block_chars=block)
+    got = decontaminate.annotated(wide(spark, rows), bench)
     assert got.columns == [*[c for c in wide(spark, rows).columns if c != "leaks"], "leaks"]
     found = sorted(((r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in got.collect() if r["leaks"]), key=str)
     assert found == sorted([(1, [10, 10]), (2, [10, 10]), (None, [10, 10]), (1, [10, 10])], key=str)
     assert sorted(r["doc_id"] for r in decontaminate.cleaned(docs(spark, rows), bench).collect()) == [3, 4, 5, 6]
     assert decontaminate.cleaned(docs(spark, rows), bench.limit(0)).count() == len(rows)
     assert decontaminate.cleaned(docs(spark, []), bench).count() == 0
+    named = docs(spark, [(*r, "x", 1) for r in rows], "doc_id long, text string, key string, _more int")
+    assert decontaminate.cleaned(named, bench).columns == named.columns and decontaminate.annotated(named, bench).columns == [*named.columns, "leaks"]
+    told = decontaminate.annotated(docs(spark, rows), spark.createDataFrame([("ten", item), (None, item)], "item_id string, text string"))
+    assert {tuple(x["item_id"] for x in r["leaks"]) for r in told.collect()} == {(), (None, "ten")}
+
+
+def test_decontamination_against_brute_force(spark):
+    """Few words, so that runs repeat within texts and are shared by many of them."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    rows, items = [(i, text(rng.randrange(80))) for i in range(60)], [(i, text(rng.randrange(30))) for i in range(25)]
+    want = set()
+    for (i, t), (j, x) in itertools.product(rows, items):
+        n = plain_tiling(t.split(), x.split(), 5)
+        if len(x.split()) >= 5 and n >= 0.5 * len(x.split()):
+            want.add((i, j, n))
+    got = decontaminate.annotated(docs(spark, rows), docs(spark, items, "item_id long, text string"))
+    assert {(r["doc_id"], x["item_id"], x["covered"]) for r in got.collect() for x in r["leaks"]} == want != set()
