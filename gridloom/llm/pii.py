@@ -1,12 +1,14 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, plus signs, digits, schemes and words that announce an
-account. At each anchor a small parser expands to the borders of an address or number and validates it:
+One Aho-Corasick pass over a text finds anchors, in any case: at-signs, plus signs, digits, schemes and words that announce an
+account or a secret. At each anchor a small parser expands to the borders of an address, number or value and validates it:
 
 * email, ip, card, phone: the base kinds. An address around an at-sign; four dotted numbers of at most 255;
   16 to 19 digits, singly spaced or hyphenated, that pass Luhn; a plus sign with 8 to 15 digits.
-* account: after a word such as IBAN or account, an IBAN that passes mod 97, or 8 to 17 digits.
+* account: after a word such as IBAN or account, an IBAN of its country's length that passes mod 97, or 8 to 17 digits.
 * login: a URL that carries a user name and password before its host.
+* secret: after a word such as token, secret or password and an equals sign or colon (or after Bearer), 16 characters or more of letters and digits that vary as
+  random ones do; after a password's word 8 are enough, if they hold a letter and a digit.
 
 Spans are in code points, end exclusive; those of one kind don't overlap, those of two kinds may. Whole texts are scanned. Null and
 empty texts have no spans, and a null stays null when texts are redacted. Repeated rows, null doc_ids and other columns stay; columns named
@@ -15,7 +17,9 @@ empty texts have no spans, and a null stays null when texts are redacted. Repeat
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._shared import slices, table
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "account", "login")
+KINDS = (*BASE, "account", "login", "secret")
 Span = tuple[str, int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -35,9 +39,26 @@ _ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)").match
 _card = re.compile(r"[0-9](?:[ -]?[0-9])+").match
 _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _digits = re.compile(r"[0-9]+").match
-_iban = re.compile(r"[\s:#.-]{0,8}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])").match
+_gap = re.compile(r"[\s:#.-]{0,8}").match
+_iban = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){10,30}").match
 _account = re.compile(r"(?i:\s*(?:no\.?|number|nr\.?|num\.?))?[\s:#.-]{0,8}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])").match
 _login = re.compile(r"[^\s:/@]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?").match
+_secret = re.compile(r"[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([A-Za-z0-9+/_.~=-]{16,})").match
+_bearer = re.compile(r"\s{1,3}([A-Za-z0-9+/_.~=-]{16,})").match
+_password = re.compile(r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>]{8,})").match
+
+#: Words that announce an account or a secret, and how secrets after them are read.
+ACCOUNT_WORDS = ("iban", "account", "acct")
+SECRET_WORDS = {"token": _secret, "secret": _secret, "api_key": _secret, "api-key": _secret, "apikey": _secret, "access_key": _secret, "private_key": _secret, "bearer": _bearer, "password": _password, "passwd": _password, "pwd": _password}
+#: Bits that a character of a secret carries at least, by the counts of its characters.
+LEAST_BITS = 3.0
+#: Characters of an IBAN by country (fixed values of ISO 13616).
+IBAN_LENGTHS = {
+    **{"AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29},
+    **{"ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20},
+    **{"LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25},
+    **{"QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20},
+}
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -46,14 +67,22 @@ def _automaton() -> ahocorasick.Automaton:
         out.add_word(word, ("@" if word == "@" else "+" if word == "+" else "0", 1))
     for word in ("http://", "https://", "ftp://", "ssh://"):
         out.add_word(word, ("://", len(word)))
-    for word in ("iban", "account", "acct"):
-        for cased in (word, word.upper(), word.capitalize()):
-            out.add_word(cased, ("cue", len(word)))
+    for word in ACCOUNT_WORDS:
+        out.add_word(word, ("account", len(word)))
+    for word in SECRET_WORDS:
+        out.add_word(word, (word, len(word)))
     out.make_automaton()
     return out
 
 
 _ANCHORS = _automaton()
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, each character in its place."""
+    out = text.lower()
+    return out if len(out) == len(text) else text.translate(_LOWER)  # a character never becomes fewer
 
 
 def luhn(digits: str) -> bool:
@@ -68,6 +97,26 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int:
+    """Where the IBAN that begins at a place ends; -1 if there is none: as many letters and digits as its country has, singly spaced, that pass mod 97."""
+    m = _iban(text, at)
+    left = IBAN_LENGTHS.get(m.group()[:2].upper(), 0) if m else 0
+    end = at
+    while left and end < len(text):
+        left -= text[end] != " "
+        end += 1
+    if not m or left or end == at or end > m.end() or (end < len(text) and text[end].isascii() and text[end].isalnum()):
+        return -1
+    return end if mod97(text[at:end].replace(" ", "")) else -1
+
+
+def random_like(value: str) -> bool:
+    """Characters that vary as those of keys and hashes do, with letters and digits among them."""
+    counts = Counter(value)
+    bits = sum(n * math.log2(len(value) / n) for n in counts.values()) / len(value)
+    return bits >= LEAST_BITS and any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+
+
 def spans(text: str) -> list[Span]:
     """All spans of a text, by kind as KINDS lists them, then by place."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
@@ -78,7 +127,7 @@ def spans(text: str) -> list[Span]:
         if valid:
             found[kind].append((kind, start, end))
 
-    for end, (anchor, size) in _ANCHORS.iter(text):
+    for end, (anchor, size) in _ANCHORS.iter(lowered(text)):
         at = end + 1 - size
         if anchor == "0":
             if at >= past["ip"]:
@@ -104,9 +153,18 @@ def spans(text: str) -> list[Span]:
         elif anchor == "://":
             if at >= past["login"] and (m := _login(text, end + 1)):
                 take("login", at, m.end(), True)
-        elif at >= past["account"]:
-            if (m := _iban(text, end + 1)) and mod97(m[1].replace(" ", "")) or (m := _account(text, end + 1)):
-                take("account", m.start(1), m.end(1), True)
+        elif anchor == "account":
+            if at >= past["account"]:
+                first = _gap(text, end + 1).end()
+                if (stop := iban_end(text, first)) > 0:
+                    take("account", first, stop, True)
+                elif m := _account(text, end + 1):
+                    take("account", m.start(1), m.end(1), True)
+        elif at >= past["secret"] and (m := SECRET_WORDS[anchor](text, end + 1)):
+            value = m[1].rstrip(".,;:)") if anchor in ("password", "passwd", "pwd") else m[1].rstrip(".")
+            mixed = len(value) >= 8 and any(map(str.isdigit, value)) and any(map(str.isalpha, value))
+            if mixed if SECRET_WORDS[anchor] is _password else len(value) >= 16 and random_like(value):
+                take("secret", m.start(1), m.start(1) + len(value), True)
     return [s for k in KINDS for s in found[k]]
 
 

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -95,6 +96,8 @@ def test_base_spans_are_the_patterns():
 def test_added_spans_and_masks(spark):
     text = "IBAN: DE89 3704 0044 0532 0130 00, IBAN DE00 3704 0044 0532 0130 00. Account no 12345678; ftp://joe:pw@host.example/x a@b.co"
     own = {k: [text[a:b] for kind, a, b in pii.spans(text) if kind == k] for k in pii.KINDS}
+    for ends in ("IBAN DE89370400440532013000 USD", "IBAN: DE89 3704 0044 0532 0130 00 AND MORE", "Iban de89370400440532013000."):
+        assert [ends[a:b].replace(" ", "").upper() for k, a, b in pii.spans(ends) if k == "account"] == ["DE89370400440532013000"]
     assert own["account"] == ["DE89 3704 0044 0532 0130 00", "12345678"] and own["login"] == ["ftp://joe:pw@host.example/x"] and own["email"] == ["pw@host.example", "a@b.co"]
     rows = [(1, text), (1, text), (2, None), (3, ""), (None, "clean words"), (4, "a@b.co " * 3000)]
     masked = {(r["doc_id"], r["text"]) for r in pii.masked(wide(spark, rows)).collect()}
@@ -105,6 +108,71 @@ def test_added_spans_and_masks(spark):
     assert pii.masked(docs(spark, [])).count() == pii.located(docs(spark, [])).count() == 0
 
 
+def brute_added(t):
+    """account, login and secret, by looking at every place of a text for every cue."""
+    low, out = "".join(c.lower() if c.isascii() else c for c in t), []
+    valid = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
+
+    def iban(at):
+        got = ""
+        for end in range(at, len(t) + 1):
+            if re.fullmatch("[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]*", got) and len(got) == pii.IBAN_LENGTHS.get(got[:2].upper()):
+                return (at, end) if valid(got) and not re.match("[A-Za-z0-9]", t[end:]) else None
+            if end == len(t) or not (re.match("[A-Za-z0-9]", t[end]) or t[end] == " " and got and t[end - 1] != " "):
+                return None
+            got += t[end].strip()
+
+    def account(at):
+        m = re.compile(r"\s*(no\.|no|number|nr\.|nr|num\.|num)?[\s:#.-]{0,8}(?P<x>[0-9]([ -]?[0-9]){7,16})(?![0-9])", re.I).match(t, at)
+        return m and m.span("x")
+
+    def secret(at, cue):
+        if cue in ("password", "passwd", "pwd"):
+            m = re.compile(r"[\"']?\s{0,3}(=>|:=|=|:)\s{0,3}[\"']?(?P<x>[^\s\"'<>]{8,})").match(t, at)
+            x = m and m["x"].rstrip(".,;:)")
+            return (m.start("x"), m.start("x") + len(x)) if m and len(x) >= 8 and any(c.isdigit() for c in x) and any(c.isalpha() for c in x) else None
+        m = re.compile(r"\s{1,3}(?P<x>[A-Za-z0-9+/_.~=-]{16,})" if cue == "bearer" else r"[\w-]{0,20}[\"']?\s{0,3}(=>|:=|=|:)\s{0,3}[\"']?(?P<x>[A-Za-z0-9+/_.~=-]{16,})").match(t, at)
+        x = m["x"].rstrip(".") if m else ""
+        bits = -sum(n / len(x) * math.log2(n / len(x)) for n in Counter(x).values())
+        return (m.start("x"), m.start("x") + len(x)) if len(x) >= 16 and bits >= 3 and re.search("[0-9]", x) and re.search("[A-Za-z]", x) else None
+
+    past = {"account": 0, "login": 0, "secret": 0}
+    # a cue counts where it ends; of two that end together the shorter comes last
+    cues = sorted(((i + len(c), -len(c), c) for c in ("iban", "account", "acct", "http://", "https://", "ftp://", "ssh://", *pii.SECRET_WORDS) for i in range(len(low)) if low.startswith(c, i)))
+    for end, size, cue in cues:
+        at = end + size
+        if "//" in cue:
+            m = re.compile(r"[^\s:/@]+:[^\s/@]+@[A-Za-z0-9.-]+(:[0-9]+)?(/[^\s\"'<>]*)?").match(t, end)
+            kind, hit = "login", m and (at, m.end())
+        elif cue in ("iban", "account", "acct"):
+            first = end + len(re.match(r"[\s:#.-]{0,8}", t[end:])[0])
+            kind, hit = "account", iban(first) or account(end)
+        else:
+            kind, hit = "secret", secret(end, cue)
+        if hit and at >= past[kind]:
+            past[kind] = hit[1]
+            out.append((kind, *hit))
+    return sorted(out, key=lambda s: pii.KINDS.index(s[0]))
+
+
+def test_added_spans_are_those_of_every_place():
+    rng, n = random.Random(6), Counter()
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    parts = ["IBAN", "iban ", "Account no. ", "ACCT# ", "DE89370400440532013000", "de89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "12345678", " USD", " AND MORE", "İ", "token = ", "Secret_Key: ", 'API_KEY="', "Bearer ", "pwd=", "Password: ", "hunter2024!", " ", "x", ": ", "https://", "ftp://joe:pw@host.example/x", "HTTP://a:b@c", '"', ".", "aaaaaaaaaaaaaaaaaaaa1", "internationalization"]
+    for _ in range(6000):
+        t = "".join(rng.choice([*parts, hexes(40), hexes(20)]) for _ in range(rng.randrange(2, 9)))
+        want = brute_added(t)
+        assert [s for s in pii.spans(t) if s[0] not in pii.BASE] == want, t
+        n.update(k for k, _, _ in want)
+    assert min(n[k] for k in ("account", "login", "secret")) > 200
+
+
+def test_planted_secrets():
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    want = [[m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t)] for t in texts]
+    assert [[(a, b) for k, a, b in pii.spans(t) if k == "secret"] for t in texts] == want and sum(map(bool, want)) >= 10
+
+
 def test_spans_query(spark):
     got = {r["doc_id"]: r for r in registry.QUERIES["op9_pii_anchors"](spark, SF).collect()}
     texts = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
