@@ -1,11 +1,12 @@
 """Language identification by nearest centroids of TF-IDF character n-grams.
 
-Texts become rows of hashed byte trigrams, weighted by idf and scaled to length 1. For each language, k-means on
+Texts become rows of hashed trigrams of their letters' bytes, weighted by idf and scaled to length 1. For each language, k-means on
 a sample of its texts gives several centroids. A text gets the language of the centroid with the
 greatest cosine; `rejected` says that even that one is further than all but a small share of its own training texts are.
 
 idf counts every document with a known language that is not held out; the centroids are fitted on at most `per_lang` texts
-of each language, the first ones by a hash of doc_id.
+of each language, the first ones by a hash of doc_id, and of `most_langs` languages at most, those of the most ids. A language's rows are
+fitted in one task, which has that bound; the driver is sent the centroids. Products are of values on a grid, so exact: equal texts have equal scores.
 
 A text that is null or has no letter is `und`, with score 0 and rejected. Where nothing can be learned, every text is `und`. Null doc_ids are never
 learned from, and count as held out. Repeated rows stay; other columns are left out. An empty table gives no rows.
@@ -24,9 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._shared import slices, table
-from gridloom.llm.features import ngram_counts, tf_idf, unit
+from gridloom.llm.features import ngram_counts, snapped, tf_idf, unit
 
-BINS, GRAM, CENTROIDS, PER_LANG, REJECTED_SHARE = 4096, 3, 4, 400, 0.005
+BINS, GRAM, CENTROIDS, PER_LANG, MOST_LANGS, REJECTED_SHARE = 4096, 3, 4, 400, 256, 0.005
+#: Bits of the values' grid: twice this and 12 for the row's length fit in a double.
+GRID = 20
 #: Texts that are vectors at the same time inside a task.
 ROWS = 512
 
@@ -36,7 +39,7 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def document_frequencies(docs: DataFrame, bins: int, gram: int, lower: bool) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, bins: int, gram: int) -> tuple[np.ndarray, int]:
     """In how many texts each bin occurs, and how many texts there are: sums of one row of each bin from each task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +47,7 @@ def document_frequencies(docs: DataFrame, bins: int, gram: int, lower: bool) ->
         for batch in batches:
             for _, texts in slices(batch):
                 for i in range(0, len(texts), ROWS):
-                    found[:bins] += (ngram_counts(texts[i : i + ROWS], bins, gram, lower) > 0).sum(axis=0)
+                    found[:bins] += (ngram_counts(texts[i : i + ROWS], bins, gram, True, True) > 0).sum(axis=0)
                 n += len(texts)
         found[bins] = n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins + 1)), pa.array(found)], ["bin", "n"])
@@ -59,35 +62,21 @@ def idf_of(found: np.ndarray, n: int) -> np.ndarray:
     return (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
 
 
-def first_by_hash(rows: DataFrame, kind: str, most: int) -> DataFrame:
-    """doc_id, kind of at most `most` ids of each kind, those with the least hashes of doc_id.
+def first_by_hash(rows: DataFrame, kind: str, most: int, most_kinds: int = MOST_LANGS) -> DataFrame:
+    """doc_id, kind of at most `most` ids of each kind, those with the least hashes of doc_id; of the kinds with the most ids, if there are over `most_kinds`.
 
-    A cut of the hashes, from the kind's count, leaves about twice as many before a window ranks them, so no task sees more, however large the table.
+    A cut of the hashes, from how many ids a kind has about, leaves about twice as many before a window ranks them, so no task sees more, however large the table.
     """
-    counts = {r[kind]: r["n"] for r in rows.groupBy(kind).agg(F.count("*").alias("n")).collect()}  # a row for each language or label
+    counts = rows.groupBy(kind).agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), kind).limit(most_kinds).collect()
     if not counts:
         return rows.select("doc_id", kind)
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, (2 * most + 50) / n)]), F.col(kind))
-    near = rows.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53) < share).select("doc_id", kind).distinct()
-    first = W.partitionBy(kind).orderBy(F.xxhash64("doc_id"), "doc_id")
+    share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[kind], (2 * most + 50) / r["n"])]), F.col(kind))
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    near = rows.filter(hashed / float(1 << 53) < share).select("doc_id", kind).distinct()
+    first = W.partitionBy(kind).orderBy(hashed, "doc_id")
     return near.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= most).select("doc_id", kind)
 
 
-def vectors_of(sample: DataFrame, kind: str, bins: int, gram: int, lower: bool) -> pd.DataFrame:
-    """kind, counts (float32 bytes) of the rows of a bounded sample (doc_id, text, kind), one for each doc_id, in a fixed order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in slices(batch):
-                for i in range(0, len(texts), ROWS):
-                    own = part.slice(i, ROWS)
-                    counts = [row.tobytes() for row in ngram_counts(texts[i : i + ROWS], bins, gram, lower)]
-                    yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2).cast(pa.string()), pa.array(counts, pa.binary())], ["doc_id", "kind", "counts"])
-
-    rows = sample.select("doc_id", "text", kind).mapInArrow(run, "doc_id long, kind string, counts binary")
-    return rows.groupBy("doc_id").agg(F.min(F.struct("kind", "counts")).alias("x")).orderBy("doc_id").select("x.*").toPandas()
-
-
 def k_means(rows: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
     """Unit centroids; begun with rows far from each other, so the result is always the same."""
     picked = [int((rows @ unit(rows.sum(axis=0, keepdims=True)).T).argmax())]
@@ -110,26 +99,31 @@ class Model(NamedTuple):
     least: np.ndarray  # of each centroid: the cosine below which a text is rejected
 
 
-def fitted(docs: DataFrame, bins: int = BINS, gram: int = GRAM, centroids: int = CENTROIDS, per_lang: int = PER_LANG) -> Model | None:
+def cosines_of(texts: list[str], idf: np.ndarray, centroids: np.ndarray, gram: int = GRAM) -> np.ndarray:
+    return snapped(tf_idf(ngram_counts(texts, len(idf), gram, True, True), idf), GRID) @ centroids.T
+
+
+def fitted(docs: DataFrame, bins: int = BINS, gram: int = GRAM, centroids: int = CENTROIDS, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model | None:
     """A model from docs (doc_id, text, lang); None if no text has a language."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    found, n = document_frequencies(known, bins, gram, lower=True)
+    found, n = document_frequencies(known, bins, gram)
     idf = idf_of(found, n)
-    ids = first_by_hash(known.select("doc_id", "lang"), "lang", per_lang)
-    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # at most per_lang rows of each language
-    rows = vectors_of(sample, "lang", bins, gram, True)
+    ids = first_by_hash(known.select("doc_id", "lang"), "lang", per_lang, most_langs)
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])  # per_lang x most_langs ids at most
+    one = sample.groupBy("lang", "doc_id").agg(F.min("text").alias("text"))  # a row for each id
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("doc_id")
+        texts = rows["text"].tolist()
+        own = tf_idf(np.concatenate([ngram_counts(texts[i : i + ROWS], bins, gram, True, True) for i in range(0, len(texts), ROWS)]), idf)
+        made = snapped(k_means(own, centroids), GRID)
+        near = (snapped(own, GRID) @ made.T).max(axis=1)
+        return pd.DataFrame({"lang": str(rows["lang"].iloc[0]), "k": range(len(made)), "centroid": [x.tobytes() for x in made], "least": float(np.quantile(near, REJECTED_SHARE))})
+
+    rows = one.groupBy("lang").applyInPandas(fit, "lang string, k int, centroid binary, least double").orderBy("lang", "k").toPandas()  # a few for each language
     if not len(rows):
         return None
-    vectors = tf_idf(np.frombuffer(b"".join(rows["counts"]), dtype=np.float32).reshape(len(rows), -1), idf)
-    langs, of, names, least = rows["kind"].to_numpy(), [], [], []
-    for lang in sorted(set(langs)):
-        own = vectors[langs == lang]
-        made = k_means(own, centroids)
-        near = (own @ made.T).max(axis=1)
-        of.append(made)
-        names += [str(lang)] * len(made)
-        least += [float(np.quantile(near, REJECTED_SHARE))] * len(made)
-    return Model(idf, np.concatenate(of).astype(np.float32), names, np.array(least))
+    return Model(idf, np.frombuffer(b"".join(rows["centroid"]), dtype=np.float64).reshape(len(rows), -1), rows["lang"].tolist(), rows["least"].to_numpy())
 
 
 def predicted(docs: DataFrame, model: Model | None, gram: int = GRAM) -> DataFrame:
@@ -147,7 +141,7 @@ def predicted(docs: DataFrame, model: Model | None, gram: int = GRAM) -> DataFra
                     if m is None:
                         near, best = np.zeros(len(own)), np.zeros(len(own), dtype=np.int64)
                     else:
-                        cosines = tf_idf(ngram_counts(own, len(m.idf), gram, True), m.idf) @ m.centroids.T
+                        cosines = cosines_of(own, m.idf, m.centroids, gram)
                         best = cosines.argmax(axis=1)
                         near = np.where(lettered, np.clip(cosines[np.arange(len(own)), best], 0, 1), 0).astype(np.float64)
                     langs += [m.langs[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist(), strict=True)]

@@ -3,7 +3,8 @@
 Texts become rows of hashed byte bigrams and three counts of repetition (words equal to the word before, lines seen before, lines), weighted by idf and scaled to
 length 1. The strongest right singular vectors of the labelled rows make a space of few dimensions, to which every
 document is projected. All cosines with all labelled vectors are computed, in blocks of documents; the
-nearest ones vote with their label, weighted by a power of the cosine.
+nearest ones vote with their label, weighted by a power of the cosine. Values stand on a grid that makes the products exact, and equal cosines go
+by the row's number, so a text's score doesn't depend on the block or task that it is in.
 
 idf counts every document. At most `per_label` rows of each label are learned from, the first ones by a hash of doc_id; they are
 what every task is sent, so its size has that bound. Labels that contradict each other for a doc_id count as the lower.
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm._shared import slices, table
-from gridloom.llm.features import ngram_counts, unit
+from gridloom.llm.features import ngram_counts, snapped, unit
 from gridloom.llm.langid import first_by_hash, held_out, idf_of
 
 BINS, DIMENSIONS, NEIGHBOURS, POWER, PER_LABEL = 2048, 64, 15, 16, 2000
@@ -31,6 +33,8 @@ BINS, DIMENSIONS, NEIGHBOURS, POWER, PER_LABEL = 2048, 64, 15, 16, 2000
 EXTRA, BOOST = 3, 3
 THRESHOLD = 0.3
 ROWS = 512
+#: Bits of the grids of terms and of vectors: twice these and the row's length (12 and 6 bits) fit in a double.
+TERM_GRID, VECTOR_GRID = 20, 23
 
 
 def counts_of(texts: list[str], bins: int = BINS) -> np.ndarray:
@@ -73,7 +77,8 @@ def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def projected(counts: np.ndarray, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
-    return unit(weighted(counts, idf) @ axes)
+    """Vectors of length 1 about, from axes on the grid."""
+    return snapped(unit(snapped(weighted(counts, idf), TERM_GRID) @ axes), VECTOR_GRID)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, bins: int = BINS, dimensions: int = DIMENSIONS, per_label: int = PER_LABEL) -> Model | None:
@@ -100,8 +105,8 @@ def fitted(docs: DataFrame, labels: DataFrame, bins: int = BINS, dimensions: int
     counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.float32).reshape(len(rows), -1)
     terms = weighted(counts, idf).astype(np.float64)
     _, vectors = np.linalg.eigh(terms.T @ terms)  # right singular vectors, weakest first
-    axes = vectors[:, ::-1][:, :dimensions].astype(np.float32)
-    return Model(idf, axes, projected(counts, idf, axes).astype(np.float32), rows["quality"].to_numpy(dtype=np.float64))
+    axes = snapped(vectors[:, ::-1][:, :dimensions], TERM_GRID)
+    return Model(idf, axes, projected(counts, idf, axes), rows["quality"].to_numpy(dtype=np.float64))
 
 
 def votes(texts: list[str], m: Model | None, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
@@ -112,9 +117,12 @@ def votes(texts: list[str], m: Model | None, neighbours: int = NEIGHBOURS, power
     for i in range(0, len(texts), ROWS):
         cosines = projected(counts_of(texts[i : i + ROWS], len(m.idf) - EXTRA), m.idf, m.axes) @ m.vectors.T
         k = min(neighbours, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosines, near, axis=1), 1e-3, 1).astype(np.float64) ** power
-        out.append((weight * m.labels[near]).sum(axis=1) / weight.sum(axis=1))
+        least = np.partition(cosines, -k, axis=1)[:, -k :][:, :1]
+        over, tied = cosines > least, cosines == least
+        near = over | tied & (np.cumsum(tied, axis=1) <= k - over.sum(axis=1, keepdims=True))  # of the tied, the first rows
+        at = np.nonzero(near)[1].reshape(-1, k)
+        weight = np.clip(np.take_along_axis(cosines, at, axis=1), 1e-3, 1) ** power
+        out.append((weight * m.labels[at]).sum(axis=1) / weight.sum(axis=1))
     return np.clip(np.concatenate(out), 0, 1) if out else np.zeros(0)
 
 
@@ -127,7 +135,7 @@ def rejecting(docs: DataFrame, model: Model | None, name: str = "score") -> Data
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(votes(texts, kept.value))], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def op8_lsa_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import hashlib
+import re
+import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -14,6 +18,7 @@ from .helpers import docs, held_out, wide
 from .test_duplicates import brute_groups, brute_print, plain_tiling
 
 SF = "/root/testdata/sf0.01"
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 @pytest.fixture(scope="module")
@@ -59,19 +64,110 @@ def test_votes_are_exact():
     texts = [f"plain words of line {i} and more of it" for i in range(40)] + [f"x### y%%% {i} $$$" for i in range(40)]
     counts = quality_knn.counts_of(texts)
     idf = langid.idf_of((counts > 0).sum(axis=0), len(texts))
-    axes = np.linalg.svd(quality_knn.weighted(counts, idf), full_matrices=False)[2][:8].T
+    axes = quality_knn.snapped(np.linalg.svd(quality_knn.weighted(counts, idf), full_matrices=False)[2][:8].T, quality_knn.TERM_GRID)
     m = quality_knn.Model(idf, axes, quality_knn.projected(counts, idf, axes), np.repeat([1.0, 0.0], 40))
     asked = ["", "words of line 7", "a### b$$$ c%%%"]
     got = quality_knn.votes(asked, m)
     for text, score in zip(asked, got, strict=True):
         cosines = [float(quality_knn.projected(quality_knn.counts_of([text]), idf, axes)[0] @ v) for v in m.vectors]
-        near = sorted(range(80), key=lambda i: -cosines[i])[: quality_knn.NEIGHBOURS]
+        near = sorted(range(80), key=lambda i: (-cosines[i], i))[: quality_knn.NEIGHBOURS]
         weight = [min(max(cosines[i], 1e-3), 1) ** quality_knn.POWER for i in near]
-        if text:
-            assert score == pytest.approx(sum(w * m.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-3)
+        assert score == pytest.approx(sum(w * m.labels[i] for w, i in zip(weight, near, strict=True)) / sum(weight), abs=1e-12)
     assert got[1] > 0.9 and got[2] < 0.1 and 0 <= got[0] <= 1
 
 
+def plain_grams(text, n, bins):
+    """Counts of hashed runs of n bytes, counted one by one."""
+    data = [48 if 48 <= b < 58 else b for b in b" " + text.encode() + b" "]
+    out = np.zeros(bins)
+    for run, k in Counter(zip(*(data[j:] for j in range(n)), strict=False)).items():
+        code = int.from_bytes(bytes(run), "big") * 0x9E3779B97F4A7C15 % 2**64
+        out[code >> 64 - (bins - 1).bit_length()] += k
+    return out
+
+
+def plain_quality(text):
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    return np.append(plain_grams(text, 2, quality_knn.BINS), [sum(a == b for a, b in zip(words, words[1:], strict=False)), len(lines) - len(set(lines)), len(lines)])
+
+
+def plain_unit(rows):
+    norm = np.sqrt((rows**2).sum(axis=-1, keepdims=True))
+    return rows / np.where(norm > 0, norm, 1)
+
+
+def test_quality_query_by_brute_force(spark, tables):
+    """The fit and every document's vote anew in plain numpy; every labelled row is in the sample here."""
+    docs_of = {i: t or "" for i, t in zip(tables["documents"]["doc_id"], tables["documents"]["text"], strict=True)}
+    counts = {i: plain_quality(t) for i, t in docs_of.items()}
+    every = np.stack(list(counts.values()))
+    idf = np.log((1 + len(every)) / (1 + (every > 0).sum(axis=0))) + 1
+    idf[quality_knn.BINS :] *= quality_knn.BOOST
+    labels = tables["labels"].groupby("doc_id")["quality"].min()
+    known = sorted(i for i in labels.index if not held_out(i) and i in counts)
+    terms = lambda rows: plain_unit(np.sqrt(rows) * idf)
+    axes = np.linalg.svd(terms(np.stack([counts[i] for i in known])), full_matrices=False)[2][: quality_knn.DIMENSIONS].T
+    vectors, own = plain_unit(terms(np.stack([counts[i] for i in known])) @ axes), labels.loc[known].to_numpy()
+    got = registry.QUERIES["op8_lsa_neighbours"](spark, SF).toPandas().set_index("doc_id")
+    far, flips = [], 0
+    for i, row in counts.items():
+        cosines = vectors @ plain_unit(terms(row[None]) @ axes)[0]
+        near = sorted(range(len(known)), key=lambda j: (-round(cosines[j], 6), j))[: quality_knn.NEIGHBOURS]
+        weight = np.clip(cosines[near], 1e-3, 1) ** quality_knn.POWER
+        far.append(abs((weight * own[near]).sum() / weight.sum() - got.loc[i, "score"]))
+        flips += ((weight * own[near]).sum() / weight.sum() >= 0.3) != (got.loc[i, "predicted"] == 1)
+    assert len(got) == len(counts) and np.quantile(far, 0.98) < 1e-3 and flips <= 2
+
+
+def plain_centroids(rows, k):
+    picked = [int((rows @ rows.sum(axis=0)).argmax())]
+    while len(picked) < min(k, len(rows)):
+        picked.append(min(range(len(rows)), key=lambda i: max(float(rows[i] @ rows[j]) for j in picked)))
+    out = rows[picked]
+    for _ in range(20):
+        own = (rows @ out.T).argmax(axis=1)
+        out = np.stack([plain_unit(rows[own == j].sum(axis=0)) if (own == j).any() else out[j] for j in range(len(out))])
+    return out
+
+
+def test_language_query_by_brute_force(spark, tables):
+    """The fit and every document's nearest centroid anew in plain numpy."""
+    rows = [(i, "" if t is None else t, lang) for i, t, lang in tables["documents"][["doc_id", "text", "lang"]].itertuples(index=False, name=None)]
+    counts = {i: plain_grams(re.sub(r"[\x00-@\[-`{-\x7f]+", " ", f" {t} ").strip(" ").translate(ASCII_LOWER), langid.GRAM, langid.BINS) for i, t, _ in rows}
+    known = sorted((i, lang) for i, t, lang in rows if not held_out(i) and isinstance(lang, str) and any(map(str.isalpha, t)))
+    seen = np.stack([counts[i] for i, _ in known])
+    idf = np.log((1 + len(seen)) / (1 + (seen > 0).sum(axis=0))) + 1
+    vectors = plain_unit(np.log1p(seen) * idf)
+    order = sorted(range(len(known)), key=lambda k: xxhash.xxh64_intdigest(struct.pack("<q", known[k][0]), 42) >> 11)
+    sample = {lang: sorted([k for k in order if known[k][1] == lang][: langid.PER_LANG]) for lang in sorted({x for _, x in known})}
+    made = {lang: plain_centroids(vectors[at], langid.CENTROIDS) for lang, at in sample.items()}
+    got = registry.QUERIES["op10_nearest_centroid"](spark, SF).toPandas().set_index("doc_id")
+    far, other = [], 0
+    for i, t, _ in rows:
+        best = max(((float((c @ plain_unit(np.log1p(counts[i]) * idf)).max()), lang) for lang, c in made.items())) if any(map(str.isalpha, t)) else (0.0, "und")
+        far.append(abs(best[0] - got.loc[i, "score"]))
+        other += best[1] != got.loc[i, "lang_pred"]
+    assert len(got) == len(rows) and np.quantile(far, 0.98) < 1e-3 and other <= 2
+
+
+def test_scores_do_not_depend_on_blocks(spark, tables):
+    """Equal texts have equal scores, however the rows are dealt."""
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    model, langs = quality_knn.fitted(documents.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")), langid.fitted(documents.filter(~langid.held_out()))
+    scores = []
+    for parts in (1, 7):
+        dealt = documents.union(documents.limit(50)).repartition(parts)
+        scores.append({(r["doc_id"], r["score"]) for r in quality_knn.rejecting(dealt, model).collect()} | {(-1 - r["doc_id"], r["score"], r["lang_pred"]) for r in langid.predicted(dealt, langs).collect()})
+    assert scores[0] == scores[1] and len(scores[0]) == 2 * len(tables["documents"])
+
+
+def test_sample_is_of_distinct_ids(spark):
+    rows = spark.createDataFrame([(i, k) for i in range(300) for k in ("a", "b") for _ in range(6)] + [(i, f"rare{i}") for i in range(40)], "doc_id long, lang string")
+    got = [(r["doc_id"], r["lang"]) for r in langid.first_by_hash(rows, "lang", 40, 2).collect()]
+    rank = sorted(range(300), key=lambda i: xxhash.xxh64_intdigest(struct.pack("<q", i), 42) >> 11)
+    assert sorted(got) == sorted((i, k) for k in "ab" for i in rank[:40])
+
+
 def test_quality_cases(spark):
     rows = [(i, f"good words of the line {i} and more") for i in range(30)] + [(100 + i, "bad### bad%%% $$$") for i in range(30)]
     labels = [(i, 1, 0) for i, _ in rows[:30]] + [(i, 0, 0) for i, _ in rows[30:]] + [(0, 1, 0), (5000, 1, 0), (None, 0, 0), (7, None, 0)]
