@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import Pieces, Words, flattened, gather, slices, starts_of, sums, table
+from gridloom.llm._shared import Pieces, Words, documents, flattened, gather, slices, starts_of, sums
 from gridloom.llm.token_store import tokenizer_file
 
 #: White space as Unicode has it.
@@ -204,4 +204,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return digests(documents(spark, sf_dir, "doc_id", "text"), tokenizer_file("byte_bpe_50k.json"))

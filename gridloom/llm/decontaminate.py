@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import slices, staged, starts_of, table, unused
+from gridloom.llm._shared import documents, slices, staged, starts_of, table, unused
 
 LEAST, THRESHOLD = 5, 0.5
 #: Bits of the table of seeds: 64 for each seed, and these at least and at most (8 MB), as powers of two.
@@ -276,7 +276,7 @@ def annotated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, thresho
 
 def op2_greedy_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each leak: a document and a test item that it covers."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     found = docs.select("doc_id", _key("text").alias("key")).join(leaks(docs, table(spark, sf_dir, "benchmark")), "key")
     return found.select("doc_id", "item_id", "item_words", "covered", "coverage", F.size("tiles").alias("n_tiles"), F.lit(True).alias("contaminated"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import slices, table
+from gridloom.llm._shared import documents, slices
 from gridloom.llm.features import ngram_counts, snapped, tf_idf, unit
 
 BINS, GRAM, CENTROIDS, PER_LANG, MOST_LANGS, REJECTED_SHARE = 4096, 3, 4, 400, 256, 0.005
@@ -153,6 +153,6 @@ def predicted(docs: DataFrame, model: Model | None, gram: int = GRAM) -> DataFra
 
 
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = fitted(docs.filter(~held_out()))
     return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

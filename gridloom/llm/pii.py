@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import slices, table
+from gridloom.llm._shared import documents, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login", "secret")
@@ -215,7 +215,7 @@ def masked(docs: DataFrame) -> DataFrame:
 
 def op9_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and spans for every document, from the operator's spans."""
-    out = located(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    out = located(documents(spark, sf_dir, "doc_id", "text")).drop("text")
     told = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm._shared import slices, table
+from gridloom.llm._shared import documents, slices, table
 from gridloom.llm.features import ngram_counts, snapped, unit
 from gridloom.llm.langid import first_by_hash, held_out, idf_of
 
@@ -139,6 +139,6 @@ def rejecting(docs: DataFrame, model: Model | None, name: str = "score") -> Data
 
 
 def op8_lsa_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir, "doc_id", "text")
     out = rejecting(docs, fitted(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import starts_of, staged, table
+from gridloom.llm._shared import documents, staged, starts_of
 
 
 def placed(docs: DataFrame, shards: int) -> DataFrame:
@@ -53,5 +53,5 @@ def placed(docs: DataFrame, shards: int) -> DataFrame:
 
 
 def op7_byte_prefix_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = placed(table(spark, sf_dir, "documents"), 16)
+    out = placed(documents(spark, sf_dir, "doc_id", "text"), 16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import resemblance
-from gridloom.llm._shared import HOT, dropped, met, slices, staged, starts_of, table, unused
+from gridloom.llm._shared import HOT, documents, dropped, met, slices, staged, starts_of, unused
 from gridloom.llm.components import components
 
 SEGMENTS, BITS, WITHIN = 16, 4, 2
@@ -112,7 +112,7 @@ def grouped(docs: DataFrame, most: int = 64) -> DataFrame:
 
 
 def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = grouped(table(spark, sf_dir, "documents"))
+    out = grouped(documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

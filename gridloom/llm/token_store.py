@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import rans
-from gridloom.llm._shared import Pieces, Words, dropped, flattened, gather, new_path, slices, starts_of, sums, table
+from gridloom.llm._shared import Pieces, Words, documents, dropped, flattened, gather, new_path, slices, starts_of, sums
 
 #: Ids in a block, about.
 BLOCK = 1 << 18
@@ -258,5 +258,5 @@ def tokenizer_file(name: str) -> str:
 
 def op1_rans_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    write(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    write(documents(spark, sf_dir, "doc_id", "text"), path, tokenizer_file("word_bpe_49k.json"), end_id=2)
     return read(spark, path, with_ids=False)

@@ -35,7 +35,10 @@ def brute_metrics(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
-def test_metrics(spark):
+@pytest.mark.parametrize("place", [20, 3, 60])
+def test_metrics(spark, monkeypatch, place):
+    """Also with windows that have to be told apart by the longer hashes: all texts of eight words or more, or hashes of four bits."""
+    monkeypatch.setattr(quality_rules, "PLACE", place)
     rng = random.Random(2)
     texts = [None, "", " \n\t", "one", "a b", "a b c", "a a a a", "é ü x\x0by\n\n x y\n", "x" * 50_000, "the cat sat " * 2000, "a\nb\na\n a\nb"]
     texts += ["".join(rng.choice("ab \n\t#|") for _ in range(rng.randrange(120))) for _ in range(200)]
