@@ -4,13 +4,14 @@ For every participant of a conversation the dialogue is rendered with that speak
 all others as named users, and the mask has the spans of the assistant's words, which are what a model is to learn.
 Turns of a role named `system` belong to every rendering and are nobody's perspective.
 
-A turn reads <|im_start|>assistant, <|im_start|>user name=NAME or <|im_start|>system, a line end, its text, <|im_end|> and a line end. A
+A turn reads <|im_start|>assistant, <|im_start|>user name=NAME or <|im_start|>system, a line end, its text, <|im_end|> and a line end. Where a text or
+name holds one of these two marks itself, a space is put after its first character, and line ends in names become spaces, so nothing said can begin or end a turn. A
 rendering comes in segments of SEGMENT turns by their number, or, in a conversation where so many rows have close numbers (or none) that one would hold more, by their places; a row for each, which together give the whole dialogue:
 `text` of the segment, `start` (characters of the segments before it), and `mask`, spans (start, end) within the dialogue of each text with its <|im_end|>. So a
-conversation of any length is never gathered in one row or task; usual ones have a single segment.
+conversation of any length is never gathered in one row or task; usual ones have a single segment. `whole` joins the segments for those whose conversations fit in a row.
 
 Null texts are empty, a null role is the participant `unknown`, a null turn comes first. Turns with the same number stand in the order of role and
-text; repeated rows are said again. Rows with a null conv_id make a conversation of their own. A conversation of system turns alone has no perspective
+text; repeated rows are said again. A row with a null conv_id belongs to nothing and is a conversation by itself. A conversation of system turns alone has no perspective
 and no row, nor has an empty table. Other columns are left out.
 """
 
@@ -31,33 +32,40 @@ def rotated(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
 
     Texts are shuffled once, to their segments; places come from a table of lengths, which is joined to them there.
     """
-    said = turns.select(F.col("conv_id").isNull().alias("_none"), F.coalesce("conv_id", F.lit("0").cast(turns.schema["conv_id"].dataType)).alias("_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     said = said.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
-    talk = ["_none", "_id"]
+    alone = said.filter("conv_id IS NULL AND role <> 'system'").select("conv_id", "segment", F.array(F.struct("turn", "role", "text")).alias("turns"), F.col("role").alias("perspective"), F.lit(0).cast("long").alias("before"))
+    said, talk = said.filter("conv_id IS NOT NULL"), ["conv_id"]
     said = _bounded(said, talk, segment)
     # `segment` turns at most
     parts = said.groupBy(*talk, "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    seen = parts.join(_views(said, talk), [*talk, "segment"]).select(*talk, "segment", "turns", F.explode("views").alias("view"))
-    seen = seen.withColumn("perspective", F.col("view.perspective"))
-    pieces = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("perspective")).alias("head"), F.concat(t["text"], F.lit(_END)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
+    seen = parts.join(_views(said, talk), [*talk, "segment"]).unionByName(alone)
+    pieces = F.transform("turns", lambda t: F.struct(_head(t["role"], F.col("perspective")).alias("head"), F.concat(_plain(t["text"]), F.lit(_END)).alias("body"), (t["role"] == F.col("perspective")).alias("own")))
     seen = seen.withColumn("pieces", pieces)
     # each body's place: a running length over the pieces
     step = lambda a, p: F.struct(
         (a["at"] + F.length(p["head"]) + F.length(p["body"]) + 1).alias("at"),
         F.when(p["own"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), (a["at"] + F.length(p["head"]) + F.length(p["body"])).alias("end"))))).otherwise(a["spans"]).alias("spans"),
     )
-    first = F.struct(F.col("view.start").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
+    first = F.struct(F.col("before").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
     return seen.select(
-        F.when(~F.col("_none"), F.col("_id")).alias("conv_id"),
+        "conv_id",
         "perspective",
         "segment",
         F.size("turns").cast("long").alias("n_turns"),
-        F.col("view.start").alias("start"),
+        F.col("before").alias("start"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "").alias("text"),
         F.aggregate("pieces", first, step, lambda a: a["spans"]).alias("mask"),
     )
 
 
+def whole(segments: DataFrame) -> DataFrame:
+    """conv_id, perspective, n_turns, text, mask: what `rotated` gives, a row for each dialogue. A dialogue has to fit in a row."""
+    one = segments.filter("conv_id IS NOT NULL").groupBy("conv_id", "perspective").agg(F.sort_array(F.collect_list(F.struct("segment", "n_turns", "text", "mask"))).alias("parts"))
+    joined = one.select("conv_id", "perspective", F.aggregate("parts", F.lit(0).cast("long"), lambda n, p: n + p["n_turns"]).alias("n_turns"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"), F.flatten(F.transform("parts", lambda p: p["mask"])).alias("mask"))
+    return joined.unionByName(segments.filter("conv_id IS NULL").select(*joined.columns))
+
+
 def _bounded(said: DataFrame, talk: list[str], segment: int) -> DataFrame:
     """said, with segments by dense places in those conversations where a segment by numbers holds too many rows. No conversation meets in one task."""
     over, _ = staged(said.groupBy(*talk, "segment").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select(*talk).distinct(), "over")
@@ -74,15 +82,20 @@ def _bounded(said: DataFrame, talk: list[str], segment: int) -> DataFrame:
     return said.join(over, talk, "left_anti").unionByName(dense.select(*said.columns))
 
 
+def _plain(text: Column) -> Column:
+    """A text without marks of its own."""
+    return F.replace(F.replace(text, F.lit("<|im_start|>"), F.lit("< |im_start|>")), F.lit(_END), F.lit("< |im_end|>"))
+
+
 def _head(role: Column, perspective: Column) -> Column:
-    as_user = F.concat(F.lit("<|im_start|>user name="), role)
+    as_user = F.concat(F.lit("<|im_start|>user name="), F.translate(_plain(role), "\r\n", "  "))
     return F.concat(F.when(role == perspective, F.lit("<|im_start|>assistant")).when(role == "system", F.lit("<|im_start|>system")).otherwise(as_user), F.lit("\n"))
 
 
 def _views(said: DataFrame, talk: list[str]) -> DataFrame:
     """For each segment its perspectives, with the characters of the segments before it in each. Counts and lengths alone meet here."""
     role, nobody = F.col("role"), F.lit(None).cast("string")
-    as_user = F.length(_head(role, nobody)) + F.length("text") + len(_END) + 1
+    as_user = F.length(_head(role, nobody)) + F.length(_plain(F.col("text"))) + len(_END) + 1
     per = said.groupBy(*talk, "segment", "role").agg(F.count("*").alias("own"), F.sum(as_user).alias("size"))
     speakers = per.filter("role <> 'system'").select(*talk, role.alias("perspective")).distinct()
     sizes = per.groupBy(*talk, "segment").agg(F.sum("size").alias("size"))
@@ -92,8 +105,7 @@ def _views(said: DataFrame, talk: list[str]) -> DataFrame:
     less = F.length(_head(F.col("perspective"), nobody)) - F.length(_head(F.col("perspective"), F.col("perspective")))
     grid = grid.withColumn("size", F.col("size") - F.coalesce("own", F.lit(0)) * less)
     before = W.partitionBy(*talk, "perspective").orderBy("segment")
-    grid = grid.withColumn("start", (F.sum("size").over(before) - F.col("size")).cast("long"))
-    return grid.groupBy(*talk, "segment").agg(F.collect_list(F.struct("perspective", "start")).alias("views"))  # one for each speaker
+    return grid.select(*talk, "segment", "perspective", (F.sum("size").over(before) - F.col("size")).cast("long").alias("before"))
 
 
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,17 +115,17 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH said AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / {SEGMENT}), -1) AS BIGINT) AS segment FROM conversations),
-speakers AS (SELECT DISTINCT conv_id, role AS perspective FROM said WHERE role <> 'system'),
+WITH said AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / {SEGMENT}), -1) AS BIGINT) AS segment FROM conversations),
+speakers AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM said WHERE role <> 'system'),
 shown AS (
-  SELECT s.conv_id, p.perspective, s.segment, s.turn, s.role, s.text, s.role = p.perspective AS own,
-    CASE WHEN s.role = p.perspective THEN '<|im_start|>assistant' WHEN s.role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || s.role END || chr(10) AS head,
-    s.text || '{_END}' AS body
-  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
+  SELECT s.conv_id, s.alone, p.perspective, s.segment, s.turn, s.role, s.text, s.role = p.perspective AS own,
+    CASE WHEN s.role = p.perspective THEN '<|im_start|>assistant' WHEN s.role = 'system' THEN '<|im_start|>system' ELSE '<|im_start|>user name=' || translate(replace(replace(s.role, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>'), chr(13) || chr(10), '  ') END || chr(10) AS head,
+    replace(replace(s.text, '<|im_start|>', '< |im_start|>'), '<|im_end|>', '< |im_end|>') || '{_END}' AS body
+  FROM said s JOIN speakers p ON s.conv_id IS NOT DISTINCT FROM p.conv_id AND s.alone IS NOT DISTINCT FROM p.alone),
 placed AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS body_at,
   sum(length(head) + length(body) + 1) OVER w - length(head) - length(body) - 1 AS head_at
-  FROM shown WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+  FROM shown WINDOW w AS (PARTITION BY conv_id, alone, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, segment, count(*) AS n_turns, CAST(min(head_at) AS BIGINT) AS start,
   string_agg(head || body || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS text,
   coalesce(string_agg(CAST(CAST(body_at AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(body_at + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY body_at) FILTER (own), '') AS mask
-FROM placed GROUP BY conv_id, perspective, segment"""
+FROM placed GROUP BY conv_id, alone, perspective, segment"""
