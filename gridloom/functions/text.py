@@ -16,6 +16,15 @@ KINDS = (
     ("load", r"^New Load\.\S+"),
     ("linecode", r"(?i)^new\s+linecode\.\S+"),
     ("redirect", r"(?i)^redirect\s+\S+"),
+    ("generator", r"(?i)^new\s+generator\.\S+"),
+    ("storage", r"(?i)^new\s+storage\.\S+"),
+    ("loadshape", r"(?i)^new\s+loadshape\.\S+"),
+    ("monitor", r"(?i)^new\s+monitor\.\S+"),
+    ("open", r"(?i)^open\s+\S+"),
+    ("close", r"(?i)^close\s+\S+"),
+    ("batchedit", r"(?i)^batchedit\s+\w+\.\S+"),
+    ("edit", r"(?i)^[a-z]\w*\.[^\s.=]+\.\w+\s*="),
+    ("solve", r"(?i)^solve\b"),
 )
 _PHASES = {"1": "A", "2": "B", "3": "C"}
 
@@ -34,6 +43,13 @@ def number(text: Column, name: str) -> Column:
     return prop(text, name, r"[-+]?[\d.]+(?:[eE][-+]?\d+)?").try_cast("double")
 
 
+def assignments(text: Column) -> Column:
+    """All name=value of a text, as an array of structs; a value may be in brackets or quotes."""
+    pairs = r"(\w+)\s*=\s*(\([^)]*\)|\[[^\]]*\]|\"[^\"]*\"|[^\s!]+)"
+    names, values = (F.regexp_extract_all(text, F.lit(pairs), F.lit(g)) for g in (1, 2))
+    return F.zip_with(names, values, lambda n, v: F.struct(F.lower(n).alias("prop"), v.alias("value")))
+
+
 def object_name(text: Column) -> Column:
     return found(text, r"(?i)^new\s+(?:object\s*=\s*)?\w+\.(\S+)")
 

@@ -47,6 +47,21 @@ def overridden(base: DataFrame, changes: DataFrame, key: str, columns: list[str]
     return out.select(*[c for c in base.columns if c not in columns], *[F.coalesce(f"_{c}", c).alias(c) for c in columns])
 
 
+def first_steps(rows: DataFrame, series: str, order: list[str], n: int) -> DataFrame:
+    """The first n rows of each series with step, their number from 0. What can't be among them is left out before series are dealt, so a long series meets nowhere whole."""
+    place = F.row_number().over(W.partitionBy(series).orderBy(*order))
+    first = rows.withColumn("step", place).filter(F.col("step") <= n)
+    return first.withColumn("step", F.col("step").cast("long") - 1).drop(*[c for c in order if c != series])
+
+
+def dispatched(units: DataFrame, values: DataFrame, shapes: DataFrame) -> DataFrame:
+    """name, device, bus, step, t_s, kw of generating units (name, device, bus, kw, duty): loads below zero that follow their shape (values: shape, step, mult; shapes: name, interval_s). Names in any case."""
+    known = shapes.select(F.lower("name").alias("_shape"), "interval_s")
+    at = values.select(F.lower("shape").alias("_shape"), "step", "mult").join(known, "_shape")
+    out = units.withColumn("_shape", F.lower("duty")).join(at, "_shape")
+    return out.select("name", "device", "bus", "step", (F.col("step") * F.col("interval_s")).alias("t_s"), (-F.col("kw") * F.col("mult")).alias("kw"))
+
+
 def normalized(shape: DataFrame, by: str, value: str) -> DataFrame:
     """shape with `value` divided by its greatest in each group."""
     most = shape.groupBy(F.col(by).alias("_by")).agg(F.max(value).alias("_most"))
@@ -59,6 +74,56 @@ def energy(rows: DataFrame, by: list[str], order: list[str], kw: str, hours: flo
     return rows.withColumn(name, F.sum(F.col(kw) * hours).over(w))
 
 
+def bulk_set(rows: DataFrame, name: str, pattern: str, column: str, value: str | float, otherwise: str | float | None = None) -> DataFrame:
+    """rows with a column set where the name matches a pattern; elsewhere it stays, or is `otherwise` where rows lack it."""
+    rest = F.col(column) if column in rows.columns else F.lit(otherwise)
+    return rows.withColumn(column, F.when(F.col(name).rlike(pattern), F.lit(value)).otherwise(rest))
+
+
+def scaled(rows: DataFrame, column: str, factor: float) -> DataFrame:
+    """rows with a column by a factor: a multiplier of all loads."""
+    return rows.withColumn(column, F.col(column) * factor)
+
+
+def monitored(rows: DataFrame, element: str, name: str, time: str, width: str, channels: dict[str, Column]) -> DataFrame:
+    """One element's channels (name: aggregate) by spans of time."""
+    return rows.filter(F.col(element) == name).groupBy(F.date_trunc(width, time).cast("timestamp_ntz").alias(width)).agg(*[c.alias(k) for k, c in channels.items()])
+
+
+def exceeding(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
+    """by, n, worst: how often and how far a value is over its limit."""
+    return rows.filter(F.col(value) > limit).groupBy(by).agg(F.count("*").alias("n"), F.max(value).alias("worst"))
+
+
+def power_factor(kw: Column, kvar: Column) -> Column:
+    return kw / F.nullif(F.sqrt((kw * kw + kvar * kvar).cast("double")), F.lit(0.0))
+
+
+#: Voltage bases of the feeder and of what lies behind its load transformer (fixed values).
+PRIMARY_KV, SECONDARY_KV = 4.16, 0.48
+
+
+def voltage_base(secondary: Column) -> Column:
+    """A bus's base by its zone."""
+    return F.when(secondary, SECONDARY_KV).otherwise(PRIMARY_KV)
+
+
+def telemetry(readings: DataFrame, solved: DataFrame, key: str) -> DataFrame:
+    """readings beside what was solved for their load; those without stay."""
+    return readings.join(solved, key, "left")
+
+
+def named_alike(left: DataFrame, right: DataFrame, name: str) -> DataFrame:
+    """Rows whose names agree but for their case, joined."""
+    low = right.withColumn("_name", F.lower(name)).drop(name)
+    return left.join(low, F.lower(name) == F.col("_name")).drop("_name")
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left whose key right lacks."""
+    return left.join(right.select(key), key, "left_anti")
+
+
 def band(pu: Column, low: float = 0.95, high: float = 1.05) -> Column:
     return F.when(pu < low, "low").when(pu > high, "high").otherwise("normal")
 

@@ -21,13 +21,13 @@ def load_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, p_name, CASE WHEN regexp_matches(p_name, '^(red|small)') THEN 'evening' ELSE 'flat' END AS shape FROM part")
 def bulk_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A property set on all rows whose name matches a pattern."""
-    return A.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.when(F.col("p_name").rlike("^(red|small)"), "evening").otherwise("flat").alias("shape"))
+    return series.bulk_set(A.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "^(red|small)", "shape", "evening", "flat")
 
 
 @query("SELECT c_custkey, round(c_acctbal * 0.40, 4) AS kw FROM customer")
 def loadmult(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All loads by a factor."""
-    return A.table(spark, sf_dir, "customer").select("c_custkey", F.round(F.col("c_acctbal") * 0.40, 4).alias("kw"))
+    return series.scaled(A.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("kw")), "kw", 0.40).withColumn("kw", F.round("kw", 4))
 
 
 @query("SELECT CASE WHEN p_retailprice / 1000 < 0.95 THEN 'low' WHEN p_retailprice / 1000 > 1.05 THEN 'high' ELSE 'normal' END AS band, count(*) AS n FROM part GROUP BY 1")
@@ -60,7 +60,8 @@ def loadshape_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = series.scenario(24, 60, spark)
     shape = F.when(F.col("s_nationkey") % 3 == 0, "click").when(F.col("s_nationkey") % 3 == 1, "view").otherwise("error")
     loads = A.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), "s_acctbal", shape.alias("shape"))
-    run = _shapes(spark, sf_dir).join(steps, "step")
+    rows = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("shape"), "ts", "event_id", F.col("value").alias("mult"))
+    run = series.first_steps(rows, "shape", ["ts", "event_id"], 24).join(steps, "step")
     return loads.join(run, "shape").select("name", "step", "t_s", F.round(F.col("s_acctbal") * F.col("mult"), 4).alias("kw"))
 
 
@@ -74,20 +75,19 @@ def energy_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(max(value), 4) AS worst FROM events WHERE value > 50 GROUP BY 1")
 def exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings over a threshold, by meter."""
-    return A.table(spark, sf_dir, "events").filter("value > 50").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("worst"))
+    return series.exceeding(A.table(spark, sf_dir, "events"), "event_type", "value", 50).withColumn("worst", F.round("worst", 4))
 
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, round(avg(value), 6) AS kw, round(max(value), 6) AS peak FROM events WHERE event_type = 'view' GROUP BY 1")
 def monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One meter's channels by the hour."""
-    rows = A.table(spark, sf_dir, "events").filter("event_type = 'view'")
-    return rows.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.round(F.avg("value"), 6).alias("kw"), F.round(F.max("value"), 6).alias("peak"))
+    return series.monitored(A.table(spark, sf_dir, "events"), "event_type", "view", "ts", "hour", {"kw": F.round(F.avg("value"), 6), "peak": F.round(F.max("value"), 6)})
 
 
 @query("SELECT p_partkey, CASE WHEN p_size > 40 THEN 0.48 ELSE 4.16 END AS base_kv FROM part")
 def voltage_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each bus's voltage base by its zone."""
-    return A.table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 40, 0.48).otherwise(4.16).alias("base_kv"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", series.voltage_base(F.col("p_size") > 40).alias("base_kv"))
 
 
 @query("SELECT CAST(c_custkey AS VARCHAR) AS bus, c_name FROM customer ORDER BY c_custkey DESC LIMIT 5")
@@ -96,17 +96,11 @@ def head_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("bus"), "c_name").orderBy(F.col("bus").cast("long").desc()).limit(5)
 
 
-@query("WITH sw AS (SELECT p_partkey AS id, p_size % 5 <> 0 AS closed FROM part) SELECT closed, count(*) AS n FROM sw GROUP BY 1")
-def switch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges by whether their switch is closed."""
-    return A.table(spark, sf_dir, "part").groupBy((F.col("p_size") % 5 != 0).alias("closed")).agg(F.count("*").alias("n"))
-
-
 @query("SELECT p_partkey, p_size AS kw, p_size % 7 AS kvar, round(p_size / nullif(sqrt(p_size * p_size + (p_size % 7) * (p_size % 7)), 0), 9) AS pf FROM part")
 def power_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load's properties with its power factor."""
     kw, kvar = F.col("p_size"), F.col("p_size") % 7
-    return A.table(spark, sf_dir, "part").select("p_partkey", kw.alias("kw"), kvar.alias("kvar"), F.round(kw / F.nullif(F.sqrt((kw * kw + kvar * kvar).cast("double")), F.lit(0.0)), 9).alias("pf"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", kw.alias("kw"), kvar.alias("kvar"), F.round(series.power_factor(kw, kvar), 9).alias("pf"))
 
 
 def example_feeder(loads: int) -> flow.Feeder:

@@ -90,13 +90,12 @@ def incomplete_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.incomplete(A.readings(spark, sf_dir, "hour"), "tick", "meter", METERS)
 
 
-@query("WITH s AS (SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS i FROM supplier), c AS (SELECT c_name, row_number() OVER (ORDER BY c_name) - 1 AS i FROM customer WHERE c_custkey < (SELECT count(*) FROM supplier)) SELECT i, s_name, c_name FROM s JOIN c USING (i)")
+@query("WITH s AS (SELECT c_name AS by_name, row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS i FROM customer), c AS (SELECT c_name AS by_balance, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i FROM customer) SELECT i, by_name, by_balance FROM s JOIN c USING (i)")
 def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The i-th supplier beside the i-th customer, by name; both sides have as many rows."""
-    left = A.table(spark, sf_dir, "supplier").select("s_name")
-    n = left.count()
-    right = A.table(spark, sf_dir, "customer").filter(F.col("c_custkey") < n).select("c_name")
-    return series.zipped(left, ["s_name"], right, ["c_name"])
+    """The i-th customer by name beside the i-th by balance."""
+    rows = A.table(spark, sf_dir, "customer")
+    left, right = rows.select(F.col("c_name").alias("by_name"), "c_custkey"), rows.select(F.col("c_name").alias("by_balance"), "c_acctbal", F.col("c_custkey").alias("key"))
+    return series.zipped(left, ["by_name", "c_custkey"], right, ["c_acctbal", "key"]).select("i", "by_name", "by_balance")
 
 
 @query("WITH t AS (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS tick FROM events), n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY event_type)) SELECT event_type, event_id, value, tick FROM t, n WHERE tick < n")
@@ -109,15 +108,15 @@ def series_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c.c_custkey, s.s_suppkey FROM customer c JOIN (SELECT s_suppkey, replace(s_name, 'Supplier', 'CUSTOMER') AS n FROM supplier) s ON lower(c.c_name) = lower(s.n)")
 def ci_name_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that agree but for their case."""
-    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.lower(F.replace("s_name", F.lit("Supplier"), F.lit("CUSTOMER"))).alias("n"))
-    c = A.table(spark, sf_dir, "customer").select("c_custkey", F.lower("c_name").alias("n"))
-    return c.join(s, "n").select("c_custkey", "s_suppkey")
+    s = A.table(spark, sf_dir, "supplier").select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("CUSTOMER")).alias("n"))
+    c = A.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("n"))
+    return series.named_alike(c, s, "n").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
 def missing_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without an order in progress."""
-    return A.table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(A.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return series.unmatched(A.table(spark, sf_dir, "customer").select("c_custkey", "c_name"), A.table(spark, sf_dir, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("SELECT (SELECT count(*) FROM customer) AS n, (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)) AS matched")
@@ -133,7 +132,7 @@ def telemetry_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readings beside what was solved for their load."""
     e = A.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("meter"), F.col("user_id").alias("bus"), F.col("value").alias("p_kw"))
     c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bus"), F.col("c_name").alias("load_name"), F.round("c_acctbal", 2).alias("bus_voltage"))
-    return e.join(c, "bus", "left").select("event_id", "meter", "bus", "p_kw", "load_name", "bus_voltage")
+    return series.telemetry(e, c, "bus").select("event_id", "meter", "bus", "p_kw", "load_name", "bus_voltage")
 
 
 @query("SELECT (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM part WHERE p_partkey >= 1) AS edges, (SELECT count(*) FROM customer) AS loads")

@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.functions.text import found, kind, load_terminal, number, object_name, prop, terminal
+from gridloom.functions.text import assignments, found, kind, load_terminal, number, object_name, prop, rpn, terminal
+from gridloom.operators.order import numbered
 
 
 def include_paths(spark: SparkSession, master: str) -> list[str]:
-    """The master file and the files that it redirects to, one level deep, in order; names are matched to files in any case."""
-    folder = master.rsplit("/", 1)[0]
+    """The master file and the files that it redirects to, one level deep, in order.
+
+    A name is taken from the master's folder and may lead to others; it is matched to a file in any case where none has it as it stands. Raises FileNotFoundError for a file that isn't there.
+    """
     text = spark.read.text(master, wholetext=True)
-    named = text.select(F.posexplode(F.split("value", r"\R")).alias("pos", "line")).select("pos", found(F.trim("line"), r"(?i)^redirect\s+([^\s!]+)").alias("name")).filter("name IS NOT NULL")
-    wanted = [r["name"] for r in named.orderBy("pos").collect()]  # a row for each include statement
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    there = {f.getPath().getName().lower(): f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)}
-    return [master, *(there[w.lower()] for w in wanted if w.lower() in there)]
+    named = text.select(F.posexplode(F.split("value", r"\R")).alias("pos", "line")).select("pos", found(F.trim("line"), r"(?i)^redirect\s+[\"(]?([^!\")]+)").alias("name")).filter("name IS NOT NULL")
+    wanted = [r["name"].strip().replace("\\", "/") for r in named.orderBy("pos").collect()]  # a row for each include statement
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    folder, out = path_of(master).getParent(), [master]
+    for name in wanted:
+        path = path_of(folder, name)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            near = [f.getPath() for f in fs.listStatus(path.getParent()) if f.getPath().getName().lower() == path.getName().lower()] if fs.exists(path.getParent()) else []
+            if not near:
+                raise FileNotFoundError(f"{master} redirects to {name}, which isn't there")
+            path = near[0]
+        out.append(path.toString())
+    return out
 
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_ord, pos, line of text files, in the order given."""
-    names = spark.createDataFrame(list(enumerate(paths)), "file_ord int, path string")
-    text = spark.read.text(paths, wholetext=True).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    named = names.select("file_ord", F.element_at(F.split("path", "/"), -1).alias("file"))
-    return text.join(F.broadcast(named), "file").select("file_ord", F.posexplode(F.split("value", r"\R")).alias("pos", "line"))
+    """file_ord, pos, line of text files, in the order given; a file that is given twice comes twice. Names may hold any characters."""
+    known = set()
+    for k, p in enumerate(paths):
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+        known |= {(k, _tail(whole.toString())), (k, _tail(whole.toUri().toString()))}  # Spark names a file as it stands or as a URI
+    names = spark.createDataFrame(sorted(known), "file_ord int, file string")
+    text = spark.read.text(sorted({_literal(p) for p in paths}), wholetext=True).withColumn("file", F.regexp_replace(F.input_file_name(), "^[^:/]+:/*", "/"))
+    return text.join(F.broadcast(names), "file").select("file_ord", F.posexplode(F.split("value", r"\R")).alias("pos", "line"))  # a row or two for each name in `paths`
+
+
+def _tail(path: str) -> str:
+    """A path without its scheme and what leading slashes it brings."""
+    return re.sub("^[^:/]+:/*", "/", path)
+
+
+def _literal(path: str) -> str:
+    """A path whose characters are no pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
 
 
 def merged(rows: DataFrame, by: str, pos: str, text: str) -> DataFrame:
@@ -66,14 +93,34 @@ def source(stmts: DataFrame) -> DataFrame:
     return of_kind(stmts, "circuit").select(found(cmd, r"(?i)circuit\.(\S+)").alias("name"), number(cmd, "basekv").alias("base_kv"), prop(cmd, "bus1").alias("bus"))
 
 
-def switches(stmts: DataFrame) -> DataFrame:
+def _wired(stmts: DataFrame, name: str, phases: Column, linecode: Column) -> DataFrame:
+    """Sections with both ends and a length; others are no sections."""
     cmd = F.col("cmd")
-    return of_kind(stmts, "switch").select("file_ord", "pos", "name", F.coalesce(number(cmd, "phases").cast("int"), F.lit(3)).alias("phases"), prop(cmd, "bus1").alias("bus1"), prop(cmd, "bus2").alias("bus2"), number(cmd, "length").alias("length"), F.lit(None).cast("string").alias("linecode"))
+    rows = of_kind(stmts, name).select("file_ord", "pos", "name", phases.cast("int").alias("phases"), prop(cmd, "bus1").alias("bus1"), prop(cmd, "bus2").alias("bus2"), number(cmd, "length").alias("length"), linecode.alias("linecode"))
+    return rows.filter("phases IS NOT NULL AND bus1 IS NOT NULL AND bus2 IS NOT NULL AND length IS NOT NULL")
+
+
+def switches(stmts: DataFrame) -> DataFrame:
+    """The switches, and whether they are closed: not if the last statement that opens or closes one opens it."""
+    rows = _wired(stmts, "switch", number(F.col("cmd"), "phases"), F.lit(None).cast("string"))
+    return _with_state(rows, stmts)
 
 
 def line_sections(stmts: DataFrame) -> DataFrame:
     cmd = F.col("cmd")
-    return of_kind(stmts, "line").select("file_ord", "pos", "name", F.coalesce(number(cmd, "phases").cast("int"), F.lit(3)).alias("phases"), prop(cmd, "bus1").alias("bus1"), prop(cmd, "bus2").alias("bus2"), number(cmd, "length").alias("length"), prop(cmd, "linecode").alias("linecode"))
+    return _wired(stmts, "line", F.coalesce(number(cmd, "phases"), F.lit(3)), prop(cmd, "linecode"))
+
+
+def states(stmts: DataFrame) -> DataFrame:
+    """element (class.name in lower case), closed: by the last statement that opens or closes it."""
+    moved = stmts.filter(F.col("kind").isin("open", "close")).select("file_ord", "pos", F.lower(found(F.col("cmd"), r"(?i)^(?:open|close)\s+(\w+\.\S+)")).alias("element"), (F.col("kind") == "close").alias("closed"))
+    return moved.groupBy("element").agg(F.max_by("closed", F.struct("file_ord", "pos")).alias("closed"))
+
+
+def _with_state(rows: DataFrame, stmts: DataFrame) -> DataFrame:
+    now = states(stmts).withColumnRenamed("closed", "_closed")
+    out = rows.join(now, F.concat(F.lit("line."), F.lower("name")) == F.col("element"), "left")
+    return out.select(*rows.columns, F.coalesce("_closed", F.lit(True)).alias("closed"))
 
 
 def transformers(stmts: DataFrame) -> DataFrame:
@@ -86,30 +133,94 @@ def transformers(stmts: DataFrame) -> DataFrame:
 
 def capacitors(stmts: DataFrame) -> DataFrame:
     cmd = F.col("cmd")
-    return of_kind(stmts, "capacitor").select("name", prop(cmd, "bus1").alias("bus"), number(cmd, "kvar").alias("kvar"), number(cmd, "kv").alias("kv"))
+    rows = of_kind(stmts, "capacitor").select("name", prop(cmd, "bus1").alias("bus"), number(cmd, "kvar").alias("kvar"), number(cmd, "kv").alias("kv"))
+    return rows.filter("bus IS NOT NULL AND kvar IS NOT NULL AND kv IS NOT NULL")
 
 
 def regulators(stmts: DataFrame) -> DataFrame:
     cmd = F.col("cmd")
     rows = of_kind(stmts, "regcontrol").select("name", prop(cmd, "like").alias("like"), prop(cmd, "transformer").alias("transformer"), number(cmd, "winding").cast("int").alias("winding"))
-    return like_resolved(rows, "name", "like", ["transformer", "winding"]).drop("like")
+    return like_resolved(rows, "name", "like", ["transformer", "winding"]).drop("like").filter("transformer IS NOT NULL AND winding IS NOT NULL")
 
 
-def loads(stmts: DataFrame) -> DataFrame:
-    """The loads, numbered in order by bus; statements that lack a field are left to `rejects`."""
+def _loads(stmts: DataFrame) -> DataFrame:
     cmd = F.col("cmd")
     rows = of_kind(stmts, "load").select("file_ord", "pos", "name", prop(cmd, "bus1").alias("bus_terminal"), number(cmd, "phases").cast("int").alias("phases"), prop(cmd, "conn").alias("connection"), number(cmd, "model").cast("int").alias("model"), number(cmd, "kv").alias("kv"), number(cmd, "kw").alias("base_kw"), number(cmd, "kvar").alias("base_kvar"))
     at = load_terminal(F.col("bus_terminal"), F.col("phases"))
     return rows.filter(_complete()).select("file_ord", "pos", "name", at["bus"].alias("bus"), "bus_terminal", at["phase"].alias("phase"), "phases", "connection", "model", "kv", "base_kw", "base_kvar")
 
 
+def loads(stmts: DataFrame) -> DataFrame:
+    """The loads with load_seq, their number from 0 in the order of buses and, at one bus, of the text; statements that lack a field are left to `rejects`."""
+    return numbered(_loads(stmts), "bus", "file_ord", "pos", name="load_seq")
+
+
 def _complete() -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in ("bus_terminal", "phases", "connection", "model", "kv", "base_kw", "base_kvar")])
 
 
 def rejects(stmts: DataFrame) -> DataFrame:
     """Load statements that `loads` leaves out."""
-    return of_kind(stmts, "load").join(loads(stmts).select("file_ord", "pos"), ["file_ord", "pos"], "left_anti")
+    return of_kind(stmts, "load").join(_loads(stmts).select("file_ord", "pos"), ["file_ord", "pos"], "left_anti")
+
+
+def generators(stmts: DataFrame) -> DataFrame:
+    """Generators and storage units: name, device, bus, kv, kw (rated), pf, duty (the name of their shape)."""
+    cmd = F.col("cmd")
+    rows = stmts.filter(F.col("kind").isin("generator", "storage"))
+    return rows.select("name", F.col("kind").alias("device"), prop(cmd, "bus1").alias("bus"), number(cmd, "kv").alias("kv"), F.coalesce(number(cmd, "kw"), number(cmd, "kwrated")).alias("kw"), F.coalesce(number(cmd, "pf"), F.lit(1.0)).alias("pf"), prop(cmd, "duty").alias("duty"))
+
+
+def shapes(stmts: DataFrame) -> DataFrame:
+    """Load shapes: name, npts, interval_s (from sinterval, or Interval in hours, which may be postfix arithmetic), file."""
+    cmd = F.col("cmd")
+    hours = F.coalesce(rpn(found(cmd, r"(?i)\binterval\s*=\s*\(([^)]*)\)")), number(cmd, "interval"))
+    return of_kind(stmts, "loadshape").select("name", number(cmd, "npts").cast("int").alias("npts"), F.coalesce(number(cmd, "sinterval"), hours * 3600).alias("interval_s"), found(cmd, r"(?i)\bfile\s*=\s*([^\s)]+)").alias("file"))
+
+
+def monitors(stmts: DataFrame) -> DataFrame:
+    """Monitors: name, element, terminal, mode."""
+    cmd = F.col("cmd")
+    return of_kind(stmts, "monitor").select("name", F.coalesce(prop(cmd, "element"), found(cmd, r"(?i)^new\s+monitor\.\S+\s+([\w.]+)")).alias("element"), F.coalesce(number(cmd, "terminal"), F.lit(1)).cast("int").alias("terminal"), F.coalesce(number(cmd, "mode"), F.lit(0)).cast("int").alias("mode"))
+
+
+def solves(stmts: DataFrame) -> DataFrame:
+    """file_ord, pos, mode, n (steps), step_s of every run; without a mode a snapshot of one step."""
+    cmd = F.col("cmd")
+    unit = F.lower(found(cmd, r"(?i)\bstepsize\s*=\s*[\d.]+([smh])"))
+    step = number(cmd, "stepsize") * F.when(unit == "h", 3600).when(unit == "m", 60).otherwise(1)
+    return of_kind(stmts, "solve").select("file_ord", "pos", F.lower(F.coalesce(prop(cmd, "mode"), F.lit("snapshot"))).alias("mode"), F.coalesce(number(cmd, "number"), F.lit(1)).cast("int").alias("n"), F.coalesce(step, F.lit(1)).cast("double").alias("step_s"))
+
+
+def edits(stmts: DataFrame) -> DataFrame:
+    """file_ord, pos, class, name, prop, value of statements such as Class.name.prop=value, class, name and prop in lower case."""
+    cmd = F.col("cmd")
+    rows = of_kind(stmts, "edit").select("file_ord", "pos", F.lower(found(cmd, r"^(\w+)\.")).alias("class"), F.lower(found(cmd, r"^\w+\.([^.\s]+)\.")).alias("name"), F.explode(assignments(F.regexp_replace(cmd, "!.*$", ""))).alias("a"))
+    return rows.select("file_ord", "pos", "class", "name", "a.prop", "a.value")
+
+
+def bulk_edits(stmts: DataFrame) -> DataFrame:
+    """file_ord, pos, class, pattern, prop, value of statements such as batchedit class.pattern prop=value."""
+    cmd = F.col("cmd")
+    rows = of_kind(stmts, "batchedit").select("file_ord", "pos", F.lower(found(cmd, r"(?i)^batchedit\s+(\w+)\.")).alias("class"), found(cmd, r"(?i)^batchedit\s+\w+\.(\S+)").alias("pattern"), F.explode(assignments(F.regexp_replace(cmd, "!.*$", ""))).alias("a"))
+    return rows.select("file_ord", "pos", "class", "pattern", "a.prop", "a.value")
+
+
+def edited(rows: DataFrame, stmts: DataFrame, of: str, prop_name: str, column: str) -> DataFrame:
+    """rows (name) with a column as edits and bulk edits of class `of` leave it, the last one in the text winning; null where none touches it, unless rows have the column."""
+    own = edits(stmts).filter((F.col("class") == of) & (F.col("prop") == prop_name))
+    own = own.groupBy(F.col("name").alias("_name")).agg(F.max(F.struct("file_ord", "pos", "value")).alias("_edit"))
+    bulk = bulk_edits(stmts).filter((F.col("class") == of) & (F.col("prop") == prop_name)).orderBy("file_ord", "pos").collect()  # a row for each such statement
+    out = rows.join(own, F.lower("name") == F.col("_name"), "left")
+    last = F.col("_edit")
+    for r in bulk:
+        made = F.struct(F.lit(r["file_ord"]).alias("file_ord"), F.lit(r["pos"]).alias("pos"), F.lit(r["value"]).alias("value"))
+        hit = F.col("name").rlike(f"(?i)^(?:{r['pattern']})$")
+        last = F.when(hit & (last.isNull() | (made > last)), made).otherwise(last)
+    new = last["value"]
+    if column in rows.columns:
+        new = F.coalesce(new.try_cast(rows.schema[column].dataType), F.col(column))
+    return out.withColumn(column, new).drop("_name", "_edit")
 
 
 def line_codes(stmts: DataFrame) -> DataFrame:
@@ -141,9 +252,9 @@ def load_shape(spark: SparkSession, path: str, interval_s: float) -> DataFrame:
 
 
 def edges(stmts: DataFrame) -> DataFrame:
-    """seq, id, src, dst, device, phases, length, linecode of switches, two-bus transformers and lines; terminals without their phases."""
+    """file_ord, pos, id, src, dst, device, phases, length, linecode of closed switches, two-bus transformers and closed lines; terminals without their phases."""
     bare = lambda c: F.split(F.col(c), r"\.")[0]
-    wired = [rows.select("file_ord", "pos", F.col("name").alias("id"), bare("bus1").alias("src"), bare("bus2").alias("dst"), F.lit(device).alias("device"), "phases", "length", "linecode") for device, rows in (("switch", switches(stmts)), ("line", line_sections(stmts)))]
+    wired = [rows.select("file_ord", "pos", F.col("name").alias("id"), bare("bus1").alias("src"), bare("bus2").alias("dst"), F.lit(device).alias("device"), "phases", "length", "linecode") for device, rows in (("switch", switches(stmts).filter("closed")), ("line", _with_state(line_sections(stmts), stmts).filter("closed")))]
     paired = transformers(stmts).filter(F.size("buses") == 2).select("file_ord", "pos", F.col("name").alias("id"), F.split(F.col("buses")[0], r"\.")[0].alias("src"), F.split(F.col("buses")[1], r"\.")[0].alias("dst"), F.lit("transformer").alias("device"), F.lit(1).alias("phases"), F.lit(0.0).alias("length"), F.lit(None).cast("string").alias("linecode"))
     return reduce(DataFrame.unionByName, [*wired, paired])
 
