@@ -41,6 +41,8 @@ from gridloom.llm._shared import Pieces, Words, documents, dropped, flattened, g
 
 #: Ids in a block, about.
 BLOCK = 1 << 18
+#: Words that are encoded as one text.
+JOINED = 256
 #: Words that a worker keeps with their ids; beyond it the cache begins anew.
 CACHED = 700_000
 #: A stop before a space and after a letter or digit that composing and lower-casing leave alone or turn into one letter begins and ends a piece of its own.
@@ -82,7 +84,10 @@ class WordCache:
 
         self.tokenizer, self.plain, self.cached = Tokenizer.from_file(checked(path)), Tokenizer.from_file(path), cached
         self.plain.normalizer = None  # for plain words, which its steps would not change
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.plain.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(self.plain.model.end_of_word_suffix or "\n")]] = True
         # found in the text as it stands, so that case matters
         self.raw = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized]
         self.words, self.pieces = Words(), Pieces()
@@ -90,12 +95,20 @@ class WordCache:
     def _add(self, words: list[str]) -> None:
         plain = np.fromiter((m is not None for m in map(_PLAIN, words)), dtype=bool, count=len(words))
         some, rest = list(compress(words, plain)), list(compress(words, ~plain))
-        found = self.plain.encode_batch_fast(some, add_special_tokens=False) + self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        ids, lens = flattened([e.ids for e in found])
+        ids, lens = (np.concatenate(x) for x in zip(self._plain_ids(some), flattened([e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]), strict=True))
         order = np.empty(len(words), dtype=np.int64)
         order[np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])] = np.arange(len(words))
         self.pieces.add(gather(ids, starts_of(lens)[order], lens[order]), lens[order])
 
+    def _plain_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words, many of them in one text, cut where an id ends a word."""
+        joined = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        ids, _ = flattened([e.ids for e in self.plain.encode_batch_fast(joined, add_special_tokens=False)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            return flattened([e.ids for e in self.plain.encode_batch_fast(words, add_special_tokens=False)])
+        return ids, np.diff(last, prepend=-1)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
         if len(self.words) > self.cached:
@@ -122,15 +135,20 @@ def cache_of(path: str) -> WordCache:
     return WordCache(path)
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: np.ndarray) -> bytes:
-    """Ids as planes of bytes, low ones first, compressed: for the way between two steps only."""
-    planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    """Ids in two bytes each, or four where one needs them, compressed: for the way between two steps only."""
+    width = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return _zstd()[0].compress(bytes([width]) + ids.astype(f"<u{width}").tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    raw = _zstd()[1].decompress(data)
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1)
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

@@ -71,6 +71,11 @@ def test_rans_round_trip(n):
             rans.decode(block._replace(ids_crc32=1), table)
 
 
+@pytest.mark.parametrize("ids", [[], [0], [65535, 2], [65536, 1, 2**32 - 1]])
+def test_packed_ids(ids):
+    assert token_store.unpack(token_store.pack(np.array(ids, dtype=np.uint32))).tolist() == ids
+
+
 def test_scaled_keeps_rare_ids():
     freq = rans.scaled(np.array([10**9, 1, 0, 1]))
     assert freq.sum() == 1 << rans.BITS and freq[1] == freq[3] >= 1 and freq[2] == 0
