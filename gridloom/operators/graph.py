@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.text import is_helper
@@ -16,6 +15,17 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node"), F.col("dst").alias("nbr")).union(edges.select("dst", "src")).distinct()
 
 
+def two_hops(near: DataFrame) -> DataFrame:
+    """node, nbr, beyond: each helper's neighbours with theirs, for a look at what contraction does."""
+    helpers = near.filter(is_helper(F.col("node")))
+    return helpers.join(near.select(F.col("node").alias("nbr"), F.col("nbr").alias("beyond")), "nbr").select("node", "nbr", "beyond")
+
+
+def helpers_among(nodes: DataFrame) -> DataFrame:
+    """The helpers among nodes, such as a main path, that should have none."""
+    return nodes.filter(is_helper(F.col("node")))
+
+
 def contracted(near: DataFrame) -> DataFrame:
     """Adjacency without helper nodes; a helper that ends in r and has two neighbours joins them, other helpers vanish with their edges."""
     ends = near.filter(is_helper(F.col("node")) & F.col("node").endswith("r")).groupBy("node").agg(F.min("nbr").alias("a"), F.max("nbr").alias("b"), F.count("*").alias("n")).filter("n = 2")
@@ -24,6 +34,12 @@ def contracted(near: DataFrame) -> DataFrame:
     return real.union(joined).distinct()
 
 
+def _ranked(pairs: DataFrame, by: str, of: str) -> DataFrame:
+    """pairs with `token`: text that orders what belongs to one `by` as `of` does, and of which none begins another. A hub's neighbours need not meet in one task."""
+    k = F.col("_k").cast("string")
+    return numbered(pairs, by, of, name="_k").withColumn("token", F.concat(F.lpad(F.length(k).cast("string"), 2, "0"), k)).drop("_k")
+
+
 def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame:
     """node, parent, depth, path, ancestors of all nodes that can be reached from source, breadth first.
 
@@ -33,13 +49,13 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
     Raises ValueError where most_levels rounds don't reach the end.
     """
     spark = near.sparkSession
-    ranked = staged(near.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy("nbr"))))
+    ranked = staged(_ranked(near, "node", "nbr"))
     level = staged(spark.createDataFrame([(source, None, 0, "", [source])], "node string, parent string, depth int, path string, ancestors array<string>"))
     levels = level
     seen = level.select("node")
     for _ in range(most_levels):
         step = level.select(F.col("node").alias("parent"), "depth", "path", "ancestors").join(ranked, F.col("parent") == F.col("node"))
-        step = step.select(F.col("nbr").alias("node"), "parent", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lpad(F.col("k").cast("string"), 8, "0")).alias("path"), F.concat("ancestors", F.array("nbr")).alias("ancestors"))
+        step = step.select(F.col("nbr").alias("node"), "parent", (F.col("depth") + 1).alias("depth"), F.concat("path", "token").alias("path"), F.concat("ancestors", F.array("nbr")).alias("ancestors"))
         best = step.groupBy("node").agg(F.min_by(F.struct("parent", "depth", "path", "ancestors"), "path").alias("b")).select("node", "b.*")
         last, level = level, staged(best.join(seen, "node", "left_anti"))
         if level.isEmpty():
@@ -50,17 +66,28 @@ def rooted(near: DataFrame, source: str, most_levels: int = 10_000) -> DataFrame
 
 
 def rooted_by_parent(parents: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """The same but for path, from node, parent where a root's parent is null; nodes that no root leads to are left out.
+    """The same from node, parent where a root's parent is null; nodes that no root leads to are left out.
 
     Ways double in length each round, so a tree of depth d takes about log2(d) joins. Raises ValueError on a cycle.
     """
-    state = staged(parents.select("node", "parent", F.col("parent").alias("up"), F.col("parent").alias("above"), F.array("node").alias("ancestors")))
+    ranked = _ranked(parents, "parent", "node").withColumn("token", F.when(F.col("parent").isNull(), "").otherwise(F.col("token")))
+    state = staged(ranked.select("node", "parent", F.col("parent").alias("up"), F.col("parent").alias("above"), F.array("node").alias("ancestors"), F.col("token").alias("path")))
     for _ in range(most_rounds):
         if state.filter("up IS NOT NULL").isEmpty():
-            return state.filter("above IS NULL").select("node", "parent", (F.size("ancestors") - 1).alias("depth"), "ancestors")
-        more = state.select(F.col("node").alias("n"), F.col("up").alias("far"), F.col("above").alias("over"), F.col("ancestors").alias("first"))
+            return state.filter("above IS NULL").select("node", "parent", (F.size("ancestors") - 1).alias("depth"), "path", "ancestors")
+        more = state.select(F.col("node").alias("n"), F.col("up").alias("far"), F.col("above").alias("over"), F.col("ancestors").alias("first"), F.col("path").alias("begin"))
         met = F.col("n").isNotNull()
-        state = staged(state.join(more, F.col("up") == F.col("n"), "left").select("node", "parent", F.col("far").alias("up"), F.when(met, F.col("over")).otherwise(F.col("above")).alias("above"), F.when(met, F.concat("first", "ancestors")).otherwise(F.col("ancestors")).alias("ancestors")))
+        joined = state.join(more, F.col("up") == F.col("n"), "left")
+        state = staged(
+            joined.select(
+                "node",
+                "parent",
+                F.col("far").alias("up"),
+                F.when(met, F.col("over")).otherwise(F.col("above")).alias("above"),
+                F.when(met, F.concat("first", "ancestors")).otherwise(F.col("ancestors")).alias("ancestors"),
+                F.when(met, F.concat("begin", "path")).otherwise(F.col("path")).alias("path"),
+            )
+        )
     raise ValueError("parents form a cycle")
 
 

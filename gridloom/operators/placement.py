@@ -64,23 +64,34 @@ def scored(loads: DataFrame) -> DataFrame:
 
 def round_robin(loads: DataFrame, target: int) -> DataFrame:
     """loads chosen, with `pick` (their order): in each size class, by first appearance, one load of each branch in turn, best scores first,
-    no bus twice, until the class's share of target (halves to even, 1 at least) is met."""
+    no bus twice, until the class's share of target (halves to even, 1 at least) is met.
+
+    A class can choose from its first branches only, and from their best buses, as many as all classes choose together and its own share: what else there is is left out
+    for all classes at once, before they choose one after another.
+    """
     classes = loads.groupBy("size_class").agg(F.min("load_seq").alias("first"), F.count("*").alias("n")).orderBy("first").collect()  # four rows at most
-    whole, chosen = sum(r["n"] for r in classes), None
-    for k, r in enumerate(classes):
-        quota = max(1, round(target * r["n"] / whole))
-        own = loads.filter(F.col("size_class") == r["size_class"])
-        turn = own.groupBy("branch").agg(F.min("load_seq").alias("_turn"))
-        if chosen is not None:
-            own = own.join(chosen.select("bus").distinct(), "bus", "left_anti")
-        best = own.withColumn("_b", F.row_number().over(W.partitionBy("bus").orderBy(F.desc("score"), "load_seq"))).filter("_b = 1").drop("_b")
-        ranked = best.withColumn("_round", F.row_number().over(W.partitionBy("branch").orderBy(F.desc("score"), "load_seq"))).filter(F.col("_round") <= quota).join(turn, "branch")
-        picked = staged(ranked.orderBy("_round", "_turn").limit(quota).select(*loads.columns, F.lit(k).alias("_class"), "_round", "_turn"))
-        chosen = picked if chosen is None else chosen.unionByName(picked)
-    if chosen is None:
-        return loads.withColumn("pick", F.lit(0).cast("long"))
-    out = numbered(chosen, "_class", "_round", "_turn", name="pick")
-    return truncated(out.select(*loads.columns, "pick"), target)
+    whole = sum(r["n"] for r in classes)
+    quotas = [max(1, round(target * r["n"] / whole)) for r in classes]
+    most = sum(quotas) + max(quotas, default=1)
+    turns = loads.groupBy("size_class", "branch").agg(F.min("load_seq").alias("_turn"))
+    first = turns.withColumn("_t", F.row_number().over(W.partitionBy("size_class").orderBy("_turn"))).filter(F.col("_t") <= most).drop("_t")
+    best = loads.groupBy("size_class", "bus").agg(F.max_by(F.struct(*loads.columns), F.struct("score", -F.col("load_seq"))).alias("l")).select("l.*")
+    by_score = W.partitionBy("size_class", "branch").orderBy(F.desc("score"), "load_seq")
+    near = best.join(first, ["size_class", "branch"]).withColumn("_r", F.row_number().over(by_score)).filter(F.col("_r") <= most)
+    near = staged(near.select(*loads.columns, "_turn"))
+    chosen = near.filter(F.lit(False)).withColumns({"_class": F.lit(0), "_round": F.lit(0)})
+    for k, (r, quota) in enumerate(zip(classes, quotas, strict=True)):
+        own = near.filter(F.col("size_class") == r["size_class"]).join(chosen.select("bus"), "bus", "left_anti")
+        ranked = own.withColumn("_round", F.row_number().over(W.partitionBy("branch").orderBy(F.desc("score"), "load_seq")))
+        picked = ranked.orderBy("_round", "_turn").limit(quota).select(*near.columns, F.lit(k).alias("_class"), "_round")
+        chosen = chosen.unionByName(staged(picked))
+    counts = {r["_class"]: r["count"] for r in chosen.groupBy("_class").count().collect()}
+    before = F.lit(0)
+    for k in range(1, len(classes)):
+        before = F.when(F.col("_class") == k, sum(counts.get(j, 0) for j in range(k))).otherwise(before)
+    place = F.row_number().over(W.partitionBy("_class").orderBy("_round", "_turn"))  # a class's share of target
+    out = chosen.withColumn("pick", (place - 1 + before).cast("long")).select(*loads.columns, "pick")
+    return truncated(out, target) if sum(counts.values()) > target else out
 
 
 def truncated(chosen: DataFrame, target: int) -> DataFrame:

@@ -5,7 +5,7 @@ Part k hangs below (k - 1) div 2 if k is odd, else below k div 3; part 0 is the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,10 +31,15 @@ def loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_custkey").alias("bus"), F.greatest("c_acctbal", F.lit(0.0)).alias("base_kw"), F.col("c_custkey").alias("load_seq"))
 
 
+def helper_name(node: str) -> Column:
+    """Some nodes renamed to helpers: r for every 7th, s for every 11th, _OPEN for every 13th."""
+    k = F.col(node).cast("long")
+    return F.when(k % 7 == 3, F.concat(node, F.lit("r"))).when(k % 11 == 5, F.concat(node, F.lit("s"))).when(k % 13 == 6, F.concat(node, F.lit("_OPEN"))).otherwise(F.col(node))
+
+
 def helper_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree with some nodes renamed to helpers: r for every 7th, s for every 11th, _OPEN for every 13th."""
-    name = lambda c: F.when(F.col(c).cast("long") % 7 == 3, F.concat(c, F.lit("r"))).when(F.col(c).cast("long") % 11 == 5, F.concat(c, F.lit("s"))).when(F.col(c).cast("long") % 13 == 6, F.concat(c, F.lit("_OPEN"))).otherwise(F.col(c))
-    return tree_edges(spark, sf_dir).select(name("src").alias("src"), name("dst").alias("dst"))
+    """The tree with some of its nodes as helpers."""
+    return tree_edges(spark, sf_dir).select(helper_name("src").alias("src"), helper_name("dst").alias("dst"))
 
 
 def readings(spark: SparkSession, sf_dir: str, width: str = "day") -> DataFrame:

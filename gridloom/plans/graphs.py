@@ -49,6 +49,12 @@ def helper_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.adjacency(A.helper_edges(spark, sf_dir)).filter(graph.is_helper(F.col("node"))).groupBy("node").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {A.TREE_SQL}, {_HELPERS} SELECT a.node, a.nbr, b.nbr AS beyond FROM near a JOIN near b ON b.node = a.nbr WHERE {_IS_HELPER.replace('x', 'a.node')}")
+def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helper nodes with their neighbours' neighbours."""
+    return graph.two_hops(graph.adjacency(A.helper_edges(spark, sf_dir)))
+
+
 @query(f"WITH RECURSIVE {A.CLOSURE_SQL} SELECT CAST(node AS VARCHAR) AS node, CAST(max(steps) AS INT) AS depth FROM up GROUP BY node")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops from the source, breadth first over undirected edges."""
@@ -102,6 +108,15 @@ def main_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.main_path(tree, staged(sums))
 
 
+@query(f"""
+WITH RECURSIVE {_PATH_SQL}, named AS (SELECT CAST(node AS VARCHAR) || CASE WHEN node % 7 = 3 THEN 'r' WHEN node % 11 = 5 THEN 's' WHEN node % 13 = 6 THEN '_OPEN' ELSE '' END AS node, CAST(depth AS INT) AS depth FROM spine)
+SELECT node, depth FROM named WHERE {_IS_HELPER.replace('x', 'node')}""")
+def helpers_on_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Helper nodes on the main path, of a tree whose helpers were not contracted."""
+    path = main_path(spark, sf_dir)
+    return graph.helpers_among(path.withColumn("node", A.helper_name("node")))
+
+
 @query(f"WITH RECURSIVE {_SUMS_SQL} SELECT CAST(node AS VARCHAR) AS node, round(downstream, 4) AS downstream FROM sums ORDER BY round(downstream, 4) DESC, CAST(node AS VARCHAR) LIMIT 20")
 def top_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nodes with the most load below."""

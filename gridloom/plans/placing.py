@@ -16,7 +16,7 @@ TARGET = 49
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All loads with size class, depth, branch, downstream load, backbone and score, scores rounded so that equal ones tie."""
-    tree = staged(graph.rooted(graph.adjacency(A.tree_edges(spark, sf_dir)), "0"))
+    tree = graph.rooted_by_parent(A.parents(spark, sf_dir))
     loads = A.loads(spark, sf_dir)
     values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
     sums = staged(graph.subtree_sums(tree, values, "bus", "base_kw").withColumn("downstream", F.round("downstream", 4)))
