@@ -1,18 +1,14 @@
-"""Power flow on radial feeders: linear voltage drops as joins, and a three-phase sweep for each tick."""
+"""Linear power flow on radial feeders: what lies below summed up, drops summed down, as joins for any number of ticks at once."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.graph import path_sums, subtree_sums
 
-#: Load models: constant power, constant impedance, constant current.
-POWER, IMPEDANCE, CURRENT = 1, 2, 5
+#: Per-unit voltages within which a linear drop means anything; a tick that leaves them has no solution.
+LEAST_PU, MOST_PU = 0.5, 1.5
 
 
 def linear_voltages(tree: DataFrame, lines: DataFrame, loads: DataFrame, v0: float) -> DataFrame:
@@ -24,89 +20,22 @@ def linear_voltages(tree: DataFrame, lines: DataFrame, loads: DataFrame, v0: flo
     return path_sums(tree, drop, "drop", "fall").select("node", (v0 - F.col("fall")).alias("v"))
 
 
-@dataclass(frozen=True)
-class Feeder:
-    """A radial three-phase feeder; its size has the bound of one network model, so tasks are sent all of it.
-
-    Nodes stand in breadth-first order, the source first. z: ohms (3 by 3) of the way to the parent; ratio: turns ratio of a regulator there.
-    """
-
-    nodes: list[str]
-    parent: np.ndarray
-    z: np.ndarray
-    ratio: np.ndarray
-    volts: float  # phase to ground at the source
-    load_names: list[str]
-    load_node: np.ndarray
-    load_phases: np.ndarray  # bool, a row of 3 for each load
-    delta: np.ndarray
-    model: np.ndarray
-    kw: np.ndarray
-    kvar: np.ndarray
-
-    def solve(self, kw: np.ndarray, kvar: np.ndarray, most: int = 100, tolerance: float = 1e-6) -> tuple[bool, np.ndarray, np.ndarray]:
-        """converged, complex volts of all nodes (n by 3), complex amperes into the nodes' ways (n by 3)."""
-        turn = np.exp(-2j * np.pi / 3 * np.arange(3))
-        start = np.tile(self.volts * turn, (len(self.nodes), 1))
-        v, flow = start.copy(), np.zeros_like(start)
-        share = 1000 * (kw + 1j * kvar) / np.maximum(self.load_phases.sum(axis=1), 1)
-        for _ in range(most):
-            flow = self._injected(v, share)
-            for i in range(len(self.nodes) - 1, 0, -1):
-                flow[self.parent[i]] += flow[i] * self.ratio[i][:]
-            new = v.copy()
-            for i in range(1, len(self.nodes)):
-                new[i] = new[self.parent[i]] * self.ratio[i] - self.z[i] @ flow[i]
-            change = np.abs(new - v).max()
-            v = new
-            if not np.isfinite(change):
-                return False, v, flow
-            if change < tolerance * self.volts:
-                return True, v, flow
-        return False, v, flow
-
-    def _injected(self, v: np.ndarray, share: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(v)
-        nominal = self.volts * np.sqrt(np.where(self.delta, 3, 1))
-        for k, node in enumerate(self.load_node):
-            on = self.load_phases[k]
-            if self.delta[k]:
-                to = np.roll(np.arange(3), -1)
-                across = v[node] - v[node][to]
-            else:
-                across = v[node]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scale = np.abs(across) / nominal[k]
-                power = share[k] * (scale**2 if self.model[k] == IMPEDANCE else scale if self.model[k] == CURRENT else 1)
-                current = np.where(on, np.conj(power / across), 0)
-            out[node] += current
-            if self.delta[k]:
-                out[node][to] -= current
-        return out
+def tick_voltages(tree: DataFrame, lines: DataFrame, readings: DataFrame, v0: float) -> DataFrame:
+    """readings (tick, load_name, node, p_kw, q_kvar) with v, pu, amps and `converged` at their nodes, all ticks in one plan.
 
-
-TELEMETRY = "tick long, load_name string, converged boolean, bus_voltage_pu double, bus_voltage_v double, current_a double, solved_kw double, solved_kvar double"
-
-
-def solved(readings: DataFrame, feeder: Feeder) -> DataFrame:
-    """Telemetry of every metered load for readings (tick, load_name, p_kw, q_kvar), one solve a tick; loads without a reading keep their rating.
-
-    A tick holds a reading for each load at most, so a group has the bound of one model. Ticks that don't converge give no rows.
+    A reading goes to the nodes on its way to the source, where each tick's are summed; the drops there come back over the same ways. `converged` holds for a whole tick.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        kw, kvar, at = feeder.kw.copy(), feeder.kvar.copy(), {n.lower(): i for i, n in enumerate(feeder.load_names)}
-        rows = rows[rows["load_name"].str.lower().isin(at)]
-        which = [at[n.lower()] for n in rows["load_name"]]
-        kw[which], kvar[which] = rows["p_kw"], rows["q_kvar"]
-        ok, v, _ = feeder.solve(kw, kvar)
-        if not ok or not which:
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in TELEMETRY.split(", ")])
-        own = feeder.load_phases[which]
-        volts = np.abs(v[feeder.load_node[which]])
-        mean = (volts * own).sum(axis=1) / own.sum(axis=1)
-        first = np.abs(v[feeder.load_node[which], own.argmax(axis=1)]) / feeder.volts
-        power = np.hypot(kw[which], kvar[which]) * 1000
-        return pd.DataFrame({"tick": rows["tick"].to_numpy(), "load_name": rows["load_name"].to_numpy(), "converged": True, "bus_voltage_pu": first, "bus_voltage_v": mean, "current_a": power / own.sum(axis=1) / mean, "solved_kw": kw[which], "solved_kvar": kvar[which]})
-
-    return readings.select("tick", "load_name", "p_kw", "q_kvar").groupBy("tick").applyInPandas(run, TELEMETRY)
+    ways = readings.join(tree.select("node", "ancestors"), "node").select("tick", "load_name", "node", "p_kw", "q_kvar", F.explode("ancestors").alias("at"))
+    flow = ways.groupBy("tick", "at").agg(F.sum("p_kw").alias("p"), F.sum("q_kvar").alias("q"))
+    drop = flow.join(lines.withColumnRenamed("node", "at"), "at").select("tick", "at", ((F.col("r") * F.col("p") + F.col("x") * F.col("q")) / v0).alias("drop"))
+    fall = ways.join(drop, ["tick", "at"], "left").groupBy("tick", "load_name", "node", "p_kw", "q_kvar").agg(F.sum(F.coalesce("drop", F.lit(0.0))).alias("fall"))
+    out = fall.withColumn("v", v0 - F.col("fall")).withColumn("pu", F.col("v") / v0)
+    bad = out.filter(~F.col("pu").between(LEAST_PU, MOST_PU)).select("tick").distinct().withColumn("bad", F.lit(True))
+    amps = F.sqrt(F.col("p_kw") * F.col("p_kw") + F.col("q_kvar") * F.col("q_kvar")) * 1000 / F.nullif(F.col("v"), F.lit(0.0))
+    return out.join(bad, "tick", "left").select("tick", "load_name", "node", "p_kw", "q_kvar", "v", "pu", amps.alias("amps"), F.col("bad").isNull().alias("converged"))
+
+
+def telemetry(readings: DataFrame, tree: DataFrame, lines: DataFrame, v0: float) -> DataFrame:
+    """tick, load_name, p_kw, q_kvar, bus_voltage_pu, bus_voltage_v, current_a of the ticks that have a solution; the others give no rows."""
+    made = tick_voltages(tree, lines, readings, v0).filter("converged")
+    return made.select("tick", "load_name", "p_kw", "q_kvar", F.col("pu").alias("bus_voltage_pu"), F.col("v").alias("bus_voltage_v"), F.col("amps").alias("current_a"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators import flow, series
+from gridloom.operators import flow, graph, series
 from gridloom.plans import adapters as A
 from gridloom.plans.registry import query
+from gridloom.sources.shared import staged
 
 
 @query("SELECT c.c_custkey, c.c_name, coalesce(o.kw, c.c_acctbal) AS kw FROM customer c LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS kw FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON o.o_custkey = c.c_custkey")
@@ -103,21 +104,22 @@ def power_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.table(spark, sf_dir, "part").select("p_partkey", kw.alias("kw"), kvar.alias("kvar"), F.round(series.power_factor(kw, kvar), 9).alias("pf"))
 
 
-def example_feeder(loads: int) -> flow.Feeder:
-    """A feeder of a few buses with loads named load_0 and so on, of all models and connections."""
-    import numpy as np
+_METERS = ("click", "error", "purchase", "signup", "view")
 
-    n, eye = 8, np.eye(3)
-    phases = np.array([[True, False, False], [False, True, False], [False, False, True], [True, True, True]])
-    which = np.arange(loads)
-    delta = which % 4 == 3
-    return flow.Feeder([f"b{i}" for i in range(n)], np.maximum(np.arange(n) - 1, 0), np.tile((0.02 + 0.05j) * eye + (0.005 + 0.02j) * (1 - eye), (n, 1, 1)), np.ones((n, 3)), 2401.8, [f"load_{i}" for i in which], 1 + which % (n - 1), phases[which % 4], delta, np.array([1, 2, 5])[which % 3], np.full(loads, 20.0), np.full(loads, 10.0))
 
-
-@query()
+@query(f"""
+WITH RECURSIVE {A.CLOSURE_SQL}, last AS (SELECT date_trunc('day', ts) AS tick, event_type AS meter, max_by(value, (ts, event_id)) AS p FROM events GROUP BY 1, 2),
+rd AS (SELECT tick, meter, p, p * 0.4 AS q, 50 + list_position({list(_METERS)}, meter) AS node FROM last WHERE tick IN (SELECT tick FROM last GROUP BY tick HAVING count(*) >= 5)),
+fl AS (SELECT rd.tick, u.anc, sum(p) AS p, sum(q) AS q FROM rd JOIN up u ON u.node = rd.node GROUP BY 1, 2),
+dr AS (SELECT fl.tick, fl.anc, (0.01 * e.length * fl.p + 0.02 * e.length * fl.q) / 2400.0 AS d FROM fl JOIN tree_edges e ON e.k = fl.anc),
+v AS (SELECT rd.tick, rd.meter, rd.p, rd.q, 2400.0 - sum(coalesce(dr.d, 0)) AS v FROM rd JOIN up u ON u.node = rd.node LEFT JOIN dr ON dr.tick = rd.tick AND dr.anc = u.anc GROUP BY 1, 2, 3, 4)
+SELECT CAST(tick AS TIMESTAMP) AS tick, meter AS load_name, round(v / 2400.0, 9) AS bus_voltage_pu, round(v, 6) AS bus_voltage_v, round(sqrt(p * p + q * q) * 1000 / v, 6) AS current_a FROM v""")
 def sweep_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A three-phase solve for each complete day tick, each meter being a load; see the tests for its invariants."""
-    rows = series.barrier(A.readings(spark, sf_dir), "tick", "meter", ["ts", "event_id"], ["p_kw"], 5)
-    names = F.create_map(*[F.lit(x) for i, t in enumerate(("click", "error", "purchase", "signup", "view")) for x in (t, f"load_{i}")])
-    rows = rows.select(F.unix_seconds(F.col("tick").cast("timestamp")).alias("tick"), F.element_at(names, F.col("meter")).alias("load_name"), "p_kw", (F.col("p_kw") * 0.4).alias("q_kvar"))
-    return flow.solved(rows, example_feeder(9))
+    """Voltages at the meters for each complete day tick: load summed up the tree, drops summed down."""
+    tree = staged(graph.rooted_by_parent(A.parents(spark, sf_dir)))
+    rows = series.barrier(A.readings(spark, sf_dir), "tick", "meter", ["ts", "event_id"], ["p_kw"], len(_METERS))
+    at = F.create_map(*[F.lit(x) for i, m in enumerate(_METERS) for x in (m, str(51 + i))])
+    rows = rows.select("tick", F.col("meter").alias("load_name"), F.element_at(at, F.col("meter")).alias("node"), "p_kw", (F.col("p_kw") * 0.4).alias("q_kvar"))
+    lines = A.tree_edges(spark, sf_dir).select(F.col("dst").alias("node"), (0.01 * F.col("length")).alias("r"), (0.02 * F.col("length")).alias("x"))
+    out = flow.telemetry(rows, tree, lines, 2400.0)
+    return out.select("tick", "load_name", F.round("bus_voltage_pu", 9).alias("bus_voltage_pu"), F.round("bus_voltage_v", 6).alias("bus_voltage_v"), F.round("current_a", 6).alias("current_a"))

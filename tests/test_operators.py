@@ -3,14 +3,12 @@
 import random
 from collections import deque
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as T
 from gridloom.operators import flow, graph, placement, series
 from gridloom.operators.order import numbered
-from gridloom.plans.scenarios import example_feeder
 from gridloom.sources import statements as S
 from gridloom.streaming import barrier
 
@@ -162,17 +160,22 @@ def test_stream_sends_a_tick_once_across_a_restart(spark, tmp_path):
     assert go("2.json", [(1, "a", 9, 8.0), (1, "b", 9, 8.0), (2, "b", 1, 6.0), (3, "a", 1, 1.0)]) == [(1, "a", 2.0), (1, "b", 3.0), (2, "a", 5.0), (2, "b", 6.0)]
 
 
-def test_sweep_balances_power():
-    feeder = example_feeder(9)
-    ok, v, amps = feeder.solve(feeder.kw, feeder.kvar)
-    assert ok
-    fed = (v[0] * np.conj(amps[0])).sum()
-    lost = sum((feeder.z[i] @ amps[i]) @ np.conj(amps[i]) for i in range(1, len(feeder.nodes)))
-    drawn = sum((v[i] * np.conj(feeder._injected(v, 1000 * (feeder.kw + 1j * feeder.kvar) / feeder.load_phases.sum(axis=1))[i])).sum() for i in range(len(feeder.nodes)))
-    assert abs(fed - lost - drawn) < 1e-2 * abs(fed)
-    assert not feeder.solve(feeder.kw * 1e5, feeder.kvar * 1e5, most=20)[0]
-    none, v0, _ = feeder.solve(feeder.kw * 0, feeder.kvar * 0)
-    assert none and np.allclose(np.abs(v0), feeder.volts)
+def test_tick_voltages(spark):
+    """Against sums over every way, and a tick beyond what is linear is dropped."""
+    parent, r = {"1": "0", "2": "1", "3": "1", "4": "2"}, {"1": 0.5, "2": 0.25, "3": 1.0, "4": 0.125}
+    tree = graph.rooted_by_parent(spark.createDataFrame([("0", None), *parent.items()], "node string, parent string"))
+    lines = spark.createDataFrame([(n, x, 2 * x) for n, x in r.items()], "node string, r double, x double")
+    read = [(t, f"m{n}", n, p * t, 0.5 * p) for t in (1, 2) for n, p in (("2", 10.0), ("3", 4.0), ("4", 6.0))] + [(9, "m4", "4", 1e6, 0.0), (9, "m3", "3", 1.0, 0.0)]
+    way = lambda n: [n, *way(parent[n])] if n in parent else []
+    rows = spark.createDataFrame(read, "tick int, load_name string, node string, p_kw double, q_kvar double")
+    got = {(x["tick"], x["load_name"]): x for x in flow.telemetry(rows, tree, lines, 100.0).collect()}
+    assert set(got) == {(t, m) for t, m, *_ in read if t < 9}
+    for t, m, n, p, q in read:
+        if t < 9:
+            below = lambda at, k: sum(x[k] for x in read if x[0] == t and at in way(x[2]))  # noqa: B023, E731
+            v = 100 - sum((r[a] * below(a, 3) + 2 * r[a] * below(a, 4)) / 100 for a in way(n))
+            assert got[t, m]["bus_voltage_v"] == pytest.approx(v) and got[t, m]["bus_voltage_pu"] == pytest.approx(v / 100) and got[t, m]["current_a"] == pytest.approx((p * p + q * q) ** 0.5 * 1000 / v)
+    assert {x["tick"]: x["converged"] for x in flow.tick_voltages(tree, lines, rows, 100.0).collect()} == {1: True, 2: True, 9: False}
 
 
 def test_linear_voltages(spark):
