@@ -49,16 +49,34 @@ def _streamed(stream: DataFrame, kind: str = "parquet") -> DataFrame:
     return spark.read.schema(stream.schema).format(kind).option("header", True).load(path)
 
 
-@query("SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters, round(sum(p_kw), 6) AS p_kw FROM (SELECT date_trunc('day', ts) AS tick, event_type AS meter, min(value) AS p_kw FROM events GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 5")
+def _events_in_batches(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+    """A stream of all events, a file at a time and in no order of time, and after them a reading of no meter, years later, which ends all ticks."""
+    rows = A.readings(spark, sf_dir).select(F.col("tick").cast("timestamp").alias("tick"), "meter", F.col("ts").cast("timestamp").alias("ts"), "event_id", "p_kw")
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(files).write.parquet(path)
+    end = rows.agg(F.max("ts").alias("ts")).select(F.col("ts") + F.expr("INTERVAL 9 YEARS"))
+    end.select(F.date_trunc("day", end[0]).alias("tick"), F.lit("none").alias("meter"), end[0].alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("p_kw")).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query(f"WITH {_LAST.format('day')} {_FULL}")
 def tick_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complete day ticks through a stateful stream; a meter sends one reading a day, its least, so the answer doesn't depend on what comes first."""
-    rows = A.readings(spark, sf_dir).groupBy("tick", "meter").agg(F.min("p_kw").alias("p_kw"), F.min("event_id").alias("event_id"))
-    path = _as_files(rows.withColumn("tick", F.col("tick").cast("string")), 3)
-    stream = barrier.replayed(spark, path, "tick string, meter string, p_kw double, event_id long", 3)
-    out = _streamed(barrier.completed(stream, "tick", "meter", "event_id", ["p_kw"], METERS))
+    """Complete day ticks through a stateful stream of the raw events, in many batches."""
+    stream = _events_in_batches(spark, sf_dir, 6).withWatermark("ts", "400 days")
+    stream = stream.withColumns({"at": F.unix_micros("ts"), "end": F.col("tick") + F.expr("INTERVAL 1 DAY")})
+    out = _streamed(barrier.closed(stream, "tick", "meter", ["at", "event_id"], ["p_kw"], METERS, "end")).filter("complete")
     return _totals(out.withColumn("tick", F.col("tick").cast("timestamp_ntz")))
 
 
+@query(f"WITH {_LAST.format('hour')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters FROM last GROUP BY 1 HAVING count(*) < 5")
+def incomplete_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that lack a meter, as the stream tells them at their end."""
+    stream = _events_in_batches(spark, sf_dir, 3).withColumn("tick", F.date_trunc("hour", "ts")).withWatermark("ts", "400 days")
+    stream = stream.withColumn("end", F.col("tick") + F.expr("INTERVAL 1 HOUR"))
+    out = _streamed(barrier.closed(stream, "tick", "meter", "event_id", ["p_kw"], METERS, "end")).filter("NOT complete")
+    return out.withColumn("tick", F.col("tick").cast("timestamp_ntz")).groupBy("tick").agg(F.count("*").alias("n_meters"))
+
+
 @query(f"WITH {_LAST.format('day')} SELECT CAST(tick AS TIMESTAMP) AS tick, meter, p_kw FROM last")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last reading of each meter and day through a stream in update mode, where every file is sent twice; the store keeps the last write."""
@@ -72,16 +90,11 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("tick").cast("timestamp_ntz").alias("tick"), "meter", "v.p_kw")
 
 
-@query("SELECT CAST(tick AS TIMESTAMP) AS tick, CAST(n AS BIGINT) AS n_meters, round(total, 6) AS total FROM (SELECT tick, count(*) AS n, sum(v) AS total FROM (SELECT date_trunc('day', ts) AS tick, event_type, max_by(value, ts) AS v FROM events GROUP BY 1, 2) GROUP BY 1) WHERE n >= 5 AND tick < (SELECT max(date_trunc('day', ts)) FROM events)")
+@query(f"WITH {_LAST.format('day')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters, round(sum(p_kw), 6) AS total FROM last GROUP BY 1 HAVING count(*) >= 5")
 def watermark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Day totals by watermark and window alone; the last day stays open."""
-    rows = A.table(spark, sf_dir, "events").select("ts", "event_type", "value")
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(path)
-    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(path)
-    last = stream.withWatermark("ts", "0 seconds").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.max_by("value", "ts").alias("v")).select(F.col("w.start").cast("timestamp_ntz").alias("tick"), "event_type", "v")
-    out = _streamed(last).groupBy("tick").agg(F.count("*").alias("n_meters"), F.round(F.sum("v"), 6).alias("total"))
-    return out.filter(F.col("n_meters") >= METERS)
+    """Day totals by watermark and windows alone, from the raw events in many batches."""
+    out = _streamed(barrier.tick_totals(_events_in_batches(spark, sf_dir, 4), "ts", "meter", "p_kw", "1 day", "400 days", METERS, "event_id"))
+    return out.select(F.col("tick").cast("timestamp_ntz").alias("tick"), "n_meters", F.round("total", 6).alias("total"))
 
 
 @query(f"WITH {_LAST.format('hour')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters FROM last GROUP BY 1 HAVING count(*) < 5")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.operators.series import aligned
+from gridloom.operators.series import aligned, zipped
 
+#: Fields of the documents and files (fixed values).
 LOADS = "name string, bus long, bus_terminal string, phase string, phases int, connection string, model int, kv double, base_kw double, base_kvar double"
 METERS = "meter_id string, load_name string, bus long, base_kw double, branch int, depth int, downstream_kw double, size_class string, on_backbone boolean"
 NETWORK = (
@@ -47,18 +48,16 @@ def write_network(path: str, source: DataFrame, nodes: DataFrame, edges: DataFra
 
 
 def profiles(spark: SparkSession, glob: str) -> DataFrame:
-    """file and the columns of every household profile; files are CSV with a header."""
-    return spark.read.schema(PROFILE).option("header", True).csv(glob).withColumn("file", F.col("_metadata.file_name"))
+    """file, block, row and the columns of every household profile; files are CSV with a header. block and row tell the order of a file's rows."""
+    rows = spark.read.schema(PROFILE).option("header", True).csv(glob)
+    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def messages(readings: DataFrame, meters: DataFrame) -> DataFrame:
-    """What meters send: the i-th file by name belongs to the i-th meter; a tick is a row of each file, as far as the shortest goes."""
-    from gridloom.operators.series import zipped
-
+    """What meters send: the i-th file by name belongs to the i-th meter; the t-th tick is the t-th row of each file, as far as the shortest goes."""
     files = readings.select("file").distinct()
     paired = zipped(files, ["file"], meters.select("meter_id", "load_name", "bus"), ["meter_id"]).drop("i")
-    rows = aligned(readings, "file", ["datetime"])
-    out = rows.join(F.broadcast(paired), "file")  # as many rows as files
+    out = aligned(readings, "file", ["block", "row"]).join(paired, "file")
     return out.select(F.col("tick").alias("timestamp"), "datetime", "meter_id", "load_name", "bus", F.col("Global_active_power").alias("p_kw"), F.col("Global_reactive_power").alias("q_kvar"), F.col("Voltage").alias("voltage"), F.col("Global_intensity").alias("current"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 MESSAGE = "timestamp long, datetime string, meter_id string, load_name string, bus long, p_kw double, q_kvar double, voltage double, current double"
 
@@ -20,6 +19,12 @@ def replayed(spark: SparkSession, path: str, schema: str, files_at_once: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).json(path)
 
 
+def paced(spark: SparkSession, messages: DataFrame, per_second: int = 1, tick: str = "timestamp") -> DataFrame:
+    """A stream of messages (tick: their number from 0) at so many ticks a second, from a clock; keep them in folders by tick for each to be read alone."""
+    clock = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return clock.select(F.col("value").alias(tick)).join(messages, tick)
+
+
 def from_kafka(spark: SparkSession, servers: str, topic: str, schema: str = MESSAGE) -> DataFrame:
     """A stream over a topic of JSON messages from its beginning. Needs the Kafka connector on the class path."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
@@ -35,38 +40,77 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) ->
     return keyed_json(messages).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
-def completed(stream: DataFrame, tick: str, meter: str, order: str, values: list[str], expected: int, ttl_ms: int | None = None) -> DataFrame:
-    """tick, meter and values (doubles) of each tick, once `expected` meters have reported; the last reading by `order` (long) counts.
+class _Barrier(StatefulProcessor):
+    """The readings of one tick: a map of meters to their last one, and a mark once the tick was sent."""
+
+    def __init__(self, tick: str, meter: str, order: list[str], values: list[str], expected: int, ttl_ms: int | None, end: str | None) -> None:
+        self.tick, self.meter, self.order, self.values, self.expected, self.ttl_ms, self.end = tick, meter, order, values, expected, ttl_ms, end
+        self.n = len(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "meter string", ", ".join([*(f"at{i} long" for i in range(self.n)), *(f"v{i} double" for i in range(len(self.values)))]), self.ttl_ms)
+        self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
+
+    def _rows(self, key: tuple[Any], more: dict[str, list[Any]]) -> pd.DataFrame:
+        held = sorted((k[0], tuple(v)[self.n :]) for k, v in self.held.iterator())
+        own = {self.tick: [key[0]] * len(held), self.meter: [k for k, _ in held]}
+        return pd.DataFrame(own | {v: pd.array([x[i] for _, x in held], dtype="Float64") for i, v in enumerate(self.values)} | {k: v * len(held) for k, v in more.items()})
+
+    def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.sent.exists():
+            return
+        for part in rows:
+            last = part.sort_values(self.order, kind="stable").drop_duplicates(self.meter, keep="last")  # one for each meter
+            for name, *own in last[[self.meter, *self.order, *self.values]].itertuples(index=False):
+                at = tuple(map(int, own[: self.n]))
+                if not self.held.containsKey((name,)) or tuple(self.held.getValue((name,)))[: self.n] <= at:
+                    self.held.updateValue((name,), (*at, *(None if pd.isna(x) else float(x) for x in own[self.n :])))
+            if self.end and len(part):
+                self.handle.registerTimer(int(part[self.end].iloc[0].timestamp() * 1000))
+        if not self.end and sum(1 for _ in self.held.keys()) >= self.expected:
+            yield self._rows(key, {})
+            self.held.clear()
+            self.sent.update((True,))
+
+    def handleExpiredTimer(self, key: tuple[Any], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        made = self._rows(key, {"complete": [sum(1 for _ in self.held.keys()) >= self.expected]})
+        self.held.clear()
+        yield made
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(stream: DataFrame, processor: _Barrier, columns: list[str], more: str, mode: str) -> DataFrame:
+    """A barrier over a stream. Its maps need the RocksDB state store, which the session is set to."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = f"{processor.tick} {stream.schema[processor.tick].dataType.simpleString()}, {processor.meter} string, " + ", ".join(f"{v} double" for v in processor.values) + more
+    return stream.select(*columns).groupBy(processor.tick).transformWithStateInPandas(processor, out, "Append", mode)
+
+
+def completed(stream: DataFrame, tick: str, meter: str, order: str | list[str], values: list[str], expected: int, ttl_ms: int | None = None) -> DataFrame:
+    """tick, meter and values (doubles) of each tick, once `expected` meters have reported; the last reading by `order` (one or more longs) counts.
 
     A tick is sent once, and what comes after is dropped. State is a reading for each meter of the open ticks, and a mark for each tick that was sent.
-    With ttl_ms, ticks open or sent are forgotten so long after their last message; such a query runs on until it is stopped.
+    With ttl_ms, readings and marks are forgotten so long after they were written.
     """
-    out_schema = f"{tick} {stream.schema[tick].dataType.simpleString()}, {meter} string, " + ", ".join(f"{v} double" for v in values)
+    orders = [order] if isinstance(order, str) else order
+    return _stateful(stream, _Barrier(tick, meter, orders, values, expected, ttl_ms, None), [*dict.fromkeys([tick, meter, *orders, *values])], "", "None" if ttl_ms is None else "ProcessingTime")
 
-    def run(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        done, held = (state.get[0], json.loads(state.get[1])) if state.exists else (False, {})
-        for rows in batches:
-            for name, at, *own in rows[[meter, order, *values]].itertuples(index=False):
-                if not done and (name not in held or held[name][0] <= at):
-                    held[name] = [int(at), *(None if pd.isna(x) else float(x) for x in own)]
-        if not done and len(held) >= expected:
-            names = sorted(held)
-            yield pd.DataFrame({tick: [key[0]] * len(names), meter: names} | {v: [held[n][1 + i] for n in names] for i, v in enumerate(values)})
-            done, held = True, {}
-        state.update((done, json.dumps(held)))
-        if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
-
-    keyed = stream.select(tick, meter, order, *values).groupBy(tick)
-    return keyed.applyInPandasWithState(run, out_schema, "done boolean, held string", "append", GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def tick_totals(stream: DataFrame, event_time: str, meter: str, value: str, width: str, late: str, expected: int) -> DataFrame:
-    """tick, n_meters, total of complete windows, after the watermark has passed them: no Python, state is dropped by the watermark."""
-    w = stream.withWatermark(event_time, late).groupBy(F.window(event_time, width), F.col(meter)).agg(F.max_by(value, event_time).alias("v"))
+
+def closed(stream: DataFrame, tick: str, meter: str, order: str | list[str], values: list[str], expected: int, end: str) -> DataFrame:
+    """tick, meter, values, complete of each tick when the stream's watermark passes its end (a timestamp): the last readings, whatever came when; `complete` says
+    whether `expected` meters reported, so ticks that lack one are told as well. Readings later than the watermark are dropped, and nothing of a tick stays behind."""
+    orders = [order] if isinstance(order, str) else order
+    marked = [f.name for f in stream.schema.fields if "spark.watermarkDelayMs" in f.metadata]  # without it late rows aren't known
+    return _stateful(stream, _Barrier(tick, meter, orders, values, expected, None, end), [*dict.fromkeys([tick, meter, *orders, *values, end, *marked])], ", complete boolean", "EventTime")
+
+
+def tick_totals(stream: DataFrame, event_time: str, meter: str, value: str, width: str, late: str, expected: int, order: str | None = None) -> DataFrame:
+    """tick, n_meters, total of complete windows, after the watermark has passed them, of each meter's last value (ties by `order`): no Python, state is dropped by the watermark."""
+    last = F.max_by(value, F.struct(event_time, *([order] if order else [])))
+    w = stream.withWatermark(event_time, late).groupBy(F.window(event_time, width), F.col(meter)).agg(last.alias("v"))
     return w.groupBy("window").agg(F.count("*").alias("n_meters"), F.sum("v").alias("total")).filter(F.col("n_meters") >= expected).select(F.col("window.start").alias("tick"), "n_meters", "total")
 
 

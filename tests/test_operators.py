@@ -1,6 +1,7 @@
 """Single operators on small invented inputs."""
 
 import random
+import time
 from collections import deque
 
 import pytest
@@ -160,6 +161,35 @@ def test_stream_sends_a_tick_once_across_a_restart(spark, tmp_path):
     assert go("2.json", [(1, "a", 9, 8.0), (1, "b", 9, 8.0), (2, "b", 1, 6.0), (3, "a", 1, 1.0)]) == [(1, "a", 2.0), (1, "b", 3.0), (2, "a", 5.0), (2, "b", 6.0)]
 
 
+def test_stream_tells_ticks_at_their_end(spark, tmp_path):
+    """Later readings count, incomplete ticks are told, and what comes after the end is dropped."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+
+    def go(name, rows):
+        (source / name).write_text("\n".join(f'{{"tick": "2020-01-0{d} 00:00:00", "ts": "2020-01-0{d} {h:02}:00:00", "meter": "{m}", "at": {h}, "v": {v}}}' for d, h, m, v in rows))
+        stream = barrier.replayed(spark, str(source), "tick timestamp, ts timestamp, meter string, at long, v double").withWatermark("ts", "0 seconds")
+        stream = stream.withColumn("end", F.col("tick") + F.expr("INTERVAL 1 DAY"))
+        barrier.appended(barrier.closed(stream, "tick", "meter", "at", ["v"], 2, "end"), str(out), f"{tmp_path}/checkpoint").awaitTermination()
+        return sorted((r["tick"].day, r["meter"], r["v"], r["complete"]) for r in spark.read.parquet(str(out)).collect()) if out.exists() else []
+
+    assert go("1.json", [(1, 3, "a", 1.0), (1, 1, "b", 2.0), (1, 5, "a", 3.0)]) == []
+    assert go("2.json", [(1, 4, "a", 9.0), (1, 6, "b", 4.0), (2, 1, "a", 5.0)]) == [(1, "a", 3.0, True), (1, "b", 4.0, True)]
+    assert go("3.json", [(1, 7, "a", 8.0), (4, 1, "b", 6.0)]) == [(1, "a", 3.0, True), (1, "b", 4.0, True), (2, "a", 5.0, False)]
+
+
+def test_paced_replay(spark):
+    sent = spark.createDataFrame([(t, m) for t in range(5) for m in "ab"], "timestamp long, meter string")
+    run = barrier.paced(spark, sent, 20).writeStream.format("memory").queryName("paced").start()
+    try:
+        until = time.time() + 60
+        while spark.table("paced").count() < 10 and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        run.stop()
+    assert sorted(map(tuple, spark.table("paced").collect())) == [(t, m) for t in range(5) for m in "ab"]
+
+
 def test_tick_voltages(spark):
     """Against sums over every way, and a tick beyond what is linear is dropped."""
     parent, r = {"1": "0", "2": "1", "3": "1", "4": "2"}, {"1": 0.5, "2": 0.25, "3": 1.0, "4": 0.125}

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from gridloom.operators import series
 from gridloom.sources import documents as D
 from gridloom.sources import statements as S
 from gridloom.streaming import barrier
@@ -23,6 +24,59 @@ def test_profiles_become_messages(spark, tmp_path):
         D.messages(read, meters.limit(1)).collect()
 
 
+def test_profiles_keep_the_order_of_their_rows(spark, tmp_path):
+    rows = [("16/12/2006 17:24:00", 1.0), ("02/01/2007 00:00:00", 2.0), ("16/12/2006 17:24:00", 3.0)]
+    (tmp_path / "synthetic_1.csv").write_text("datetime,Global_active_power,Global_reactive_power,Voltage,Global_intensity\n" + "".join(f"{t},{p},0,240,1\n" for t, p in rows))
+    meters = spark.createDataFrame([("M001", "S1", 1)], "meter_id string, load_name string, bus long")
+    got = D.messages(D.profiles(spark, f"file://{tmp_path}/synthetic_*.csv"), meters).orderBy("timestamp").collect()
+    assert [(r["datetime"], r["p_kw"]) for r in got] == rows
+
+
+def test_files_by_their_whole_path(spark, tmp_path):
+    (tmp_path / "su b" / "x").mkdir(parents=True)
+    (tmp_path / "ma%20 ster+1.dss").write_text('New object=circuit.c basekv=1 Bus1=a\nRedirect su b/Loads.dss ! all\nredirect "SU B/x/../loads.dss"\nRedirect su b/x/LOADS.DSS\n'.replace("SU B", "su b"))
+    (tmp_path / "su b" / "Loads.dss").write_text("New Load.one Bus1=1\n")
+    (tmp_path / "su b" / "x" / "loads.dss").write_text("New Load.two Bus1=1\n")
+    master = f"file://{tmp_path}/ma%20 ster+1.dss"
+    st = S.statements(S.lines(spark, S.include_paths(spark, master)))
+    assert [(r["file_ord"], r["name"]) for r in st.filter("kind IN ('load', 'circuit')").orderBy("file_ord").collect()] == [(0, "c"), (1, "one"), (2, "one"), (3, "two")]
+    (tmp_path / "bad.dss").write_text("Redirect nowhere.dss\n")
+    with pytest.raises(FileNotFoundError):
+        S.include_paths(spark, f"file://{tmp_path}/bad.dss")
+
+
+def test_states_edits_and_units(spark, tmp_path):
+    text = """New object=circuit.c basekv=1 Bus1=1
+New Line.Sw7 phases=3 Bus1=1 Bus2=2 switch=yes Length=1
+New Line.Sw8 phases=3 Bus1=2 Bus2=3 switch=yes Length=1
+New Line.L1 phases=3 Bus1=1 Bus2=3 Length=1
+New Line.L2 phases=3 Bus1=1 Bus2=3
+open Line.SW7 terminal=2
+Open line.sw8 terminal=2
+close Line.Sw8
+New Load.B Bus1=2.1 Phases=1 Conn=Wye Model=1 kV=2 kW=5 kvar=1
+New Load.A Bus1=10.1 Phases=1 Conn=Wye Model=1 kV=2 kW=4 kvar=1
+New Load.C Bus1=2.2 Phases=1 Conn=Wye Model=1 kV=2 kW=3 kvar=1
+Load.b.kW=7  kvar=2 ! more
+batchedit load..* daily=flat
+load.A.Daily=own
+New Generator.G Bus1=3 kW=10 Duty=Sun
+New LoadShape.sun npts=2 Interval=(1 3600 /) mult=(file=s.csv)
+Solve mode=DutyCycle number=2 stepsize=5s
+"""
+    (tmp_path / "m.dss").write_text(text)
+    st = S.statements(S.lines(spark, [f"file://{tmp_path}/m.dss"])).cache()
+    assert {(r["name"], r["closed"]) for r in S.switches(st).collect()} == {("Sw7", False), ("Sw8", True)}
+    assert {r["id"] for r in S.edges(st).collect()} == {"Sw8", "L1"}
+    assert [r["name"] for r in S.loads(st).orderBy("load_seq").collect()] == ["B", "C", "A"]
+    daily = S.edited(S.edited(S.loads(st), st, "load", "daily", "daily"), st, "load", "kw", "base_kw")
+    assert {(r["name"], r["daily"], r["base_kw"]) for r in daily.collect()} == {("A", "own", 4.0), ("B", "flat", 7.0), ("C", "flat", 3.0)}
+    values = spark.createDataFrame([("SUN", 0, 0.5), ("SUN", 1, 1.0)], "shape string, step long, mult double")
+    got = series.dispatched(S.generators(st), values, S.shapes(st)).orderBy("step").collect()
+    assert [(r["t_s"], r["kw"]) for r in got] == [(0.0, -5.0), (1.0, -10.0)]
+    assert [tuple(r)[2:] for r in S.solves(st).collect()] == [("dutycycle", 2, 5.0)]
+
+
 def test_json_documents(spark, tmp_path):
     (tmp_path / "loads.json").write_text(json.dumps([{"name": "S1", "bus": 1, "base_kw": 40.0}, {"name": "S2", "bus": 2}]))
     rows = D.json_table(spark, f"file://{tmp_path}/loads.json", D.LOADS)
