@@ -15,7 +15,7 @@ from gridloom.llm import decontaminate, langid, pii, quality_knn, registry
 from gridloom.llm.token_store import tokenizer_file
 
 from .helpers import docs, held_out, wide
-from .test_duplicates import brute_groups, brute_print, plain_tiling
+from .test_duplicates import jaccard_groups, plain_tiling
 
 SF = "/root/testdata/sf0.01"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
@@ -194,11 +194,8 @@ def test_pipeline_against_brute_force(spark, tables):
     first = corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
     assert first.schema == spark.read.parquet(f"{SF}/documents.parquet").schema
     left = {r["doc_id"]: r["text"] for r in first.collect()}
-    prints = {i: brute_print(t) for i, t in left.items()}
-    groups, best = brute_groups(set(prints.values())), {}
-    for i in sorted(prints):
-        best.setdefault(groups[prints[i]], i)
-    left = {i: left[i] for i in best.values()}
+    ids = sorted(left)
+    left = {ids[k]: left[ids[k]] for k in set(jaccard_groups([left[i] for i in ids]))}
     items = [decontaminate._words(t.lower()) for t in tables["benchmark"]["text"]]
     left = {i: pii.redacted(t, pii.spans(t)) for i, t in left.items() if not any(covers(decontaminate._words(t.lower()), x) for x in items)}
     assert not any(t in d for d in left.values() for t in tables["benchmark"]["text"])
