@@ -5,19 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.graph import path_sums, subtree_sums
+from gridloom.operators.graph import rolled_up, summed_down
 
 #: Per-unit voltages within which a linear drop means anything; a tick that leaves them has no solution.
 LEAST_PU, MOST_PU = 0.5, 1.5
 
 
 def linear_voltages(tree: DataFrame, lines: DataFrame, loads: DataFrame, v0: float) -> DataFrame:
-    """node, v from tree (graph.rooted), lines (node, r, x: of the way to its parent), loads (node, p, q): v0 less, over the
+    """node, v from tree (node, parent), lines (node, r, x: of the way to its parent), loads (node, p, q): v0 less, over the
     way from the source, (r P + x Q) / v0 with P and Q all load below."""
-    p = subtree_sums(tree, loads, "node", "p", "p_down")
-    q = subtree_sums(tree, loads, "node", "q", "q_down")
-    drop = lines.join(p, "node").join(q, "node").select("node", ((F.col("r") * F.col("p_down") + F.col("x") * F.col("q_down")) / v0).alias("drop"))
-    return path_sums(tree, drop, "drop", "fall").select("node", (v0 - F.col("fall")).alias("v"))
+    down = rolled_up(tree, loads, "node", {"p": "p_down", "q": "q_down"})
+    drop = lines.join(down, "node").select("node", ((F.col("r") * F.col("p_down") + F.col("x") * F.col("q_down")) / v0).alias("drop"))
+    return summed_down(tree, drop, "drop", "fall").select("node", (v0 - F.col("fall")).alias("v"))
 
 
 def tick_voltages(tree: DataFrame, lines: DataFrame, readings: DataFrame, v0: float) -> DataFrame:

@@ -98,6 +98,35 @@ def subtree_sums(tree: DataFrame, values: DataFrame, node: str, value: str, name
     return tree.select("node").join(up, "node", "left").select("node", F.coalesce("v", F.lit(0.0)).alias(name))
 
 
+def rolled_up(parents: DataFrame, values: DataFrame, node: str, names: dict[str, str], most_rounds: int = 40) -> DataFrame:
+    """node, and for each value column the sum of it (named as told) over the node and all below it, from node, parent.
+
+    A round adds what hangs as far below again as the sums reach, then ways double: log2(depth) joins of a row for each node, however deep the tree is. Raises ValueError on a cycle.
+    """
+    own = values.groupBy(F.col(node).alias("node")).agg(*[F.sum(c).alias(c) for c in names])
+    state = staged(parents.select("node", F.col("parent").alias("up")).join(own, "node", "left").select("node", "up", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]))
+    for _ in range(most_rounds):
+        below = state.filter("up IS NOT NULL")
+        if below.isEmpty():
+            return state.select("node", *[F.col(c).alias(name) for c, name in names.items()])
+        more = below.groupBy(F.col("up").alias("n")).agg(*[F.sum(c).alias(f"more_{c}") for c in names])
+        far = state.select(F.col("node").alias("m"), F.col("up").alias("far"))
+        joined = state.join(more, F.col("node") == F.col("n"), "left").join(far, F.col("up") == F.col("m"), "left")
+        state = staged(joined.select("node", F.col("far").alias("up"), *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))).alias(c) for c in names]))
+    raise ValueError("parents form a cycle")
+
+
+def summed_down(parents: DataFrame, values: DataFrame, value: str, name: str = "distance", most_rounds: int = 40) -> DataFrame:
+    """node, sum of value (node, value) over the way from the root, the node's own included, from node, parent; ways double as in `rolled_up`."""
+    state = staged(parents.select("node", F.col("parent").alias("up")).join(values.select("node", F.col(value).alias("s")), "node", "left").select("node", "up", F.coalesce("s", F.lit(0.0)).alias("s")))
+    for _ in range(most_rounds):
+        if state.filter("up IS NOT NULL").isEmpty():
+            return state.select("node", F.col("s").alias(name))
+        far = state.select(F.col("node").alias("m"), F.col("up").alias("far"), F.col("s").alias("more"))
+        state = staged(state.join(far, F.col("up") == F.col("m"), "left").select("node", F.col("far").alias("up"), (F.col("s") + F.coalesce("more", F.lit(0.0))).alias("s")))
+    raise ValueError("parents form a cycle")
+
+
 def main_path(tree: DataFrame, sums: DataFrame, total: str = "downstream") -> DataFrame:
     """The nodes on the way from the root to a leaf that follows the child with the greatest total; ties go to the least name."""
     best = tree.filter("parent IS NOT NULL").join(sums, "node").groupBy("parent").agg(F.min_by("node", F.struct(-F.col(total), F.col("node"))).alias("node")).select("node", F.lit(1).alias("best"))

@@ -122,7 +122,7 @@ class HybridPlacement:
         """loads chosen from loads and network's edges (src, dst)."""
         tree = staged(graph.rooted(graph.contracted(graph.adjacency(network)), source))
         values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
-        sums = staged(graph.subtree_sums(tree, values, "bus", "base_kw"))
+        sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}))
         out = attached(size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree))
         return round_robin(staged(scored(out)), self.target).transform(balanced).transform(balanced)
 

@@ -91,7 +91,7 @@ _SUMS_SQL = f"{A.CLOSURE_SQL}, {A.LOADS_SQL}, own AS (SELECT bus, sum(base_kw) A
 @query(f"WITH RECURSIVE {_SUMS_SQL} SELECT CAST(node AS VARCHAR) AS node, round(downstream, 4) AS downstream FROM sums")
 def subtree_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load at and below every node."""
-    out = graph.subtree_sums(_tree(spark, sf_dir), _values(spark, sf_dir), "bus", "base_kw")
+    out = graph.rolled_up(A.parents(spark, sf_dir), _values(spark, sf_dir), "bus", {"base_kw": "downstream"})
     return out.select("node", F.round("downstream", 4).alias("downstream"))
 
 
@@ -127,7 +127,7 @@ def top_downstream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Length of the way from the source."""
     lengths = A.tree_edges(spark, sf_dir).select(F.col("dst").alias("node"), "length")
-    return graph.path_sums(_tree(spark, sf_dir), lengths, "length").select("node", F.round("distance", 4).alias("distance"))
+    return graph.summed_down(A.parents(spark, sf_dir), lengths, "length").select("node", F.round("distance", 4).alias("distance"))
 
 
 @query(f"""
@@ -138,4 +138,4 @@ def lindist_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voltages by linear drops along the tree."""
     lines = A.tree_edges(spark, sf_dir).select(F.col("dst").alias("node"), (0.0001 * F.col("length")).alias("r"), (0.0002 * F.col("length")).alias("x"))
     loads = _values(spark, sf_dir).select(F.col("bus").alias("node"), (F.col("base_kw") / 1000).alias("p"), (F.col("base_kw") * 0.5 / 1000).alias("q"))
-    return flow.linear_voltages(_tree(spark, sf_dir), lines, loads, 2400.0).select("node", F.round("v", 6).alias("v"))
+    return flow.linear_voltages(A.parents(spark, sf_dir), lines, loads, 2400.0).select("node", F.round("v", 6).alias("v"))

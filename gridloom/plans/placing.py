@@ -19,7 +19,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = graph.rooted_by_parent(A.parents(spark, sf_dir))
     loads = A.loads(spark, sf_dir)
     values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
-    sums = staged(graph.subtree_sums(tree, values, "bus", "base_kw").withColumn("downstream", F.round("downstream", 4)))
+    sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}).withColumn("downstream", F.round("downstream", 4)))
     out = placement.attached(placement.size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree))
     return staged(placement.scored(out).withColumn("score", F.round("score", 6)))
 

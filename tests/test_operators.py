@@ -129,6 +129,30 @@ def test_rooted_by_parent(spark):
         graph.rooted_by_parent(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"), 5)
 
 
+def test_sums_on_a_deep_tree(spark):
+    """A chain of 300 nodes and a few branches: sums below and above, against plain ones and those over ancestors."""
+    rng = random.Random(2)
+    parent = {str(i): str(i - 1) for i in range(1, 300)} | {f"b{i}": str(rng.randrange(300)) for i in range(60)}
+    value = {n: float(rng.randrange(9)) for n in ["0", *parent]}
+    below, above = dict.fromkeys(value, 0.0), {}
+    for n in value:
+        at = n
+        while at is not None:
+            below[at] += value[n]
+            above[n] = above.get(n, 0.0) + value[at]
+            at = parent.get(at)
+    rows = spark.createDataFrame([("0", None), *parent.items()], "node string, parent string")
+    values = spark.createDataFrame(list(value.items()), "node string, v double")
+    assert {r["node"]: r["total"] for r in graph.rolled_up(rows, values, "node", {"v": "total"}).collect()} == below
+    assert {r["node"]: r["distance"] for r in graph.summed_down(rows, values, "v").collect()} == above
+    tree = graph.rooted_by_parent(rows)
+    assert {r["node"]: r["downstream"] for r in graph.subtree_sums(tree, values, "node", "v").collect()} == below
+    assert {r["node"]: r["distance"] for r in graph.path_sums(tree, values, "v").collect()} == above
+    for loop in (graph.rolled_up, lambda *x: graph.summed_down(x[0], x[1], "v", most_rounds=x[4])):
+        with pytest.raises(ValueError):
+            loop(spark.createDataFrame([("a", "b"), ("b", "a")], "node string, parent string"), values, "node", {"v": "total"}, 4)
+
+
 def test_numbered_groups(spark):
     rows = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(50)], "g string, i int")
     got = numbered(rows, "i", by=("g",)).collect()
