@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -9,6 +11,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,15 +83,23 @@ def dropped(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def released() -> None:
+    """Give back what earlier tasks left free in this worker; for the start of a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Parts of a batch with about `limit` characters each, and their texts; a null text is an empty one."""
-    texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= limit or i + 1 == len(texts):
-            yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-            start, size = i + 1, 0
+    """Parts of a batch with about `limit` characters each, and their texts; a null text is an empty one. Only one part's texts are strings at a time."""
+    own = batch.column(batch.schema.get_field_index(column))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(own), 0)).astype(np.int64) + 1)
+    start = 0
+    while start < batch.num_rows:
+        end = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit)) + 1
+        part = batch.slice(start, end - start)
+        yield part, [t or "" for t in own.slice(start, end - start).to_pylist()]
+        start = end
 
 
 def starts_of(lens: np.ndarray) -> np.ndarray:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import Pieces, Words, documents, flattened, gather, slices, starts_of, sums
+from gridloom.llm._shared import Pieces, Words, documents, flattened, gather, released, slices, starts_of, sums
 from gridloom.llm.token_store import tokenizer_file
 
 #: White space as Unicode has it.
@@ -169,6 +169,7 @@ def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFram
     """doc_id, n_tokens long, ids array<int>, and the columns named by carry, of every row of docs."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         bpe = bpe_of(path)
         for batch in batches:
             for part, texts in slices(batch):
@@ -180,8 +181,8 @@ def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFram
     return docs.select("doc_id", "text", *carry).mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>{more}")
 
 
-def decoded(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, and the columns named by carry, of every row of ids (doc_id, ids array<int>). Null ids give an empty text."""
+def decoded(ids: DataFrame, path: str, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
+    """doc_id, text, the columns named by carry and, if asked for, ids, of every row of ids (doc_id, ids array<int>). Null ids give an empty text."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(path)
@@ -191,9 +192,9 @@ def decoded(ids: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame
                 column = part.column(1)
                 lens = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
                 texts = bpe.decode(np.asarray(column.flatten().fill_null(-1)), lens)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *part.columns[2:]], ["doc_id", "text", *carry])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), *part.columns[2:], *[column] * with_ids], ["doc_id", "text", *carry, *["ids"] * with_ids])
 
-    more = "".join(f", `{c}` {ids.schema[c].dataType.simpleString()}" for c in carry)
+    more = "".join(f", `{c}` {ids.schema[c].dataType.simpleString()}" for c in carry) + ", ids array<int>" * with_ids
     return ids.select("doc_id", "ids", *carry).mapInArrow(decode, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string{more}")
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import documents, slices, staged, starts_of, table, unused
+from gridloom.llm._shared import documents, released, slices, staged, starts_of, table, unused
 
 LEAST, THRESHOLD = 5, 0.5
 #: Bits of the table of seeds: 64 for each seed, and these at least and at most (8 MB), as powers of two.
@@ -216,6 +216,7 @@ def _candidates(docs: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         known, probe, shift = _Hashes(), sent.value, np.uint64(64 - bits)
         for batch in batches:
             for _, texts in slices(batch):

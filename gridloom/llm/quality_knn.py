@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm._shared import documents, slices, table
+from gridloom.llm._shared import documents, released, slices, table
 from gridloom.llm.features import ngram_counts, snapped, unit
 from gridloom.llm.langid import first_by_hash, held_out, idf_of
 
@@ -32,7 +32,8 @@ BINS, DIMENSIONS, NEIGHBOURS, POWER, PER_LABEL = 2048, 64, 15, 16, 2000
 #: Terms of repetition, and what their idf is multiplied by, as three terms stand against many bigrams.
 EXTRA, BOOST = 3, 3
 THRESHOLD = 0.3
-ROWS = 512
+#: Texts that are vectors at the same time inside a task, and that are compared with all labelled ones.
+ROWS, COMPARED = 256, 64
 #: Bits of the grids of terms and of vectors: twice these and the row's length (12 and 6 bits) fit in a double.
 TERM_GRID, VECTOR_GRID = 20, 23
 
@@ -114,8 +115,8 @@ def votes(texts: list[str], m: Model | None, neighbours: int = NEIGHBOURS, power
     if m is None:
         return np.ones(len(texts))
     out = []
-    for i in range(0, len(texts), ROWS):
-        cosines = projected(counts_of(texts[i : i + ROWS], len(m.idf) - EXTRA), m.idf, m.axes) @ m.vectors.T
+    for i in range(0, len(texts), COMPARED):
+        cosines = projected(counts_of(texts[i : i + COMPARED], len(m.idf) - EXTRA), m.idf, m.axes) @ m.vectors.T
         k = min(neighbours, cosines.shape[1])
         least = np.partition(cosines, -k, axis=1)[:, -k :][:, :1]
         over, tied = cosines > least, cosines == least
@@ -131,6 +132,7 @@ def rejecting(docs: DataFrame, model: Model | None, name: str = "score") -> Data
     kept, docs = docs.sparkSession.sparkContext.broadcast(model), docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for part, texts in slices(batch):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(votes(texts, kept.value))], [*part.schema.names, name])
