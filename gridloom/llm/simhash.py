@@ -116,7 +116,7 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, most: int = 64) -> DataFrame:
+def deduplicated(docs: DataFrame, most: int = 8) -> DataFrame:
     """docs without near copies: of each component one row stays, that of the smallest doc_id, then node, then hash of text. Rows without a doc_id stay, as nothing names them.
 
     A near copy shares 0.8 of its 5-word shingles or more (resemblance.py); op6's two bits of 64 would hold little below 0.99.
