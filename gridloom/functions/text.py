@@ -16,6 +16,8 @@ KINDS = (
     ("load", r"^New Load\.\S+"),
     ("linecode", r"(?i)^new\s+linecode\.\S+"),
     ("redirect", r"(?i)^redirect\s+\S+"),
+    ("compile", r"(?i)^compile\s*[\s(\"]\S+"),
+    ("clear", r"(?i)^clear\b"),
     ("generator", r"(?i)^new\s+generator\.\S+"),
     ("storage", r"(?i)^new\s+storage\.\S+"),
     ("loadshape", r"(?i)^new\s+loadshape\.\S+"),
@@ -68,7 +70,7 @@ def is_helper(node: Column) -> Column:
 
 
 def terminal(bus: Column) -> Column:
-    """base number, kind and phases of a network node such as 150r, 94_OPEN or 13.1.2."""
+    """base number, kind and phases of a network node: a number, with r, s or _OPEN after it, then a dot and a digit for each phase."""
     parts = F.split(bus, r"\.")
     node = F.get(parts, F.lit(0))
     phases = F.filter(F.transform(F.slice(parts, 2, 8), lambda p: _phase(p)), lambda p: p.isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators import graph
-from gridloom.operators.order import numbered
+from gridloom.operators.order import numbered, quantiles
 from gridloom.sources.shared import staged
 
 #: Weights of size, depth, downstream load and backbone, whose flag counts 1.5; they sum to more than 1 (fixed values).
@@ -27,8 +27,8 @@ class PlacementStrategy(Protocol):
 
 
 def quartiles(loads: DataFrame, value: str = "base_kw") -> DataFrame:
-    """One row q: the exact quartiles, interpolated linearly."""
-    return loads.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    """One row q: the exact quartiles, interpolated linearly; null without loads."""
+    return loads.sparkSession.createDataFrame([(quantiles(loads, value, (0.25, 0.5, 0.75)),)], "q array<double>")
 
 
 def size_classed(loads: DataFrame) -> DataFrame:

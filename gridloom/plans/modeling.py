@@ -5,8 +5,6 @@ Parts are lines and switches of a tree, suppliers transformers and regulators, n
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,8 @@ from gridloom.functions import text as T
 from gridloom.operators import graph, series
 from gridloom.plans import adapters as A
 from gridloom.plans.registry import query
+from gridloom.plans.texts import as_text, made_once, one_file
 from gridloom.sources import statements as S
-from gridloom.sources.shared import shared_dir, staged
 
 _PARENT = "CASE WHEN p_partkey % 2 = 1 THEN (p_partkey - 1) {div} 2 ELSE p_partkey {div} 3 END"
 _PHASE = "1 + p_partkey % 3"
@@ -35,32 +33,37 @@ _LOAD = """CASE WHEN c_custkey % 9 = 8 THEN 'new load.s' WHEN c_custkey % 11 = 1
   || ' Model=' || (1 + c_custkey % 3) || ' kV=2.4 kW=' || (10 + c_custkey % 37) || CASE WHEN c_custkey % 11 = 10 AND c_custkey % 9 <> 8 THEN '' ELSE ' kvar=' || (5 + c_custkey % 13) END"""
 _EDIT = "CASE WHEN c_custkey % 5 = 0 THEN 'Load.s' || c_custkey || '.Daily=day' || (c_custkey % 4) || '  Yearly=flat !one' END"
 _LATE = "CASE WHEN c_custkey % 25 = 0 THEN 'LOAD.S' || c_custkey || '.daily=late' END"
-HEAD = ["! written from tables", "New object=circuit.grid", "~ basekv=4.16 Bus1=0", "", "New Loadshape.shape0 npts=24 sinterval=60 mult=(file=a.csv)", "New Loadshape.shape1 npts=24 Interval=(1 60 /) mult=(file=b.csv)", "New Monitor.m1 Element=Line.L1 Terminal=2 mode=1", "solve", "Solve mode=dutycycle number=24 stepsize=1m"]
+_CIRCUIT = "'! written from tables\nNew object=circuit.grid' || r || '\n~ basekv=' || kv || ' Bus1=' || bus || '\n'"
+_SHAPE = "'New Loadshape.shape' || r_regionkey || ' npts=' || (20 + r_regionkey) || CASE r_regionkey % 2 WHEN 0 THEN ' sinterval=60' ELSE ' Interval=(1 60 /)' END || ' mult=(file=' || replace(r_name, ' ', '_') || '.csv)'"
+_MONITOR = "'New Monitor.m' || n_nationkey || CASE n_nationkey % 2 WHEN 0 THEN ' Element=Line.L' ELSE ' Line.L' END || n_regionkey || CASE n_nationkey % 3 WHEN 0 THEN '' ELSE ' Terminal=2' END || ' mode=' || (n_nationkey % 6)"
+_SOLVE = "CASE r_regionkey WHEN 0 THEN 'solve' WHEN 1 THEN 'Solve mode=dutycycle number=24 stepsize=1m' ELSE 'Solve number=' || (10 * r_regionkey) || ' mode=Daily stepsize=' || r_regionkey || CASE r_regionkey % 2 WHEN 0 THEN 'h' ELSE 's' END END"
 
 
 def statements_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables as text files, a master that redirects to them, and the statements read from these."""
-    folder = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
-    parts = A.table(spark, sf_dir, "part").filter("p_partkey >= 1").withColumn("p", F.expr(_PARENT.format(div="div")))
-    tables = [
-        ("lines", parts, "p_partkey", _LINE),
-        ("transformers", A.table(spark, sf_dir, "supplier"), "s_suppkey", _TRANSFORMER),
-        ("capacitors", A.table(spark, sf_dir, "nation"), "n_nationkey", _CAPACITOR),
-        ("generators", A.table(spark, sf_dir, "region"), "r_regionkey", _GENERATOR),
-        ("loads", A.table(spark, sf_dir, "customer"), "c_custkey", _LOAD),
-        ("edits", A.table(spark, sf_dir, "customer"), "c_custkey", _EDIT),
-        ("bulk", spark.range(1), "id", "'batchedit load..*1  daily=ones  ! all that end in 1 or 5\\nbatchedit load..*5 daily=fives'"),
-        ("late", A.table(spark, sf_dir, "customer"), "c_custkey", _LATE),
-    ]
-    jvm, told = spark._jvm, []
-    for name, rows, key, expression in tables:
-        rows.orderBy(key).select(F.expr(expression).alias("value")).filter("value IS NOT NULL").write.text(f"{folder}/{name} text")
-        at = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name} text")
-        files = sorted(f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().startswith("part-"))
-        told += [f"Redirect ../{name} text/{f.upper() if name == 'bulk' else f}  ! {name}" for f in files]
-    spark.createDataFrame([("\n".join([*HEAD, *told]),)], "value string").coalesce(1).write.text(f"{folder}/master")
-    master = [f.getPath() for f in jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jvm.org.apache.hadoop.fs.Path(f"{folder}/master/part-*")) if f.getLen()]
-    return staged(S.statements(S.lines(spark, S.include_paths(spark, master[0].toString()))))
+    """The tables as text files, a master that redirects to them, and the statements read from these; written once in a session."""
+
+    def make(folder: str) -> None:
+        parts = A.table(spark, sf_dir, "part").filter("p_partkey >= 1").withColumn("p", F.expr(_PARENT.format(div="div")))
+        circuit = A.table(spark, sf_dir, "part").agg(F.count("*").alias("r"), F.max("p_size").alias("kv"), F.min("p_partkey").alias("bus"))
+        tables = [
+            ("circuit", circuit, "r", _CIRCUIT),
+            ("shapes", A.table(spark, sf_dir, "region"), "r_regionkey", _SHAPE),
+            ("monitors", A.table(spark, sf_dir, "nation"), "n_nationkey", _MONITOR),
+            ("runs", A.table(spark, sf_dir, "region"), "r_regionkey", _SOLVE),
+            ("lines", parts, "p_partkey", _LINE),
+            ("transformers", A.table(spark, sf_dir, "supplier"), "s_suppkey", _TRANSFORMER),
+            ("capacitors", A.table(spark, sf_dir, "nation"), "n_nationkey", _CAPACITOR),
+            ("generators", A.table(spark, sf_dir, "region"), "r_regionkey", _GENERATOR),
+            ("loads", A.table(spark, sf_dir, "customer"), "c_custkey", _LOAD),
+            ("edits", A.table(spark, sf_dir, "customer"), "c_custkey", _EDIT),
+            ("bulk", spark.range(1), "id", "'batchedit load..*1  daily=ones  ! all that end in 1 or 5\nbatchedit load..*5 daily=fives'"),
+            ("late", A.table(spark, sf_dir, "customer"), "c_custkey", _LATE),
+        ]
+        told = [f"Redirect ../{name} text/{f.upper() if name == 'bulk' else f}  ! {name}" for name, rows, key, text in tables for f in as_text(rows, key, text, f"{folder}/{name} text")]
+        master = one_file(told, spark, f"{folder}/master")
+        S.statements(S.script(spark, f"{folder}/master/{master}")).write.parquet(f"{folder}/statements")
+
+    return spark.read.parquet(f"{made_once(spark, 'model', sf_dir, make)}/statements")
 
 
 _WIRED = f"""lines AS (SELECT p_partkey AS k, {_PARENT.format(div="//")} AS p, p_partkey % 10 AS m, {_PHASE} AS ph, p_size FROM part WHERE p_partkey >= 1),
@@ -77,13 +80,13 @@ SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (
   UNION ALL SELECT 'transformer' FROM supplier UNION ALL SELECT 'regcontrol' FROM supplier WHERE s_suppkey % 4 < 2 UNION ALL SELECT 'capacitor' FROM nation
   UNION ALL SELECT unnest(['generator', 'storage']) FROM region UNION ALL SELECT CASE WHEN c_custkey % 9 = 8 THEN 'other' ELSE 'load' END FROM customer
   UNION ALL SELECT 'edit' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'edit' FROM customer WHERE c_custkey % 25 = 0
-  UNION ALL SELECT unnest(['batchedit', 'batchedit', 'circuit', 'loadshape', 'loadshape', 'monitor', 'solve', 'solve'])) GROUP BY kind""")
+  UNION ALL SELECT unnest(['batchedit', 'batchedit', 'circuit']) UNION ALL SELECT unnest(['loadshape', 'solve']) FROM region UNION ALL SELECT 'monitor' FROM nation) GROUP BY kind""")
 def model_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements by kind."""
     return statements_of(spark, sf_dir).filter("kind <> 'redirect'").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'grid' AS name, 4.16::DOUBLE AS base_kv, '0' AS bus")
+@query("SELECT 'grid' || count(*) AS name, CAST(max(p_size) AS DOUBLE) AS base_kv, CAST(min(p_partkey) AS VARCHAR) AS bus FROM part")
 def model_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The circuit's source."""
     return S.source(statements_of(spark, sf_dir))
@@ -184,8 +187,9 @@ def model_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT 'm1' AS item, 'Line.L1' AS told, 2::DOUBLE AS a, 1::DOUBLE AS b UNION ALL SELECT 'snapshot', NULL, 1, 1 UNION ALL SELECT 'dutycycle', NULL, 24, 60
-UNION ALL SELECT 'shape0', 'a.csv', 24, 60 UNION ALL SELECT 'shape1', 'b.csv', 24, 60""")
+SELECT 'm' || n_nationkey AS item, 'Line.L' || n_regionkey AS told, CASE WHEN n_nationkey % 3 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE AS a, (n_nationkey % 6)::DOUBLE AS b FROM nation
+UNION ALL SELECT CASE r_regionkey WHEN 0 THEN 'snapshot' WHEN 1 THEN 'dutycycle' ELSE 'daily' END, NULL, CASE r_regionkey WHEN 0 THEN 1 WHEN 1 THEN 24 ELSE 10 * r_regionkey END, CASE r_regionkey WHEN 0 THEN 1 WHEN 1 THEN 60 ELSE r_regionkey * CASE WHEN r_regionkey % 2 = 0 THEN 3600 ELSE 1 END END FROM region
+UNION ALL SELECT 'shape' || r_regionkey, replace(r_name, ' ', '_') || '.csv', 20 + r_regionkey, 60 FROM region""")
 def model_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the text says of monitors, runs and shapes."""
     stmts = statements_of(spark, sf_dir)

@@ -56,11 +56,9 @@ SELECT doc_id, CAST(min(pos) AS INT) AS pos, CAST(length(string_agg(regexp_repla
 FROM g WHERE NOT skip GROUP BY doc_id, command""")
 def continuation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that continue a command joined to it. Two thirds of the lines are marked as continuations, every fifth is blank."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).withColumn("line", F.col("raw"))
-    marked = rows.withColumn("line", F.expr(_MARKED))
-    out = merged(marked, "doc_id", "pos", "line")
-    counts = merged(marked.withColumn("line", F.when(F.trim("line").startswith("~"), F.lit("~ x")).when(F.trim("line") == "", F.lit("")).otherwise(F.lit("x"))), "doc_id", "pos", "line")
-    return out.join(counts.withColumnRenamed("cmd", "marks"), ["doc_id", "pos"]).select("doc_id", "pos", F.length("cmd").alias("n_chars"), F.size(F.split("marks", " ")).cast("long").alias("n_lines"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    out = merged(rows.withColumn("line", F.expr(_MARKED)), "doc_id", "pos", "line")
+    return out.select("doc_id", "pos", F.length("cmd").alias("n_chars"), "n_lines")
 
 
 _TERMINAL = "c_custkey || CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'r' WHEN 2 THEN 's' ELSE '_OPEN' END || CASE c_nationkey % 4 WHEN 0 THEN '' WHEN 1 THEN '.1' WHEN 2 THEN '.2.3' ELSE '.1.2.3' END"
