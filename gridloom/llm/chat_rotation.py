@@ -6,7 +6,7 @@ Turns of a role named `system` belong to every rendering and are nobody's perspe
 
 A turn reads <|im_start|>assistant, <|im_start|>user name=NAME or <|im_start|>system, a line end, its text, <|im_end|> and a line end. Where a text or
 name holds one of these two marks itself, a space is put after its first character, and line ends in names become spaces, so nothing said can begin or end a turn. A
-rendering comes in segments of SEGMENT turns by their number, or, in a conversation where so many rows have close numbers (or none) that one would hold more, by their places; a row for each, which together give the whole dialogue:
+rendering comes in segments of SEGMENT turns by their places in the conversation; a row for each, which together give the whole dialogue:
 `text` of the segment, `start` (characters of the segments before it), and `mask`, spans (start, end) within the dialogue of each text with its <|im_end|>. So a
 conversation of any length is never gathered in one row or task; usual ones have a single segment. `whole` joins the segments for those whose conversations fit in a row.
 
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._shared import staged, table
 
-SEGMENT = 64
+#: Turns in a segment, and segments in a block, whose lengths are summed in one place.
+SEGMENT, BLOCK = 64, 1024
 _END = "<|im_end|>"
 
 
@@ -33,10 +34,9 @@ def rotated(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     Texts are shuffled once, to their segments; places come from a table of lengths, which is joined to them there.
     """
     said = turns.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    said = said.withColumn("segment", F.coalesce(F.floor(F.col("turn") / segment), F.lit(-1)).cast("long"))
-    alone = said.filter("conv_id IS NULL AND role <> 'system'").select("conv_id", "segment", F.array(F.struct("turn", "role", "text")).alias("turns"), F.col("role").alias("perspective"), F.lit(0).cast("long").alias("before"))
-    said, talk = said.filter("conv_id IS NOT NULL"), ["conv_id"]
-    said = _bounded(said, talk, segment)
+    alone = said.filter("conv_id IS NULL AND role <> 'system'").select("conv_id", F.lit(0).cast("long").alias("segment"), F.array(F.struct("turn", "role", "text")).alias("turns"), F.col("role").alias("perspective"), F.lit(0).cast("long").alias("before"))
+    talk = ["conv_id"]
+    said = _placed(said.filter("conv_id IS NOT NULL"), talk, segment)
     # `segment` turns at most
     parts = said.groupBy(*talk, "segment").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     seen = parts.join(_views(said, talk), [*talk, "segment"]).unionByName(alone)
@@ -66,20 +66,16 @@ def whole(segments: DataFrame) -> DataFrame:
     return joined.unionByName(segments.filter("conv_id IS NULL").select(*joined.columns))
 
 
-def _bounded(said: DataFrame, talk: list[str], segment: int) -> DataFrame:
-    """said, with segments by dense places in those conversations where a segment by numbers holds too many rows. No conversation meets in one task."""
-    over, _ = staged(said.groupBy(*talk, "segment").agg(F.count("*").alias("n")).filter(F.col("n") > segment).select(*talk).distinct(), "over")
-    if over.isEmpty():
-        return said
+def _placed(said: DataFrame, talk: list[str], segment: int) -> DataFrame:
+    """said with `segment`, by dense places in each conversation. No conversation meets in one task: rows are sorted over all partitions, and counts by partition tell where each conversation begins."""
     keys = [*talk, "turn", "role", "text"]
     spread = int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = said.join(over, talk, "left_semi").repartitionByRange(spread, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = said.repartitionByRange(spread, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     placed, _ = staged(placed.withColumn("_part", F.shiftright("_at", 33)), "placed")
     parts = placed.groupBy(*talk, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.sum("_n").over(W.partitionBy(*talk).orderBy("_part")) - F.col("_n")  # a row for each partition
     bases = parts.select(*talk, "_part", (before - F.col("_first")).alias("_base"))
-    dense = placed.join(bases, [*talk, "_part"]).withColumn("segment", F.floor((F.col("_at") + F.col("_base")) / segment).cast("long"))
-    return said.join(over, talk, "left_anti").unionByName(dense.select(*said.columns))
+    return placed.join(bases, [*talk, "_part"]).withColumn("segment", F.floor((F.col("_at") + F.col("_base")) / segment).cast("long")).select(*said.columns, "segment")
 
 
 def _plain(text: Column) -> Column:
@@ -97,15 +93,23 @@ def _views(said: DataFrame, talk: list[str]) -> DataFrame:
     role, nobody = F.col("role"), F.lit(None).cast("string")
     as_user = F.length(_head(role, nobody)) + F.length(_plain(F.col("text"))) + len(_END) + 1
     per = said.groupBy(*talk, "segment", "role").agg(F.count("*").alias("own"), F.sum(as_user).alias("size"))
+    per = per.withColumn("block", F.floor(F.col("segment") / BLOCK))
     speakers = per.filter("role <> 'system'").select(*talk, role.alias("perspective")).distinct()
-    sizes = per.groupBy(*talk, "segment").agg(F.sum("size").alias("size"))
+    sizes = per.groupBy(*talk, "block", "segment").agg(F.sum("size").alias("size"))
     own = per.select(*talk, "segment", role.alias("perspective"), "own")
-    grid = sizes.join(speakers, talk).join(own, [*talk, "segment", "perspective"], "left")
+    # speakers meet a conversation's blocks first, so its segments are dealt by block
+    blocks = sizes.select(*talk, "block").distinct().join(speakers, talk)
+    grid = sizes.join(blocks, [*talk, "block"]).join(own, [*talk, "segment", "perspective"], "left")
     # as the assistant, a speaker's turns have another head
     less = F.length(_head(F.col("perspective"), nobody)) - F.length(_head(F.col("perspective"), F.col("perspective")))
     grid = grid.withColumn("size", F.col("size") - F.coalesce("own", F.lit(0)) * less)
-    before = W.partitionBy(*talk, "perspective").orderBy("segment")
-    return grid.select(*talk, "segment", "perspective", (F.sum("size").over(before) - F.col("size")).cast("long").alias("before"))
+    # sums within blocks, and sums of the blocks before
+    view = [*talk, "perspective"]
+    within = W.partitionBy(*view, "block").orderBy("segment")
+    totals = grid.groupBy(*view, "block").agg(F.sum("size").alias("_block"))
+    earlier = F.sum("_block").over(W.partitionBy(*view).orderBy("block")) - F.col("_block")
+    grid = grid.withColumn("_within", F.sum("size").over(within) - F.col("size")).join(totals.select(*view, "block", earlier.alias("_earlier")), [*view, "block"])
+    return grid.select(*talk, "segment", "perspective", (F.col("_within") + F.col("_earlier")).cast("long").alias("before"))
 
 
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +119,7 @@ def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = rf"""
-WITH said AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CAST(coalesce(floor(turn / {SEGMENT}), -1) AS BIGINT) AS segment FROM conversations),
+WITH said AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN 0 ELSE (row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) - 1) // {SEGMENT} END AS segment FROM conversations),
 speakers AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM said WHERE role <> 'system'),
 shown AS (
   SELECT s.conv_id, s.alone, p.perspective, s.segment, s.turn, s.role, s.text, s.role = p.perspective AS own,
