@@ -10,7 +10,7 @@ account or a secret. At each anchor a small parser expands to the borders of an
 * secret: after a word such as token, secret or password and an equals sign or colon (or after Bearer), 16 characters or more of letters and digits that vary as
   random ones do; after a password's word 8 are enough, if they hold a letter and a digit.
 
-Spans are in code points, end exclusive; those of one kind don't overlap, those of two kinds may. Whole texts are scanned. Null and
+Time is in proportion to a text's length, whatever cues it repeats. Spans are in code points, end exclusive; those of one kind don't overlap, those of two kinds may. Whole texts are scanned. Null and
 empty texts have no spans, and a null stays null when texts are redacted. Repeated rows, null doc_ids and other columns stay; columns named
 `spans` and `text` are replaced where the result has them. An empty table gives no rows.
 """
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -43,9 +43,12 @@ _gap = re.compile(r"[\s:#.-]{0,8}").match
 _iban = re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){10,30}").match
 _account = re.compile(r"(?i:\s*(?:no\.?|number|nr\.?|num\.?))?[\s:#.-]{0,8}([0-9](?:[ -]?[0-9]){7,16})(?![0-9])").match
 _login = re.compile(r"[^\s:/@]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:/[^\s\"'<>]*)?").match
-_secret = re.compile(r"[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([A-Za-z0-9+/_.~=-]{16,})").match
-_bearer = re.compile(r"\s{1,3}([A-Za-z0-9+/_.~=-]{16,})").match
-_password = re.compile(r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?([^\s\"'<>]{8,})").match
+# what stands before a value; that it is long enough is seen from its first characters, where it ends only once for a run
+_secret = re.compile(r"[\w-]{0,20}[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?=[A-Za-z0-9+/_.~=-]{16})").match
+_bearer = re.compile(r"\s{1,3}(?=[A-Za-z0-9+/_.~=-]{16})").match
+_password = re.compile(r"[\"']?\s{0,3}(?:=>|:=|=|:)\s{0,3}[\"']?(?=[^\s\"'<>]{8})").match
+_key_run = re.compile(r"[A-Za-z0-9+/_.~=-]*").match
+_word_run = re.compile(r"[^\s\"'<>]*").match
 
 #: Words that announce an account or a secret, and how secrets after them are read.
 ACCOUNT_WORDS = ("iban", "account", "acct")
@@ -110,17 +113,48 @@ def iban_end(text: str, at: int) -> int:
     return end if mod97(text[at:end].replace(" ", "")) else -1
 
 
-def random_like(value: str) -> bool:
+def random_like(counts: Counter[str]) -> bool:
     """Characters that vary as those of keys and hashes do, with letters and digits among them."""
-    counts = Counter(value)
-    bits = sum(n * math.log2(len(value) / n) for n in counts.values()) / len(value)
-    return bits >= LEAST_BITS and any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)
+    if not (any(c.isdigit() for c in counts) and any(c.isalpha() for c in counts)):
+        return False
+    size = counts.total()
+    return sum(n * math.log2(size / n) for n in counts.values()) / size >= LEAST_BITS
+
+
+class _Values:
+    """Values that begin at one place after another of a text and end where a run of characters does.
+
+    A cue in a value that was none begins another, which ends at the same place: its end and its characters come from those of the one before, so a run is read twice however many cues it has.
+    """
+
+    def __init__(self, text: str, run: Callable, stripped: str) -> None:
+        self.text, self.run, self.stripped = text, run, stripped
+        self.start = self.end = 0
+        self.seen = 0
+        self.counts: Counter[str] = Counter()
+
+    def at(self, start: int) -> tuple[int, Counter[str]]:
+        """Where the value ends, without stops, and how often it has each character."""
+        if not self.start <= start < self.end:
+            value = self.run(self.text, start).group()
+            self.start = self.seen = start
+            self.end = start + len(value)
+            self.close = start + len(value.rstrip(self.stripped))
+            self.counts = Counter(self.text[start : self.close])
+        elif start < self.seen:  # a cue before the last one's place
+            self.counts.update(self.text[start : min(self.seen, self.close)])
+        else:
+            self.counts.subtract(self.text[self.seen : min(start, self.close)])
+            self.counts = +self.counts
+        self.seen = start
+        return max(start, self.close), self.counts
 
 
 def spans(text: str) -> list[Span]:
     """All spans of a text, by kind as KINDS lists them, then by place."""
     found: dict[str, list[Span]] = {k: [] for k in KINDS}
     past = dict.fromkeys(KINDS, 0)  # where the last match of a kind ended
+    keys, words = _Values(text, _key_run, "."), _Values(text, _word_run, ".,;:)")
 
     def take(kind: str, start: int, end: int, valid: bool) -> None:
         past[kind] = end
@@ -161,10 +195,15 @@ def spans(text: str) -> list[Span]:
                 elif m := _account(text, end + 1):
                     take("account", m.start(1), m.end(1), True)
         elif at >= past["secret"] and (m := SECRET_WORDS[anchor](text, end + 1)):
-            value = m[1].rstrip(".,;:)") if anchor in ("password", "passwd", "pwd") else m[1].rstrip(".")
-            mixed = len(value) >= 8 and any(map(str.isdigit, value)) and any(map(str.isalpha, value))
-            if mixed if SECRET_WORDS[anchor] is _password else len(value) >= 16 and random_like(value):
-                take("secret", m.start(1), m.start(1) + len(value), True)
+            start = m.end()
+            if SECRET_WORDS[anchor] is _password:
+                stop, counts = words.at(start)
+                valid = stop - start >= 8 and any(map(str.isdigit, counts)) and any(map(str.isalpha, counts))
+            else:
+                stop, counts = keys.at(start)
+                valid = stop - start >= 16 and random_like(counts)
+            if valid:
+                take("secret", start, stop, True)
     return [s for k in KINDS for s in found[k]]
 
 
