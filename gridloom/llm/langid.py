@@ -5,8 +5,8 @@ a sample of its texts gives several centroids. A text gets the language of the c
 greatest cosine; `rejected` says that even that one is further than all but a small share of its own training texts are.
 
 idf counts every document with a known language that is not held out; the centroids are fitted on at most `per_lang` texts
-of each language, the first ones by a hash of doc_id, and of `most_langs` languages at most, those of the most ids. A language's rows are
-fitted in one task, which has that bound; the driver is sent the centroids. Products are of values on a grid, so exact: equal texts have equal scores.
+of each language, the first ones by a hash of doc_id. A language's rows are
+fitted in one task, which has that bound; the driver is sent the centroids, and so are all tasks. Every language is learned: more than `most_langs` of them, whose centroids would be half a gigabyte, raise ValueError. Products are of values on a grid, so exact: equal texts have equal scores.
 
 A text that is null or has no letter is `und`, with score 0 and rejected. Where nothing can be learned, every text is `und`. Null doc_ids are never
 learned from, and count as held out. Repeated rows stay; other columns are left out. An empty table gives no rows.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gridloom.llm._shared import documents, slices
 from gridloom.llm.features import ngram_counts, snapped, tf_idf, unit
 
-BINS, GRAM, CENTROIDS, PER_LANG, MOST_LANGS, REJECTED_SHARE = 4096, 3, 4, 400, 256, 0.005
+BINS, GRAM, CENTROIDS, PER_LANG, MOST_LANGS, REJECTED_SHARE = 4096, 3, 4, 400, 4096, 0.005
 #: Bits of the values' grid: twice this and 12 for the row's length fit in a double.
 GRID = 20
 #: Texts that are vectors at the same time inside a task.
@@ -63,11 +63,13 @@ def idf_of(found: np.ndarray, n: int) -> np.ndarray:
 
 
 def first_by_hash(rows: DataFrame, kind: str, most: int, most_kinds: int = MOST_LANGS) -> DataFrame:
-    """doc_id, kind of at most `most` ids of each kind, those with the least hashes of doc_id; of the kinds with the most ids, if there are over `most_kinds`.
+    """doc_id, kind of at most `most` ids of each kind, those with the least hashes of doc_id. Raises ValueError where there are more than `most_kinds` kinds.
 
     A cut of the hashes, from how many ids a kind has about, leaves about twice as many before a window ranks them, so no task sees more, however large the table.
     """
-    counts = rows.groupBy(kind).agg(F.approx_count_distinct("doc_id").alias("n")).orderBy(F.desc("n"), kind).limit(most_kinds).collect()
+    counts = rows.groupBy(kind).agg(F.approx_count_distinct("doc_id").alias("n")).limit(most_kinds + 1).collect()
+    if len(counts) > most_kinds:
+        raise ValueError(f"more than {most_kinds} values of {kind}")
     if not counts:
         return rows.select("doc_id", kind)
     share = F.element_at(F.create_map(*[F.lit(x) for r in counts for x in (r[kind], (2 * most + 50) / r["n"])]), F.col(kind))

@@ -163,9 +163,21 @@ def test_scores_do_not_depend_on_blocks(spark, tables):
 
 def test_sample_is_of_distinct_ids(spark):
     rows = spark.createDataFrame([(i, k) for i in range(300) for k in ("a", "b") for _ in range(6)] + [(i, f"rare{i}") for i in range(40)], "doc_id long, lang string")
-    got = [(r["doc_id"], r["lang"]) for r in langid.first_by_hash(rows, "lang", 40, 2).collect()]
+    got = [(r["doc_id"], r["lang"]) for r in langid.first_by_hash(rows, "lang", 40).collect()]
     rank = sorted(range(300), key=lambda i: xxhash.xxh64_intdigest(struct.pack("<q", i), 42) >> 11)
-    assert sorted(got) == sorted((i, k) for k in "ab" for i in rank[:40])
+    assert sorted(got) == sorted([(i, k) for k in "ab" for i in rank[:40]] + [(i, f"rare{i}") for i in range(40)])
+    with pytest.raises(ValueError):  # no language is left out in silence
+        langid.first_by_hash(rows, "lang", 40, 41)
+
+
+def test_every_language_is_learned(spark):
+    """Three hundred languages, most of two texts, beside one that has nearly all rows."""
+    word = lambda k: "".join(chr(0x4E00 + 7 * k + j) for j in range(6))
+    rows = [(3 * i + j, f"{word(i)} {word(i)} x{j}", f"l{i}") for i in range(300) for j in (0, 1)] + [(10_000 + i, "plain english words", "en") for i in range(3000)]
+    model = langid.fitted(docs(spark, rows, "doc_id long, text string, lang string"))
+    assert set(model.langs) == {f"l{i}" for i in range(300)} | {"en"}
+    asked = docs(spark, [(i, word(i)) for i in range(300)])
+    assert sum(r["lang_pred"] == f"l{r['doc_id']}" for r in langid.predicted(asked, model).collect()) >= 295
 
 
 def test_quality_cases(spark):
