@@ -90,6 +90,7 @@ def _numbered(kept: DataFrame, block: int) -> DataFrame:
     """kept (lang, term, n) with block and id, dense in each block: terms are hashed to about the right number of blocks of their language, and numbered in these."""
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     dealt = kept.join(sizes, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / block)).cast("int"))
+    dealt = dealt.repartition("lang", "block")  # not by language, as the join has it
     place = F.row_number().over(W.partitionBy("lang", "block").orderBy("term"))  # `block` terms, give or take
     return dealt.withColumn("id", (place - 1).cast("int")).drop("v")
 
