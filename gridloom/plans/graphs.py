@@ -13,7 +13,7 @@ from gridloom.sources.shared import staged
 
 
 def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return staged(graph.rooted_by_parent(A.parents(spark, sf_dir)))
+    return staged(graph.rooted_by_parent(A.parents(spark, sf_dir), ancestors=False))
 
 
 def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {A.CLOSURE_SQL} SELECT CAST(node AS VARCHAR) AS node, CAST(max(steps) AS INT) AS depth FROM up GROUP BY node")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hops from the source, breadth first over undirected edges."""
-    return graph.rooted(graph.adjacency(A.tree_edges(spark, sf_dir)), "0").select("node", "depth")
+    return graph.rooted_tree(graph.adjacency(A.tree_edges(spark, sf_dir)), "0").select("node", "depth")
 
 
 @query(f"""
@@ -66,7 +66,9 @@ WITH RECURSIVE {A.CLOSURE_SQL}, {A.LOADS_SQL}, reached AS (SELECT node, CAST(max
 SELECT l.name, coalesce(r.depth, 999) AS depth, CASE WHEN r.node IS NULL THEN -1 ELSE 0 END AS branch FROM loads l LEFT JOIN reached r ON r.node = l.bus""")
 def unreachable_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads on buses that can't be reached (all but part 0 and what hangs below part 1) have defaults."""
-    tree = _tree(spark, sf_dir).filter(F.array_contains("ancestors", "1") | (F.col("node") == "0"))
+    tree = _tree(spark, sf_dir)
+    below = graph.carried_down(tree, tree.filter("node = '1'").select("node", F.lit(True).alias("v")), "v", lambda above, own: above | own, F.lit(False), "below")
+    tree = tree.join(below, "node").filter("below OR node = '0'")
     rows = A.loads(spark, sf_dir).join(tree, F.col("bus").cast("string") == F.col("node"), "left")
     return rows.select("name", F.coalesce("depth", F.lit(NO_DEPTH)).alias("depth"), F.when(F.col("node").isNull(), NO_BRANCH).otherwise(0).alias("branch"))
 
@@ -82,7 +84,7 @@ down(node, branch) AS (SELECT 0, CAST(0 AS BIGINT) UNION ALL SELECT e.k, coalesc
 @query(f"WITH {_BRANCH_SQL} SELECT CAST(node AS VARCHAR) AS node, branch FROM down")
 def branch_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches numbered where the tree splits."""
-    return graph.branches(staged(graph.rooted(graph.adjacency(A.tree_edges(spark, sf_dir)), "0")))
+    return graph.branches(graph.rooted_tree(graph.adjacency(A.tree_edges(spark, sf_dir)), "0"))
 
 
 _SUMS_SQL = f"{A.CLOSURE_SQL}, {A.LOADS_SQL}, own AS (SELECT bus, sum(base_kw) AS kw FROM loads GROUP BY bus), sums AS (SELECT anc AS node, coalesce(sum(kw), 0) AS downstream FROM up LEFT JOIN own ON own.bus = up.node GROUP BY anc)"

@@ -16,7 +16,7 @@ TARGET = 49
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All loads with size class, depth, branch, downstream load, backbone and score, scores rounded so that equal ones tie."""
-    tree = graph.rooted_by_parent(A.parents(spark, sf_dir))
+    tree = graph.rooted_by_parent(A.parents(spark, sf_dir), ancestors=False)
     loads = A.loads(spark, sf_dir)
     values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
     sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}).withColumn("downstream", F.round("downstream", 4)))

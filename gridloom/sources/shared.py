@@ -19,8 +19,30 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that later plans and lost executors start there."""
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, so that later plans and lost executors start there."""
+    return _written(df)[0]
+
+
+class Rounds:
+    """The table of a loop: each step's is written to the shared folder, and the one before it, which that was made from, deleted."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self._path = _written(df)
+
+    def step(self, df: DataFrame) -> None:
+        new, path = _written(df)
+        self.done()
+        self.df, self._path = new, path
+
+    def done(self) -> None:
+        """Delete the table, once nothing is to be read from it."""
+        spark = self.df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(self._path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
