@@ -81,3 +81,15 @@ def quantiles(df: DataFrame, value: str, at: Sequence[float]) -> list[float] | N
         low, high = math.floor(p), math.ceil(p)
         out.append(of[low] if of[low] == of[high] else (high - p) * of[low] + (p - low) * of[high])
     return out
+
+
+def with_next(df: DataFrame, by: Sequence[str], order: Sequence[str], column: str, name: str) -> DataFrame:
+    """df with `column` of the next row of its group in the order given, null at the group's end. A group need not meet in one task: where it goes on in another partition, that one's first row tells."""
+    placed = _placed(df, [*by, *order])
+    first = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min_by(F.struct(*by, column), "_at").alias("f")).orderBy("_part").collect()  # a row for each partition
+    kinds = ", ".join(f"_by{i} {df.schema[c].dataType.simpleString()}" for i, c in enumerate(by))
+    follows = [(r["_part"], r["n"] - 1, *after["f"]) for r, after in zip(first, first[1:], strict=False)]
+    border = F.broadcast(df.sparkSession.createDataFrame(follows, f"_part long, _end long, {kinds}{', ' if kinds else ''}_first {df.schema[column].dataType.simpleString()}"))
+    within = F.lead(column).over(W.partitionBy("_part", *by).orderBy("_at"))  # within one partition of the sort
+    here = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)], F.col("_at") == F.col("_end"))
+    return placed.withColumn("_within", within).join(border, "_part", "left").withColumn(name, F.coalesce("_within", F.when(here, F.col("_first")))).select(*df.columns, name)

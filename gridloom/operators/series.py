@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators.order import numbered
+from gridloom.operators.order import numbered, with_next
 
 
 def zipped(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str]) -> DataFrame:
@@ -68,12 +68,27 @@ def normalized(shape: DataFrame, by: str, value: str) -> DataFrame:
     return shape.join(most, F.col(by) == F.col("_by")).drop("_by").withColumn(value, F.col(value) / F.nullif(F.col("_most"), F.lit(0.0))).drop("_most")
 
 
-def energy(rows: DataFrame, by: list[str], order: list[str], kw: str, hours: float, name: str = "kwh") -> DataFrame:
+def with_spans(rows: DataFrame, by: list[str], time: str, tie: list[str]) -> DataFrame:
+    """rows with `until`, when the next reading of the same meter comes, and `hours`, how long that is; a meter's last reading lasts no time."""
+    out = with_next(rows, by, [time, *tie], time, "until").withColumn("until", F.coalesce("until", time))
+    return out.withColumn("hours", F.timestamp_diff("MICROSECOND", F.col(time), F.col("until")) / 3.6e9)
+
+
+def energy(rows: DataFrame, by: list[str], order: list[str], kw: str, hours: float | Column, name: str = "kwh") -> DataFrame:
     """rows with the energy used so far in each group."""
     w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return rows.withColumn(name, F.sum(F.col(kw) * hours).over(w))
 
 
+def demand(rows: DataFrame, by: list[str], time: str, kw: str, width: str) -> DataFrame:
+    """by, start, kwh, peak of each demand interval (`width`: hour or day) from rows of `with_spans`: a reading's energy is split where intervals meet, so their sums are the whole."""
+    step, one = F.date_trunc(width, time).cast("timestamp_ntz"), F.expr(f"INTERVAL 1 {width}")
+    parts = rows.filter(F.col("until") > F.col(time)).withColumn("start", F.explode(F.sequence(step, F.col("until"), one)))
+    first, last = F.greatest(F.col(time), F.col("start")), F.least(F.col("until"), F.col("start") + one)
+    hours = F.timestamp_diff("MICROSECOND", first, last) / 3.6e9
+    return parts.withColumn("hours", hours).filter("hours > 0").groupBy(*by, "start").agg(F.sum(F.col(kw) * F.col("hours")).alias("kwh"), F.max(kw).alias("peak"))
+
+
 def bulk_set(rows: DataFrame, name: str, pattern: str, column: str, value: str | float, otherwise: str | float | None = None) -> DataFrame:
     """rows with a column set where the name matches a pattern; elsewhere it stays, or is `otherwise` where rows lack it."""
     rest = F.col(column) if column in rows.columns else F.lit(otherwise)

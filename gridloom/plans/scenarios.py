@@ -66,11 +66,26 @@ def loadshape_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.join(run, "shape").select("name", "step", "t_s", F.round(F.col("s_acctbal") * F.col("mult"), 4).alias("kw"))
 
 
-@query("SELECT event_id, event_type, round(sum(value * 0.25) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id), 4) AS kwh FROM events")
+_SPANS = "s AS (SELECT event_id, event_type, ts, value, coalesce(lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id), ts) AS until FROM events)"
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.with_spans(A.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], "ts", ["event_id"])
+
+
+@query(f"WITH {_SPANS} SELECT event_id, event_type, round(sum(value * (epoch_us(until) - epoch_us(ts)) / 3.6e9) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id), 4) AS kwh FROM s")
 def energy_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Energy of each meter since the day began."""
-    rows = A.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", F.date_trunc("day", "ts").alias("day"), "value")
-    return series.energy(rows, ["event_type", "day"], ["ts", "event_id"], "value", 0.25).select("event_id", "event_type", F.round("kwh", 4).alias("kwh"))
+    """Energy of each meter since the day began; a reading holds until the next."""
+    rows = _spans(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    return series.energy(rows, ["event_type", "day"], ["ts", "event_id"], "value", F.col("hours")).select("event_id", "event_type", F.round("kwh", 4).alias("kwh"))
+
+
+@query(f"""WITH {_SPANS}, p AS (SELECT event_type, value, ts, until, unnest(generate_series(date_trunc('hour', ts), until, INTERVAL 1 HOUR)) AS start FROM s WHERE until > ts),
+h AS (SELECT *, (epoch_us(least(until, start + INTERVAL 1 HOUR)) - epoch_us(greatest(ts, start))) / 3.6e9 AS hours FROM p)
+SELECT event_type, CAST(start AS TIMESTAMP) AS start, round(sum(value * hours), 4) AS kwh, round(max(value), 4) AS peak FROM h WHERE hours > 0 GROUP BY event_type, start""")
+def demand_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy and greatest reading of each meter by the hour, readings split where hours meet."""
+    return series.demand(_spans(spark, sf_dir), ["event_type"], "ts", "value", "hour").withColumns({"kwh": F.round("kwh", 4), "peak": F.round("peak", 4)})
 
 
 @query("SELECT event_type, count(*) AS n, round(max(value), 4) AS worst FROM events WHERE value > 50 GROUP BY 1")

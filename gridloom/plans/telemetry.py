@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators import series
+from gridloom.operators.order import numbered
 from gridloom.plans import adapters as A
 from gridloom.plans.registry import query
+from gridloom.sources import documents as D
 from gridloom.sources.shared import shared_dir, staged
-from gridloom.streaming import barrier
+from gridloom.streaming import barrier, clock
 
 METERS = 5
 _LAST = "last AS (SELECT date_trunc('{0}', ts) AS tick, event_type AS meter, max_by(value, (ts, event_id)) AS p_kw FROM events GROUP BY 1, 2)"
@@ -68,6 +70,35 @@ def tick_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(out.withColumn("tick", F.col("tick").cast("timestamp_ntz")))
 
 
+@query(f"WITH {_LAST.format('day')} {_FULL}")
+def tick_barrier_emitting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complete day ticks, each sent as soon as its last meter reports, from the raw events in many batches.
+
+    Two kinds of meters come first, dealt out without order, so their days wait; then the others, each day of theirs in one file, which completes it. All readings are sent once more after that, with other values, and change nothing.
+    Between these the stream ends and begins again where it was.
+    """
+    rows = A.readings(spark, sf_dir).select("tick", "meter", "ts", "event_id", "p_kw").withColumns({c: F.col(c).cast("timestamp") for c in ("tick", "ts")})
+    rows = rows.withColumn("at", F.unix_micros("ts")).select("tick", "meter", "at", "event_id", "p_kw")
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    rows.limit(0).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    sent = barrier.assembled(stream, rows.select("meter").distinct(), "tick", "meter", ["at", "event_id"], ["p_kw"])
+    early, out = F.col("meter").isin("click", "error"), f"{path}-out"
+    for part in (_by_size(rows.filter(early)), _by_size(rows.filter(~early), "tick"), _by_size(rows.withColumns({"at": F.col("at") + 1, "p_kw": F.lit(-1.0)}))):
+        part.write.mode("append").parquet(path)
+        barrier.appended(sent, out, f"{path}-checkpoint").awaitTermination()  # goes on where it ended
+    return _totals(spark.read.schema(sent.schema).parquet(out).withColumn("tick", F.col("tick").cast("timestamp_ntz")))
+
+
+#: Rows of a file that is streamed.
+FILE_ROWS = 100_000
+
+
+def _by_size(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows in files of about FILE_ROWS each, three at least, dealt by keys or without order."""
+    return rows.repartition(max(3, rows.count() // FILE_ROWS), *keys)
+
+
 @query(f"WITH {_LAST.format('hour')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters FROM last GROUP BY 1 HAVING count(*) < 5")
 def incomplete_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that lack a meter, as the stream tells them at their end."""
@@ -169,3 +200,40 @@ def _csv_round_trip(rows: DataFrame) -> DataFrame:
 def csv_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows appended to CSV files in two goes, read again."""
     return _csv_round_trip(staged(A.table(spark, sf_dir, "events").select("event_id", "event_type", "value")))
+
+
+@query("SELECT CAST(t.i AS BIGINT) AS timestamp, event_type AS meter, event_id, value AS p_kw FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM events) t")
+def replay_by_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every type's events through a clock that deals their places, ended halfway and begun again from its checkpoint."""
+    rows = numbered(A.table(spark, sf_dir, "events").select(F.col("event_type").alias("meter"), "ts", "event_id", F.col("value").alias("p_kw")), "ts", "event_id", by=("meter",), name="timestamp")
+    rows = staged(rows.select("timestamp", "meter", "event_id", "p_kw"))
+    last = (rows.agg(F.max("timestamp")).first()[0] or -1) + 1
+    out, at_once = f"{shared_dir(spark)}/replayed-{uuid.uuid4().hex}", max(1, -(-last // 6))
+    for end in (last // 2, last):
+        stream = clock.replayed_ticks(spark, rows, at_once=at_once, last=end)
+        run = barrier.appended(stream, out, f"{out}-checkpoint", now=False)
+        try:
+            run.processAllAvailable()
+        finally:
+            run.stop()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+_PROFILES_SQL = """
+WITH t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS tick FROM events), n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM events GROUP BY event_type)),
+m AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events))
+SELECT CAST(tick AS BIGINT) AS timestamp, 'event ' || event_id AS datetime, printf('M%03d', m.i) AS meter_id, 'load ' || event_type AS load_name, CAST(m.i AS BIGINT) AS bus, value AS p_kw, CAST(event_id % 100 AS DOUBLE) AS q_kvar, CAST(user_id AS DOUBLE) AS voltage, CAST(event_id AS DOUBLE) AS current
+FROM t JOIN m USING (event_type) CROSS JOIN n WHERE tick < n.n"""
+
+
+@query(_PROFILES_SQL)
+def profile_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What meters send, from CSV profiles: each type's events are written as a household's folder of files, in order, and meters are paired with folders by place."""
+    events = A.table(spark, sf_dir, "events")
+    path = f"{shared_dir(spark)}/profiles-{uuid.uuid4().hex}"
+    own = events.select(F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("datetime"), F.col("value").alias("Global_active_power"), (F.col("event_id") % 100).cast("double").alias("Global_reactive_power"), F.col("user_id").cast("double").alias("Voltage"), F.col("event_id").cast("double").alias("Global_intensity"), F.col("event_type").alias("synthetic"), "ts", "event_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.repartitionByRange(parts, "synthetic", "ts", "event_id").sortWithinPartitions("synthetic", "ts", "event_id").drop("ts", "event_id").write.partitionBy("synthetic").option("header", True).csv(path)
+    types = numbered(events.select("event_type").distinct(), "event_type", name="i")
+    meters = types.select(F.format_string("M%03d", F.col("i") + 1).alias("meter_id"), F.concat(F.lit("load "), "event_type").alias("load_name"), (F.col("i") + 1).alias("bus"))
+    return D.messages(D.profiles(spark, f"{path}/synthetic=*", folders=True), meters)

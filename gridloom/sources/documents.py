@@ -47,10 +47,16 @@ def write_network(path: str, source: DataFrame, nodes: DataFrame, edges: DataFra
     one.select("source", "nodes", "edges", F.struct("transformers", "capacitors", "regulators").alias("assets")).coalesce(1).write.mode("overwrite").json(path)
 
 
-def profiles(spark: SparkSession, glob: str) -> DataFrame:
-    """file, block, row and the columns of every household profile; files are CSV with a header. block and row tell the order of a file's rows."""
+def profiles(spark: SparkSession, glob: str, folders: bool = False) -> DataFrame:
+    """file, block, row and the columns of every household profile; files are CSV with a header. block and row tell the order of a file's rows.
+
+    With `folders` a household is a folder of files, which follow each other by name, so a profile may have any size; `file` is the folder's name then.
+    """
     rows = spark.read.schema(PROFILE).option("header", True).csv(glob)
-    return rows.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    name, path, at = F.col("_metadata.file_name"), F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0")
+    if not folders:
+        return rows.select("*", name.alias("file"), at.alias("block"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", F.element_at(F.split(path, "/"), -2).alias("file"), F.concat(name, F.lit(" "), at).alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
 def messages(readings: DataFrame, meters: DataFrame) -> DataFrame:
