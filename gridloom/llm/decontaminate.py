@@ -195,7 +195,7 @@ def _seeds_of_items(benchmark: DataFrame, least: int) -> tuple[DataFrame, DataFr
     return read.select("item_id", "item"), seeds
 
 
-def _bit_table(seeds: DataFrame) -> tuple[np.ndarray, int]:
+def bit_table(seeds: DataFrame) -> tuple[np.ndarray, int]:
     """A bit for each seed's first `bits` bits, as bytes; and `bits`."""
     bits = min(max((64 * seeds.count()).bit_length(), FEWEST_BITS), MOST_BITS)
     slot = F.shiftrightunsigned("seed", 64 - bits)
@@ -212,7 +212,7 @@ def _key(text: str) -> Column:
 
 def _candidates(docs: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
     """key, seed, at (its places) of the runs of texts that the bit table lets pass."""
-    bits_of, bits = _bit_table(seeds)
+    bits_of, bits = bit_table(seeds)
     sent = docs.sparkSession.sparkContext.broadcast(bits_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -117,21 +117,28 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, most: int = 8) -> DataFrame:
-    """docs without near copies: of each component one row stays, that of the smallest doc_id, then node, then hash of text. Rows without a doc_id stay, as nothing names them.
+    """docs without near copies: of each component one row stays, that of the smallest doc_id (a null one last), then node, then hash of text.
 
     A near copy shares 0.8 of its 5-word shingles or more (resemblance.py); op6's two bits of 64 would hold little below 0.99.
     """
-    found, path = staged(resemblance.sets(docs), "sets")
-    roots = components(resemblance.links(found, most))
-    nodes = found.filter("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    spark = docs.sparkSession
+    found, path = staged(resemblance.printed(docs), "prints")
+    uniq, uniq_path = staged(found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]), "nodes")
+    ids, ids_path = staged(found.select("doc_id", "node"), "ids")
+    dropped(spark, path)
+    roots = components(resemblance.links(uniq, docs, most))
+    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     node, row = unused(docs, "node"), unused(docs, "row")
-    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc_id", "node")).alias("first")).select("first.doc_id", F.col("first.node").alias(node))
-    rows = found.groupBy("doc_id").agg(F.count("*").alias("_rows"))
-    keep, _ = staged(first.join(rows, "doc_id"), "keep")
-    dropped(docs.sparkSession, path)
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")
+    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(least).select("first.doc_id", F.col("first.node").alias(node))
+    rows = ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("_rows"))
+    keep, _ = staged(first.join(rows, "doc_id", "left"), "keep")
+    dropped(spark, uniq_path)
+    dropped(spark, ids_path)
     once = docs.join(keep.filter("_rows = 1").select("doc_id").hint("shuffle_hash"), "doc_id").select(*docs.columns)
-    # a doc_id of several rows doesn't tell which of them was chosen: their sets do
-    several = keep.filter("_rows > 1").select("doc_id", node)
-    again = resemblance.marked(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns), node).join(several, ["doc_id", node])
+    # a doc_id of several rows, or none, doesn't tell which of them was chosen: their sets do
+    several = keep.filter("_rows IS NULL OR _rows > 1").select(F.col("doc_id").alias("_id"), F.col(node).alias("_node"))
+    asked = docs.filter("doc_id IS NULL").unionByName(docs.join(several.filter("_id IS NOT NULL").select(F.col("_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(*docs.columns))
+    again = resemblance.marked(asked, node).join(several, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(node) == F.col("_node")))
     again = again.groupBy("doc_id", node).agg(F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.col("text"))).alias(row)).select(f"{row}.*")
-    return once.unionByName(again).unionByName(docs.filter("doc_id IS NULL"))
+    return once.unionByName(again)

@@ -83,7 +83,7 @@ def test_grouped_and_deduplicated(spark):
     assert got == sorted([(7, 3), (3, 3), (3, 3), (9, 9), (4, 4), (5, 4), (None, None), (None, 3)], key=str)
     kept = simhash.deduplicated(wide(spark, rows))
     assert kept.columns == wide(spark, rows).columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 9, 4, None, None], key=str)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([3, 9, 4, None], key=str)  # a copy without an id goes like any other
     assert simhash.grouped(docs(spark, [])).count() == simhash.deduplicated(docs(spark, [])).count() == 0
 
 
@@ -133,6 +133,31 @@ def test_bands_hold_near_copies():
     assert missed <= 5
 
 
+def test_sketches_decide_as_whole_sets_do():
+    """Pairs of all similarities: what sketches are sure of is right, and near 0.8 they are not sure."""
+    rng, unsure = np.random.default_rng(5), {}
+    for shared in [*range(300, 1000, 10)] * 3:
+        own = 1000 - shared
+        both, rest = rng.integers(0, 1 << 32, shared, dtype=np.uint64), rng.integers(0, 1 << 32, (2, own // 2), dtype=np.uint64)
+        pair = [np.unique(np.concatenate([both, r])) for r in rest]
+        similarity = len(np.intersect1d(*pair)) / len(np.union1d(*pair))
+        one, other = (resemblance._sketch(x, np.zeros(1, dtype=np.int64))[0] for x in pair)
+        apart = int(np.bitwise_count((one ^ other).view(np.uint64)).sum())
+        assert apart > resemblance.SURE or similarity >= 0.8
+        assert apart <= resemblance.NEVER or similarity < 0.8
+        unsure.setdefault(round(similarity, 1), []).append(resemblance.SURE < apart <= resemblance.NEVER)
+    assert all(unsure[0.8]) or sum(unsure[0.8]) > 0.8 * len(unsure[0.8])
+    assert not any(unsure[0.5]) and not any(unsure[1.0][-5:])
+
+
+def test_rows_without_an_id(spark):
+    """Copies without a doc_id come down to one, which goes too if a copy has an id."""
+    text = lambda name: " ".join(f"{name}{i}" for i in range(50))
+    rows = [(None, text("a")), (None, text("a")), (None, text("a") + " more"), (None, text("b")), (5, text("b")), (None, text("c")), (None, None), (None, "")]
+    kept = simhash.deduplicated(wide(spark, rows)).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in kept), key=str) == sorted([(None, "a"), (5, "b"), (None, "c"), (None, "")], key=str)
+
+
 def test_star_of_near_copies(spark):
     """Copies of one text that are near it but not each other, more of them than are compared by pairs."""
     rng = random.Random(9)
