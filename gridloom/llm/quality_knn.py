@@ -15,6 +15,7 @@ Repeated rows stay. `scored` leaves other columns out, `rejecting` keeps them. A
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -96,18 +97,26 @@ def fitted(docs: DataFrame, labels: DataFrame, bins: int = BINS, dimensions: int
             for part, texts in slices(batch):
                 for i in range(0, len(texts), ROWS):
                     own = part.slice(i, ROWS)
-                    rows = [row.tobytes() for row in counts_of(texts[i : i + ROWS], bins)]
+                    rows = [zlib.compress(row.tobytes(), 1) for row in counts_of(texts[i : i + ROWS], bins)]
                     yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.int64()), own.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], ["doc_id", "quality", "counts"])
 
     made = sample.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, counts binary")
     rows = made.groupBy("doc_id").agg(F.min(F.struct("quality", "counts")).alias("x")).orderBy("doc_id").select("x.*").toPandas()
     if not len(rows):
         return None
-    counts = np.frombuffer(b"".join(rows["counts"]), dtype=np.float32).reshape(len(rows), -1)
-    terms = weighted(counts, idf).astype(np.float64)
-    _, vectors = np.linalg.eigh(terms.T @ terms)  # right singular vectors, weakest first
-    axes = snapped(vectors[:, ::-1][:, :dimensions], TERM_GRID)
-    return Model(idf, axes, projected(counts, idf, axes), rows["quality"].to_numpy(dtype=np.float64))
+    # a block of rows at a time, as the driver holds all terms once anyway
+    packed, blocks = rows["counts"].tolist(), range(0, len(rows), ROWS)
+    counts = lambda i: np.frombuffer(b"".join(map(zlib.decompress, packed[i : i + ROWS])), dtype=np.float32).reshape(-1, bins + EXTRA)
+    terms = np.empty((len(packed), bins + EXTRA))
+    for i in blocks:
+        terms[i : i + ROWS] = weighted(counts(i), idf)
+    gram = terms.T @ terms
+    del terms
+    axes = snapped(np.linalg.eigh(gram)[1][:, ::-1][:, :dimensions], TERM_GRID)  # right singular vectors, weakest first
+    del gram
+    model = Model(idf, axes, np.concatenate([projected(counts(i), idf, axes) for i in blocks]), rows["quality"].to_numpy(dtype=np.float64))
+    released()
+    return model
 
 
 def votes(texts: list[str], m: Model | None, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
