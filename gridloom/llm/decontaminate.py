@@ -6,7 +6,7 @@ in both. From these alone the text is tiled against the item: the longest match
 again, until none of `least` words is left. Tiles may stand in any order, so a reordered passage counts as a straight one does. An item that is covered to `threshold` leaks.
 
 The bit table has a fixed size at most, so it is sent to all tasks however many items there are; with more of them more runs pass, and the join is exact.
-Seeds are dealt by a salt as well, as a passage may be in a third of all texts. Equal texts are one, known by their MD5; a document's row is met again by it at the end,
+An item is first met by its rare seeds alone, so a phrase that many items share joins no text to them; all that a text and an item share is gathered for those that meet so. Seeds that a passage has brought to a large part of all texts find their items in a table that all tasks are sent. Equal texts are one, known by their MD5; a document's row is met again by it at the end,
 where Spark sends the leaking texts' keys to all tasks if they are small and shuffles otherwise. Texts that share nothing with an item never move.
 Runs are told apart by 64 bits. What one text shares with one item meets in a row, which has the bound of the two texts' lengths.
 
@@ -26,16 +26,16 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._shared import documents, released, slices, staged, starts_of, table, unused
+from gridloom.llm._shared import documents, dropped, met, released, slices, staged, starts_of, table, unused
 
 LEAST, THRESHOLD = 5, 0.5
 #: Bits of the table of seeds: 64 for each seed, and these at least and at most (8 MB), as powers of two.
 FEWEST_BITS, MOST_BITS = 16, 26
 #: Bits in one group of the table.
 GROUP = 1 << 15
-SALTS = 8
 #: Words that a task keeps with their hashes.
 CACHED = 500_000
 _BASE = 0x9E3779B97F4A7C15
@@ -172,8 +172,11 @@ def _lists(starts: np.ndarray, flat: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)).astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def _seeds_of_items(benchmark: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """item_id, item of every item of `least` words or more; and seed, item, item_words, item_at (its places) of every distinct word sequence, `item`."""
+def _seeds_of_items(benchmark: DataFrame, least: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """item_id, item of every item of `least` words or more; and seed, item, item_words, item_at (its places), rare of every distinct word sequence, `item`.
+
+    To cover an item to the threshold takes k places at least, where k tiles of `least` words are that many words. So of its places all but any k - 1 hold a shared one: these are its `rare` seeds, and the k - 1 left out are those that most items have.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Hashes()
@@ -191,8 +194,13 @@ def _seeds_of_items(benchmark: DataFrame, least: int) -> tuple[DataFrame, DataFr
     read = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, item binary, item_words int, seeds array<struct<seed:bigint,at:array<int>>>")
     read, _ = staged(read, "items")
     once = read.groupBy("item").agg(F.any_value("item_words").alias("item_words"), F.any_value("seeds").alias("seeds"))
-    seeds, _ = staged(once.select("item", "item_words", F.explode("seeds").alias("s")).select("s.seed", "item", "item_words", F.col("s.at").alias("item_at")), "seeds")
-    return read.select("item_id", "item"), seeds
+    seeds, path = staged(once.select("item", "item_words", F.explode("seeds").alias("s")).select("s.seed", "item", "item_words", F.col("s.at").alias("item_at")), "seeds")
+    often = seeds.groupBy("seed").agg(F.count("*").alias("often"))
+    upto = F.sum(F.size("item_at")).over(W.partitionBy("item").orderBy(F.desc("often"), "seed").rowsBetween(W.unboundedPreceding, 0))  # the words of an item
+    spare = F.ceil(threshold * F.col("item_words") / least - 1e-9) - 1
+    ranked, _ = staged(met(seeds, often, "seed").select(*seeds.columns, (upto > spare).alias("rare")), "ranked")
+    dropped(benchmark.sparkSession, path)
+    return read.select("item_id", "item"), ranked
 
 
 def bit_table(seeds: DataFrame) -> tuple[np.ndarray, int]:
@@ -234,6 +242,11 @@ def _candidates(docs: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
     return found.groupBy("key", "seed").agg(F.any_value("at").alias("at"))  # equal texts are one
 
 
+def candidates(found: DataFrame, seeds: DataFrame) -> DataFrame:
+    """key, item of the texts and items that share a rare seed, once each; only these can be covered."""
+    return met(found.select("key", "seed"), seeds.filter("rare").select("seed", "item"), "seed").select("key", "item").distinct()
+
+
 def _tile(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Tiles for rows of key, item, item_words, runs (at, item_at)."""
     for batch in batches:
@@ -254,15 +267,18 @@ def _tile(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
     """key (of a text), item_id, item_words, covered, coverage, tiles: a row for each distinct text and item that it covers."""
-    items, seeds = _seeds_of_items(benchmark, least)
-    found = _candidates(docs, seeds, least).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = found.join(salted, ["seed", "salt"]).groupBy("key", "item", "item_words").agg(F.collect_list(F.struct("at", "item_at")).alias("runs"))  # a text and an item
+    items, seeds = _seeds_of_items(benchmark, least, threshold)
+    found, found_path = staged(_candidates(docs, seeds, least), "runs")
+    asked, asked_path = staged(candidates(found, seeds), "candidates")
+    shared = asked.join(found, "key").join(seeds.drop("rare"), ["seed", "item"])
+    both = shared.groupBy("key", "item", "item_words").agg(F.collect_list(F.struct("at", "item_at")).alias("runs"))  # a text and an item
     # k words in tiles of `least` or more take k / least shared runs at least
-    met = met.filter(least * F.aggregate("runs", F.lit(0), lambda n, r: n + F.size(r["item_at"])) >= threshold * F.col("item_words"))
-    made = met.mapInArrow(lambda batches: _tile(batches, least), f"key binary, item binary, item_words int, covered int, tiles {TILES}")
+    both = both.filter(least * F.aggregate("runs", F.lit(0), lambda n, r: n + F.size(r["item_at"])) >= threshold * F.col("item_words"))
+    made = both.mapInArrow(lambda batches: _tile(batches, least), f"key binary, item binary, item_words int, covered int, tiles {TILES}")
     made = made.filter(F.col("covered") >= threshold * F.col("item_words")).join(items, "item")
     out, _ = staged(made.select("key", "item_id", "item_words", "covered", (F.col("covered") / F.col("item_words")).alias("coverage"), "tiles"), "leaks")
+    dropped(docs.sparkSession, found_path)
+    dropped(docs.sparkSession, asked_path)
     return out
 
 

@@ -251,3 +251,17 @@ def test_decontamination_against_brute_force(spark):
             want.add((i, j, n))
     got = decontaminate.annotated(docs(spark, rows), docs(spark, items, "item_id long, text string"))
     assert {(r["doc_id"], x["item_id"], x["covered"]) for r in got.collect() for x in r["leaks"]} == want != set()
+
+
+def test_a_phrase_of_all_items_joins_nothing(spark):
+    """Items that share a run of five words meet only the texts that hold more of them."""
+    rng = random.Random(4)
+    phrase = "which of the following is"
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    items = [(k, f"{phrase} {words(k, 20)}") for k in range(60)]
+    rows = [(i, f"{words(1000 + i, 30)} {phrase} {words(2000 + i, 9)}") for i in range(40)] + [(100 + k, f"so {phrase} {words(k, 20)} then") for k in rng.sample(range(60), 10)]
+    benchmark, own = spark.createDataFrame(items, "item_id long, text string"), docs(spark, rows)
+    _, seeds = decontaminate._seeds_of_items(benchmark, 5, 0.5)
+    met = decontaminate.candidates(decontaminate._candidates(own, seeds, 5), seeds)
+    assert met.count() == 10
+    assert sorted(r["doc_id"] for r in decontaminate.cleaned(own, benchmark).collect()) == list(range(40))
