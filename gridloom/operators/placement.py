@@ -113,18 +113,30 @@ def meters(chosen: DataFrame) -> DataFrame:
 
 
 class HybridPlacement:
-    """Classes, tree, roll-up, main path, branches, scores and round robin in turn."""
+    """Classes, tree, roll-up, main path, branches, scores and round robin in turn. `digits` rounds downstream loads and scores, so that equal ones tie whatever the order of sums was."""
 
-    def __init__(self, target: int = 49) -> None:
-        self.target = target
+    def __init__(self, target: int = 49, digits: tuple[int, int] | None = None) -> None:
+        self.target, self.digits = target, digits
 
     def select(self, loads: DataFrame, network: DataFrame, source: str) -> DataFrame:
         """loads chosen from loads and network's edges (src, dst)."""
-        tree = staged(graph.rooted(graph.contracted(graph.adjacency(network)), source))
+        return round_robin(self.scored(loads, network, source), self.target).transform(balanced).transform(balanced)
+
+    def scored(self, loads: DataFrame, network: DataFrame, source: str) -> DataFrame:
+        """All loads with what the choice goes by."""
+        tree = self.tree(graph.contracted(graph.adjacency(network)), source)
         values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
-        sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}))
-        out = attached(size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree))
-        return round_robin(staged(scored(out)), self.target).transform(balanced).transform(balanced)
+        sums = graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"})
+        sums = staged(sums.withColumn("downstream", F.round("downstream", self.digits[0])) if self.digits else sums)
+        out = scored(attached(size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree)))
+        return staged(out.withColumn("score", F.round("score", self.digits[1])) if self.digits else out)
+
+    def tree(self, near: DataFrame, source: str) -> DataFrame:
+        """A tree is rooted in rounds by its logarithm; a graph with cycles breadth first, level by level."""
+        try:
+            return graph.rooted_tree(near, source)
+        except ValueError:
+            return graph.rooted(near, source)
 
 
 def summary(chosen: DataFrame) -> DataFrame:

@@ -138,6 +138,20 @@ d AS (SELECT k AS node, (0.0001 * length * downstream / 1000 + 0.0002 * length *
 SELECT CAST(u.node AS VARCHAR) AS node, round(2400.0 - coalesce(sum(d.d), 0), 6) AS v FROM up u LEFT JOIN d ON d.node = u.anc GROUP BY u.node""")
 def lindist_voltage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voltages by linear drops along the tree."""
+    return _voltages(spark, sf_dir).select("node", F.round("v", 6).alias("v"))
+
+
+def _voltages(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = A.tree_edges(spark, sf_dir).select(F.col("dst").alias("node"), (0.0001 * F.col("length")).alias("r"), (0.0002 * F.col("length")).alias("x"))
     loads = _values(spark, sf_dir).select(F.col("bus").alias("node"), (F.col("base_kw") / 1000).alias("p"), (F.col("base_kw") * 0.5 / 1000).alias("q"))
-    return flow.linear_voltages(A.parents(spark, sf_dir), lines, loads, 2400.0).select("node", F.round("v", 6).alias("v"))
+    return flow.linear_voltages(A.parents(spark, sf_dir), lines, loads, 2400.0)
+
+
+@query(f"""
+WITH RECURSIVE {_SUMS_SQL},
+d AS (SELECT k AS node, length, (0.0001 * length * downstream / 1000 + 0.0002 * length * downstream * 0.5 / 1000) / 2400.0 AS d FROM tree_edges JOIN sums ON sums.node = tree_edges.k)
+SELECT CAST(u.node AS VARCHAR) AS node, round(coalesce(sum(d.length), 0), 4) AS distance, round((2400.0 - coalesce(sum(d.d), 0)) / 2400.0, 9) AS pu FROM up u LEFT JOIN d ON d.node = u.anc GROUP BY u.node""")
+def voltage_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-unit voltage against the distance from the source, for every node."""
+    v = _voltages(spark, sf_dir).select("node", F.round(F.col("v") / 2400.0, 9).alias("pu"))
+    return path_length(spark, sf_dir).join(v, "node").select("node", "distance", "pu")

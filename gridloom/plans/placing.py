@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import graph, placement
 from gridloom.plans import adapters as A
-from gridloom.plans.graphs import _BRANCH_SQL, _PATH_SQL
+from gridloom.plans.graphs import _BRANCH_SQL, _HELPERS, _IS_HELPER, _PATH_SQL
 from gridloom.plans.registry import query
+from gridloom.plans.texts import made_once
 from gridloom.sources.shared import staged
 
 TARGET = 49
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All loads with size class, depth, branch, downstream load, backbone and score, scores rounded so that equal ones tie."""
-    tree = graph.rooted_by_parent(A.parents(spark, sf_dir), ancestors=False)
-    loads = A.loads(spark, sf_dir)
-    values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
-    sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}).withColumn("downstream", F.round("downstream", 4)))
-    out = placement.attached(placement.size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree))
-    return staged(placement.scored(out).withColumn("score", F.round("score", 6)))
+    """All loads with size class, depth, branch, downstream load, backbone and score, scores rounded so that equal ones tie; made once in a session."""
+
+    def make(folder: str) -> None:
+        tree = staged(graph.rooted_by_parent(A.parents(spark, sf_dir), ancestors=False))
+        loads = A.loads(spark, sf_dir)
+        values = loads.select(F.col("bus").cast("string").alias("bus"), "base_kw")
+        sums = staged(graph.rolled_up(tree, values, "bus", {"base_kw": "downstream"}).withColumn("downstream", F.round("downstream", 4)))
+        out = placement.attached(placement.size_classed(loads), tree, sums, graph.main_path(tree, sums), graph.branches(tree))
+        placement.scored(out).withColumn("score", F.round("score", 6)).write.parquet(f"{folder}/scored")
+
+    return spark.read.parquet(f"{made_once(spark, 'placement', sf_dir, make)}/scored")
 
 
 _REST_SQL = _PATH_SQL.split("p_partkey >= 1),", 1)[1]
@@ -107,3 +112,28 @@ def placement_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Picked loads by size class."""
     return placement.round_robin(_scored(spark, sf_dir), TARGET).groupBy("size_class").agg(F.count("*").alias("n"))
+
+
+#: The contracted tree by the walk from its source, and what `scored` is made of, over nodes that are numbers again.
+_STRATEGY_SQL = f"""WITH RECURSIVE {A.TREE_SQL}, {_HELPERS}, {A.LOADS_SQL},
+ends AS (SELECT min(nbr) AS a, max(nbr) AS b FROM near WHERE node LIKE '%r' GROUP BY node HAVING count(*) = 2),
+bare AS (SELECT node, nbr FROM near WHERE NOT {_IS_HELPER.replace('x', 'node')} AND NOT {_IS_HELPER.replace('x', 'nbr')} UNION SELECT a, b FROM ends UNION SELECT b, a FROM ends),
+fan AS (SELECT node, nbr, lpad(CAST(row_number() OVER (PARTITION BY node ORDER BY nbr) AS VARCHAR), 8, '0') AS r FROM bare),
+walk(node, parent, depth, path) AS (SELECT '0', CAST(NULL AS VARCHAR), 0, '' UNION ALL SELECT f.nbr, w.node, w.depth + 1, w.path || f.r FROM walk w JOIN fan f ON f.node = w.node WHERE f.nbr IS DISTINCT FROM w.parent),
+kids AS (SELECT *, count(*) OVER (PARTITION BY parent) AS n FROM walk),
+heads AS (SELECT node, row_number() OVER (ORDER BY depth, path) AS k FROM kids WHERE n > 1 AND parent IS NOT NULL),
+below(node, branch) AS (SELECT '0', CAST(0 AS BIGINT) UNION ALL SELECT c.node, coalesce(h.k, b.branch) FROM below b JOIN walk c ON c.parent = b.node LEFT JOIN heads h ON h.node = c.node),
+climb(node, anc) AS (SELECT node, node FROM walk UNION ALL SELECT c.node, w.parent FROM climb c JOIN walk w ON w.node = c.anc WHERE w.parent IS NOT NULL),
+own AS (SELECT CAST(bus AS VARCHAR) AS bus, sum(base_kw) AS kw FROM loads GROUP BY bus),
+total AS (SELECT anc AS node, coalesce(sum(kw), 0) AS downstream FROM climb LEFT JOIN own ON own.bus = climb.node GROUP BY anc),
+best AS (SELECT w.parent, arg_min(w.node, (-round(t.downstream, 4), w.node)) AS node FROM walk w JOIN total t ON t.node = w.node WHERE w.parent IS NOT NULL GROUP BY w.parent),
+way(node) AS (SELECT '0' UNION ALL SELECT b.node FROM way JOIN best b ON b.parent = way.node),
+sums AS (SELECT TRY_CAST(node AS BIGINT) AS node, downstream FROM total), up AS (SELECT TRY_CAST(node AS BIGINT) AS node, depth AS steps FROM walk), down AS (SELECT TRY_CAST(node AS BIGINT) AS node, branch FROM below), spine AS (SELECT TRY_CAST(node AS BIGINT) AS node FROM way),
+q AS {_ROBIN_SQL.split("q AS ", 1)[1]}"""
+
+
+@query(f"{_STRATEGY_SQL} SELECT printf('M%03d', m) AS meter_id, name AS load_name, bus, base_kw, branch, depth, downstream_kw, size_class, on_backbone FROM meters")
+def hybrid_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole strategy at once: helpers contracted, what is left rooted from undirected edges, loads rolled up, scored and chosen."""
+    chosen = placement.HybridPlacement(TARGET, (4, 6)).select(A.loads(spark, sf_dir), A.helper_edges(spark, sf_dir), "0")
+    return placement.meters(chosen)

@@ -36,10 +36,19 @@ def hourly_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(series.barrier(A.readings(spark, sf_dir, "hour"), "tick", "meter", ["ts", "event_id"], ["p_kw"], METERS))
 
 
+#: Rows of a file that is streamed.
+FILE_ROWS = 100_000
+
+
+def _by_size(rows: DataFrame, *keys: str, least: int = 3) -> DataFrame:
+    """rows in files of about FILE_ROWS each, a few at least, dealt by keys or without order."""
+    return rows.repartition(max(least, rows.count() // FILE_ROWS), *keys)
+
+
 def _as_files(rows: DataFrame, files: int) -> str:
-    """rows as files to be streamed, dealt out without order."""
+    """rows as files to be streamed, so many at least, dealt out without order."""
     path = f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(files).write.json(path)
+    _by_size(rows, least=files).write.json(path)
     return path
 
 
@@ -55,12 +64,33 @@ def _events_in_batches(spark: SparkSession, sf_dir: str, files: int) -> DataFram
     """A stream of all events, a file at a time and in no order of time, and after them a reading of no meter, years later, which ends all ticks."""
     rows = A.readings(spark, sf_dir).select(F.col("tick").cast("timestamp").alias("tick"), "meter", F.col("ts").cast("timestamp").alias("ts"), "event_id", "p_kw")
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows.repartition(files).write.parquet(path)
+    _by_size(rows, least=files).write.parquet(path)
     end = rows.agg(F.max("ts").alias("ts")).select(F.col("ts") + F.expr("INTERVAL 9 YEARS"))
     end.select(F.date_trunc("day", end[0]).alias("tick"), F.lit("none").alias("meter"), end[0].alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("p_kw")).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+@query("""
+WITH wm AS (SELECT max(ts) - INTERVAL 1 DAY AS t FROM events WHERE event_type <> 'view'), kept AS (SELECT e.*, date_trunc('day', ts) AS tick FROM events e, wm WHERE event_type <> 'view' OR ts > wm.t),
+last AS (SELECT tick, event_type AS meter, max_by(value, (ts, event_id)) AS p_kw FROM kept GROUP BY 1, 2)
+SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters, count(*) >= 5 AS complete, round(sum(p_kw), 6) AS p_kw FROM last GROUP BY tick""")
+def late_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as told at their end when one kind of meter comes late: its readings from before the watermark, a day behind the latest of the others, are dropped, and days that lack it are told incomplete."""
+    rows = A.readings(spark, sf_dir).select("tick", "meter", "ts", "event_id", "p_kw").withColumns({c: F.col(c).cast("timestamp") for c in ("tick", "ts")})
+    path, out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}", f"{shared_dir(spark)}/streamed-{uuid.uuid4().hex}"
+    rows.limit(0).write.parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path).withWatermark("ts", "1 day")
+    stream = stream.withColumns({"at": F.unix_micros("ts"), "end": F.col("tick") + F.expr("INTERVAL 1 DAY")})
+    told = barrier.closed(stream, "tick", "meter", ["at", "event_id"], ["p_kw"], METERS, "end")
+    late = F.col("meter") == "view"
+    end = rows.agg(F.max("ts").alias("ts")).select(F.date_trunc("day", F.col("ts") + F.expr("INTERVAL 9 YEARS")).alias("tick"), F.lit("none").alias("meter"), (F.col("ts") + F.expr("INTERVAL 9 YEARS")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("p_kw"))
+    for part in (rows.filter(~late), rows.filter(late), end):
+        part.write.mode("append").parquet(path)
+        barrier.appended(told, out, f"{out}-checkpoint").awaitTermination()  # a batch each
+    made = spark.read.schema(told.schema).parquet(out).filter("meter <> 'none'").withColumn("tick", F.col("tick").cast("timestamp_ntz"))
+    return made.groupBy("tick").agg(F.count("*").alias("n_meters"), F.bool_and("complete").alias("complete"), F.round(F.sum("p_kw"), 6).alias("p_kw"))
+
+
 @query(f"WITH {_LAST.format('day')} {_FULL}")
 def tick_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete day ticks through a stateful stream of the raw events, in many batches."""
@@ -90,15 +120,6 @@ def tick_barrier_emitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(spark.read.schema(sent.schema).parquet(out).withColumn("tick", F.col("tick").cast("timestamp_ntz")))
 
 
-#: Rows of a file that is streamed.
-FILE_ROWS = 100_000
-
-
-def _by_size(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows in files of about FILE_ROWS each, three at least, dealt by keys or without order."""
-    return rows.repartition(max(3, rows.count() // FILE_ROWS), *keys)
-
-
 @query(f"WITH {_LAST.format('hour')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters FROM last GROUP BY 1 HAVING count(*) < 5")
 def incomplete_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that lack a meter, as the stream tells them at their end."""
