@@ -105,6 +105,12 @@ def monitored(rows: DataFrame, element: str, name: str, time: str, width: str, c
     return rows.filter(F.col(element) == name).groupBy(F.date_trunc(width, time).cast("timestamp_ntz").alias(width)).agg(*[c.alias(k) for k, c in channels.items()])
 
 
+def recorded(rows: DataFrame, monitors: DataFrame, element: str, time: str, width: str, channels: dict[str, Column]) -> DataFrame:
+    """name, `width` and channels of what each of monitors (name, element) sees of its element, in any case, by spans of time; rows are summed by element before monitors meet them."""
+    spans = rows.groupBy(F.lower(element).alias("_element"), F.date_trunc(width, time).cast("timestamp_ntz").alias(width)).agg(*[c.alias(k) for k, c in channels.items()])
+    return monitors.select("name", F.lower("element").alias("_element")).join(spans, "_element").drop("_element")
+
+
 def exceeding(rows: DataFrame, by: str, value: str, limit: float) -> DataFrame:
     """by, n, worst: how often and how far a value is over its limit."""
     return rows.filter(F.col(value) > limit).groupBy(by).agg(F.count("*").alias("n"), F.max(value).alias("worst"))

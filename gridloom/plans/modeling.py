@@ -5,6 +5,8 @@ Parts are lines and switches of a tree, suppliers transformers and regulators, n
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from gridloom.operators import graph, series
 from gridloom.plans import adapters as A
 from gridloom.plans.registry import query
 from gridloom.plans.texts import as_text, made_once, one_file
+from gridloom.sources import documents as D
 from gridloom.sources import statements as S
+from gridloom.sources.shared import shared_dir
 
 _PARENT = "CASE WHEN p_partkey % 2 = 1 THEN (p_partkey - 1) {div} 2 ELSE p_partkey {div} 3 END"
 _PHASE = "1 + p_partkey % 3"
@@ -206,3 +210,23 @@ def model_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feeder's tree from the text: what lies beyond open switches and lines without a length is not reached."""
     edges = S.edges(statements_of(spark, sf_dir)).filter("device <> 'transformer'")
     return graph.rooted(graph.adjacency(edges), "0").select("node", "depth")
+
+
+@query("""
+WITH r AS (SELECT 'line.l' || (user_id % 7) AS element, date_trunc('day', ts) AS day, value FROM events)
+SELECT 'm' || n_nationkey AS name, CAST(day AS TIMESTAMP) AS day, round(avg(value), 6) AS kw, round(max(value), 6) AS peak, count(*) AS n FROM nation JOIN r ON r.element = 'line.l' || n_regionkey GROUP BY 1, 2""")
+def monitor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each monitor of the text records of its element, by the day."""
+    rows = A.table(spark, sf_dir, "events").select(F.concat(F.lit("LINE.l"), (F.col("user_id") % 7).cast("string")).alias("element"), "ts", "value")
+    channels = {"kw": F.round(F.avg("value"), 6), "peak": F.round(F.max("value"), 6), "n": F.count("*")}
+    return series.recorded(rows, S.monitors(statements_of(spark, sf_dir)), "element", "ts", "day", channels)
+
+
+@query(f"""
+WITH {_WIRED} SELECT name AS id, CAST(p AS VARCHAR) AS "from", CAST(k AS VARCHAR) AS "to", CASE WHEN m = 7 THEN 'switch' ELSE 'line' END AS device, phases, length, linecode FROM sections WHERE closed
+UNION ALL SELECT 'T' || s_suppkey, CAST(s_suppkey AS VARCHAR), s_suppkey || 'r', 'transformer', 1, 0.0, NULL FROM supplier WHERE s_suppkey % 3 <> 0""")
+def network_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The network's edges through JSON and back, beside its nodes and assets."""
+    stmts, path = statements_of(spark, sf_dir), f"{shared_dir(spark)}/network-{uuid.uuid4().hex}"
+    D.write_network_tables(path, source=S.source(stmts), nodes=S.nodes(stmts), edges=S.edges(stmts), transformers=S.transformers(stmts), capacitors=S.capacitors(stmts), regulators=S.regulators(stmts))
+    return D.network_table(spark, path, "edges")

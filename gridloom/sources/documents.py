@@ -28,7 +28,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def write_network(path: str, source: DataFrame, nodes: DataFrame, edges: DataFrame, transformers: DataFrame, capacitors: DataFrame, regulators: DataFrame) -> None:
-    """A network as one JSON document; a model's tables have the bound of one feeder."""
+    """A small network as one JSON document, in one row; `write_network_tables` is for any size."""
 
     def whole(rows: DataFrame, *columns) -> DataFrame:
         return rows.agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("x"))
@@ -47,6 +47,30 @@ def write_network(path: str, source: DataFrame, nodes: DataFrame, edges: DataFra
     one.select("source", "nodes", "edges", F.struct("transformers", "capacitors", "regulators").alias("assets")).coalesce(1).write.mode("overwrite").json(path)
 
 
+#: The tables of a network and their columns, as its document has them (fixed values).
+PARTS = {
+    "source": "name string, base_kv double, bus string",
+    "nodes": "id string, base_bus bigint, kind string, phases array<string>",
+    "edges": "id string, `from` string, `to` string, device string, phases int, length double, linecode string",
+    "transformers": "name string, buses array<string>, kva array<double>",
+    "capacitors": "name string, bus string, kvar double, kv double",
+    "regulators": "name string, transformer string, winding int",
+}
+
+
+def write_network_tables(path: str, **parts: DataFrame) -> None:
+    """A network of any size as folders of JSON objects, one for each of PARTS that is given; edges may have src and dst for from and to."""
+    for name, rows in parts.items():
+        named = rows.withColumnsRenamed({"src": "from", "dst": "to"}) if name == "edges" else rows
+        fields = [f.split()[0].strip("`") for f in PARTS[name].split(", ")]
+        write_json(named.select(*[F.col(f"`{f}`") for f in fields]), f"{path}/{name}")
+
+
+def network_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """One of PARTS of a network that `write_network_tables` wrote."""
+    return spark.read.schema(PARTS[name]).json(f"{path}/{name}")
+
+
 def profiles(spark: SparkSession, glob: str, folders: bool = False) -> DataFrame:
     """file, block, row and the columns of every household profile; files are CSV with a header. block and row tell the order of a file's rows.
 

@@ -96,6 +96,31 @@ def test_network_document(spark, tmp_path):
     assert {x["id"] for x in n["nodes"]} == {"a", "b", "c"} and n["assets"]["regulators"][0]["winding"] == 2
 
 
+def test_network_tables(spark, tmp_path):
+    """Every part through its folder and back."""
+    text = "New object=circuit.demo basekv=4.16 Bus1=a\nNew Line.L1 Bus1=a.1 Bus2=b.1 Length=1\nNew Transformer.T1 buses=[b c] kva=50\nNew Capacitor.C1 Bus1=b kVAR=10 kV=2.4\nNew RegControl.R1 transformer=T1 winding=2\n"
+    (tmp_path / "m.dss").write_text(text)
+    st = S.statements(S.lines(spark, [f"file://{tmp_path}/m.dss"]))
+    path = f"file://{tmp_path}/network"
+    D.write_network_tables(path, source=S.source(st), nodes=S.nodes(st), edges=S.edges(st), transformers=S.transformers(st), capacitors=S.capacitors(st), regulators=S.regulators(st))
+    read = {name: sorted(map(tuple, D.network_table(spark, path, name).collect()), key=str) for name in D.PARTS}
+    assert read["source"] == [("demo", 4.16, "a")] and [e[:4] for e in read["edges"]] == [("L1", "a", "b", "line"), ("T1", "b", "c", "transformer")]
+    assert [n[0] for n in read["nodes"]] == ["a", "b", "c"] and read["transformers"] == [("T1", ["b", "c"], [50.0])]
+    assert read["capacitors"] == [("C1", "b", 10.0, 2.4)] and read["regulators"] == [("R1", "T1", 2)]
+
+
+def test_profiles_in_folders(spark, tmp_path):
+    """A household's files follow each other by name."""
+    head = "datetime,Global_active_power,Global_reactive_power,Voltage,Global_intensity\n"
+    for name, rows in (("b/part-1", [3.0]), ("b/part-0", [1.0, 2.0]), ("a/part-9", [7.0, 8.0, 9.0, 10.0])):
+        at = tmp_path / "p" / f"{name}.csv"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(head + "".join(f"t,{p},0,240,1\n" for p in rows))
+    meters = spark.createDataFrame([("M1", "x", 1), ("M2", "y", 2)], "meter_id string, load_name string, bus long")
+    got = D.messages(D.profiles(spark, f"file://{tmp_path}/p/*", folders=True), meters).orderBy("meter_id", "timestamp").collect()
+    assert [(r["meter_id"], r["p_kw"]) for r in got] == [("M1", 7.0), ("M1", 8.0), ("M1", 9.0), ("M2", 1.0), ("M2", 2.0), ("M2", 3.0)]
+
+
 def test_line_codes_coordinates_shapes(spark, tmp_path):
     (tmp_path / "m.dss").write_text("New linecode.1 nphases=2 BaseFreq=60\n~ rmatrix = [0.1 | 0.2 0.3]\n~ xmatrix = (1 | 2 3)\nNew linecode.2 nphases=1 rmatrix=[9]\n")
     got = S.line_codes(S.statements(S.lines(spark, [f"file://{tmp_path}/m.dss"]))).collect()
