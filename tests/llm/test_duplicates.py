@@ -158,6 +158,20 @@ def test_rows_without_an_id(spark):
     assert sorted(((r["doc_id"], (r["text"] or "")[:1]) for r in kept), key=str) == sorted([(None, "a"), (5, "b"), (None, "c"), (None, "")], key=str)
 
 
+def test_families_whose_members_are_near_few_others(spark, monkeypatch):
+    """A chain of texts, each near the next ones, in few large groups: leaders in turn, and none."""
+    rng, texts = random.Random(11), []
+    words = [f"w{i}" for i in range(150)]
+    for k in range(90):
+        texts.append(" ".join(words))
+        words[rng.randrange(0, 150, 5)] = f"new{k}"
+    want = sorted(set(jaccard_groups(texts)))
+    for linear in (0.0, 1e9):
+        monkeypatch.setattr(resemblance, "LINEAR", linear)
+        kept = simhash.deduplicated(docs(spark, list(enumerate(texts))), 2)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want
+
+
 def test_star_of_near_copies(spark):
     """Copies of one text that are near it but not each other, more of them than are compared by pairs."""
     rng = random.Random(9)
