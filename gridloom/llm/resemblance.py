@@ -6,8 +6,9 @@ Each set has a sketch as well, a bit of each of 1024 other least hashes, in whic
 (either is wrong for a pair at 0.8 itself with a probability of 5 in a million, and beyond 0.05 from it with less than one in a billion); what lies between is compared by its whole sets, which are made again from the texts of these documents alone.
 So bands and sketches, some 300 bytes for each distinct set, are what is stored and shuffled, and neither texts nor sets of documents that are like no other.
 
-Groups of over `most` documents are not paired. Each member is compared with the leader of its group, its least node, so groups of one family have the same leader, or a few; what that joins is one component. While a group has many members outside its largest component, a few of these lead it in turn, so that what is near any of them joins too.
-At last the members still outside are compared with all others, by sketches. So a group of near copies grows with its size, while no candidate that could join two components is left out.
+Pairs that simhash fingerprints have found are decided first, and bands pair only what these leave apart.
+Groups of over `most` documents are not paired. Each member is compared with the leader of its group, the member with the largest groups in all: near copies of a text share most bands with that text, so groups of one family have the same leader, and it is near most of them. While a group has many members outside its largest component, a few of these lead it in turn, so that what is near any of them joins too.
+At last the members still outside are compared with all others, by sketches, each pair in one of its groups. So a group of near copies grows with its size, while no candidate that could join two components is left out.
 Sets are kept as 32-bit hashes, which move a similarity by about n / 2**32; a set of under 4 has no other at 0.8, and equal sets are told by 64 bits each.
 A large group of documents that agree in a band and are yet all unlike each other still costs the square of its size, in comparisons of sketches.
 """
@@ -56,7 +57,7 @@ def _node(tokens: np.ndarray) -> int:
 
 
 def printed(docs: DataFrame) -> DataFrame:
-    """doc_id, node (a hash of the set, equal for equal sets), n, bands, sketch of every row."""
+    """doc_id, node (a hash of the set, equal for equal sets), n, fp (simhash of the set, as a long), bands, sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
@@ -64,6 +65,7 @@ def printed(docs: DataFrame) -> DataFrame:
             for part, texts in slices(batch, limit=PART_CHARS):
                 own = [shingles(t) for t in texts]
                 nodes = np.array(list(map(_node, own)), dtype=np.uint64).view(np.int64)
+                prints = _prints(own)
                 own = [np.unique(x.astype(np.int32)).view(np.uint32).astype(np.uint64) for x in own]
                 lens = np.array([len(x) for x in own], dtype=np.int64)
                 bands, sketch = np.zeros((len(own), BANDS), dtype=np.int64), np.zeros((len(own), LONGS), dtype=np.int64)
@@ -73,9 +75,18 @@ def printed(docs: DataFrame) -> DataFrame:
                     flat, starts = np.concatenate([own[i] for i in rows]), starts_of(lens[rows])
                     bands[rows], sketch[rows] = _bands(flat, starts), _sketch(flat, starts)
                 lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (bands, sketch)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), pa.array(lens.astype(np.int32)), *lists], ["doc_id", "node", "n", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(nodes), pa.array(lens.astype(np.int32)), pa.array(prints), *lists], ["doc_id", "node", "n", "fp", "bands", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, n int, fp long, bands array<long>, sketch array<long>")
+
+
+def _prints(own: list[np.ndarray]) -> np.ndarray:
+    """For each set of hashes its simhash: bit i is set if it is in over half of them; 0 for an empty one."""
+    out = np.zeros(len(own), dtype=np.int64)
+    for i, x in enumerate(own):
+        votes = sum((np.unpackbits(x[k : k + PART].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for k in range(0, len(x), PART)), np.zeros(64, dtype=np.int64))
+        out[i] = np.packbits(2 * votes > len(x), bitorder="little").view("<i8")[0]
+    return out
 
 
 def _bands(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -161,31 +172,46 @@ def decided(told: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def links(uniq: DataFrame, docs: DataFrame, most: int = 8) -> DataFrame:
-    """Links a, b between nodes of uniq (node, n, bands, sketch: once each, of docs) that join all that are similar; each is of a pair that is."""
-    spark = docs.sparkSession
-    keyed = uniq.filter("n >= 4").select("node", "n", F.explode(F.array_distinct("bands")).alias("token"))
-    groups, groups_path = staged(keyed.groupBy("token").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1"), "groups")
+def links(uniq: DataFrame, docs: DataFrame, most: int = 8, close: DataFrame | None = None) -> DataFrame:
+    """Links a, b between nodes of uniq (node, n, bands, sketch: once each, of docs) that join all that are similar; each is of a pair that is.
+
+    `close` (a, b) are pairs that something else has found; they are decided first, and bands then pair only what these leave apart.
+    """
+    spark, paths = docs.sparkSession, []
+    uniq = uniq.filter("n >= 4")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df, path = staged(df, name)
+        paths.append(path)
+        return df
+
+    close = uniq.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0) if close is None else close
+    near = kept(_sketched(close, uniq).filter(F.col("apart") <= NEVER), "close")
+    rooted = _rooted(uniq.select("node", "n", "bands"), components(near.filter(F.col("apart") <= SURE)))
+    keyed = rooted.select("node", "n", "root", F.explode(F.array_distinct("bands")).alias("token"))
+    groups = kept(keyed.groupBy("token").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
     is_hot = F.col("members") * HOT > groups.agg(F.coalesce(F.sum("members"), F.lit(0))).first()[0]
     hot = F.broadcast(groups.filter(is_hot))  # less than HOT rows
-    shared, shared_path = staged(keyed.join(hot, "token").unionByName(keyed.join(hot.select("token"), "token", "left_anti").join(groups.filter(~is_hot), "token")), "shared")
+    shared = kept(keyed.join(hot, "token").unionByName(keyed.join(hot.select("token"), "token", "left_anti").join(groups.filter(~is_hot), "token")), "shared")
 
-    small = shared.filter(F.col("members") <= most).groupBy("token").agg(F.collect_list(F.struct("node", "n")).alias("row"))  # at most `most`
-    paired = F.flatten(F.transform("row", lambda x: F.transform(F.filter("row", lambda y: (x["node"] < y["node"]) & _sizes_fit(x["n"], y["n"])), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
+    small = shared.filter(F.col("members") <= most).groupBy("token").agg(F.collect_list(F.struct("node", "n", "root")).alias("row"))  # at most `most`
+    apart = lambda x, y: (x["node"] < y["node"]) & (x["root"] != y["root"]) & _sizes_fit(x["n"], y["n"])
+    paired = F.flatten(F.transform("row", lambda x: F.transform(F.filter("row", lambda y: apart(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
     large = shared.filter(F.col("members") > most)
-    led = large.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    first = decided(_sketched(small.select(F.explode(paired).alias("p")).select("p.a", "p.b").union(led), uniq), docs)
+    large = kept(large.join(large.groupBy("node").agg(F.sum("members").alias("weight")), "node").select("token", "node", "n", "root", "weight"), "large")
+    heaviest = F.max_by(F.struct(F.col("node").alias("a"), F.col("root").alias("root_a")), F.struct("weight", "node")).alias("l")
+    star = lambda rows, leaders: met(rows, leaders.select("token", "l.a", "l.root_a"), "token").filter("root <> root_a").select("a", F.col("node").alias("b"))
+    first = _sketched(small.select(F.explode(paired).alias("p")).select("p.a", "p.b").union(star(large, large.groupBy("token").agg(heaviest))), uniq)
+    out = [decided(near.unionByName(first), docs)]
     if large.isEmpty():
-        return _without([groups_path, shared_path], first)
+        return _without(paths, out[0])
 
-    paths, out, before, turn = [groups_path, shared_path], [first], None, 0
+    large, before, turn = large.drop("root"), None, 0
     while True:
-        roots = components(reduce(DataFrame.union, out))
-        parted, parted_path = staged(large.select("token", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "parted")
+        parted = kept(_rooted(large, components(reduce(DataFrame.union, out))), "parted")
         shares = parted.groupBy("token", "root").agg(F.count("*").alias("own"))
         largest = shares.groupBy("token").agg(F.max_by("root", F.struct("own", "root")).alias("largest"), F.max("own").alias("most"), F.sum("own").alias("members"), F.count("*").alias("roots"))
-        largest, largest_path = staged(largest.filter("roots > 1"), "largest")
-        paths += [parted_path, largest_path]
+        largest = kept(largest.filter("roots > 1"), "largest")
         rows, pairs = largest.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum((F.col("members") - F.col("most")) * F.col("members").cast("double")), F.lit(0.0))).first()
         if not rows:
             return _without(paths, reduce(DataFrame.union, out))
@@ -195,19 +221,22 @@ def links(uniq: DataFrame, docs: DataFrame, most: int = 8) -> DataFrame:
             break
         # some outsiders of each group lead it in turn, until those that are left, times their groups, are in proportion to the groups
         before, turn = pairs, turn + 1
-        dice = F.xxhash64("node", F.lit(turn))
-        leaders = outside.groupBy("token", F.pmod(dice, F.lit(LEADERS)).alias("_seat")).agg(F.min_by(F.struct("node", "root"), dice).alias("l")).select("token", F.col("l.node").alias("a"), F.col("l.root").alias("root_a"))
-        star = met(parted, leaders, "token").filter("root <> root_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        out.append(decided(_sketched(star, uniq), docs))
-
-    sketched = placed.join(uniq.select("node", "sketch"), "node")
-    open_, open_path = staged(sketched, "open")
-    outside = open_.filter("root <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"))
+        seat = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(LEADERS))
+        out.append(decided(_sketched(star(parted, outside.groupBy("token", seat.alias("_seat")).agg(heaviest)), uniq), docs))
+
+    open_ = kept(placed.join(uniq.select("node", "sketch", "bands"), "node"), "open")
+    outside = open_.filter("root <> largest").select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("sketch").alias("s_a"), F.col("bands").alias("bands_a"))
+    once = F.array_min(F.array_intersect("bands_a", "bands")) == F.col("token")  # a pair that meets in a small group is decided, and one of a closed group has one root
     rest = open_.join(outside, "token").filter((F.col("root") != F.col("root_a")) & _sizes_fit(F.col("n"), F.col("n_a")))
-    rest = rest.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"), _apart("s_a", "sketch").alias("apart")).filter(F.col("apart") <= NEVER)
+    rest = rest.select("a", F.col("node").alias("b"), "n_a", F.col("n").alias("n_b"), _apart("s_a", "sketch").alias("apart"), once.alias("once")).filter((F.col("apart") <= NEVER) & F.col("once")).drop("once")
     turned = F.col("a") > F.col("b")
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(turned, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.when(turned, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"), "apart")
-    return _without([*paths, open_path], reduce(DataFrame.union, [*out, decided(rest, docs)]))
+    return _without(paths, reduce(DataFrame.union, [*out, decided(rest, docs)]))
+
+
+def _rooted(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes with the root of each, itself where roots (node, root) has none."""
+    return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _sketched(pairs: DataFrame, uniq: DataFrame) -> DataFrame:

@@ -116,17 +116,30 @@ def op6_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def close(nodes: DataFrame, most: int = 64) -> DataFrame:
+    """Pairs a, b of nodes (node, fp) with equal fingerprints, or ones that pigeonring chains find within 2 bits; enough to join all of them."""
+    spark = nodes.sparkSession
+    firsts, path = staged(nodes.groupBy("fp").agg(F.min("node").alias("a")), "firsts")
+    equal = met(nodes, firsts, "fp").filter("node <> a").select("a", F.col("node").alias("b"))
+    linked, _ = staged(links(firsts.select("fp"), most).distinct(), "fingerprints")
+    ends = [firsts.select(F.col("fp").alias(x), F.col("a").alias(f"node_{x}")) for x in "ab"]
+    out, _ = staged(equal.union(met(linked, ends[0], "a").join(ends[1], "b").select("node_a", "node_b")), "close")
+    dropped(spark, path)
+    return out
+
+
 def deduplicated(docs: DataFrame, most: int = 8) -> DataFrame:
     """docs without near copies: of each component one row stays, that of the smallest doc_id (a null one last), then node, then hash of text.
 
-    A near copy shares 0.8 of its 5-word shingles or more (resemblance.py); op6's two bits of 64 would hold little below 0.99.
+    A near copy shares 0.8 of its 5-word shingles or more. Fingerprints of these shingles and pigeonring chains give the first candidates; two bits of 64 hold
+    few pairs below 0.95, so bands of least hashes add those that fingerprints leave apart. Both are decided by sketches and whole sets (resemblance.py).
     """
     spark = docs.sparkSession
     found, path = staged(resemblance.printed(docs), "prints")
-    uniq, uniq_path = staged(found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "bands", "sketch")]), "nodes")
+    uniq, uniq_path = staged(found.groupBy("node").agg(*[F.any_value(c).alias(c) for c in ("n", "fp", "bands", "sketch")]), "nodes")
     ids, ids_path = staged(found.select("doc_id", "node"), "ids")
     dropped(spark, path)
-    roots = components(resemblance.links(uniq, docs, most))
+    roots = components(resemblance.links(uniq, docs, most, close(uniq.filter("n >= 4").select("node", "fp"))))
     nodes = ids.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     node, row = unused(docs, "node"), unused(docs, "row")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("first")

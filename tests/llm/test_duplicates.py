@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, resemblance, simhash
 from gridloom.llm.components import components
@@ -172,6 +173,67 @@ def test_families_whose_members_are_near_few_others(spark, monkeypatch):
         assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def nodes_of(spark, texts):
+    """The distinct sets of texts, as near-copy removal takes them."""
+    own = docs(spark, list(enumerate(texts)))
+    return own, resemblance.printed(own).dropDuplicates(["node"])
+
+
+def test_fingerprints_of_whole_sets(spark):
+    """Each row's simhash is by its 5-word shingles, every one once."""
+    texts = ["", "one two", "a b c d e a b c d e a b c d e f", " ".join(f"w{i}" for i in range(300))]
+    want = []
+    for text in texts:
+        hashes = [xxhash.xxh64_intdigest(" ".join(run).encode(), 42) for run in runs_of_five(text) if run]
+        want.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    got = resemblance.printed(docs(spark, list(enumerate(texts)))).select("doc_id", "fp").collect()
+    assert [r["fp"] & (1 << 64) - 1 for r in sorted(got)] == want
+
+
+@pytest.mark.parametrize("most", [2, 64])
+def test_fingerprints_find_near_copies_without_bands(spark, most):
+    """Of near copies those within 2 bits are found by pigeonring chains alone, and decided by their sets."""
+    rng, texts = random.Random(6), []
+    for k in range(30):
+        words = [f"w{k}x{i}" for i in range(600)]
+        texts += [" ".join(words), " ".join([*words[:-1], f"new{rng.random()}"]), " ".join([*words, "more"])]
+    own, uniq = nodes_of(spark, texts)
+    prints = {r["node"]: r["fp"] & (1 << 64) - 1 for r in uniq.collect()}
+    groups, want = brute_groups(set(prints.values())), {}
+    for node, fp in prints.items():
+        want.setdefault(groups[fp], set()).add(node)
+    bare = uniq.withColumn("bands", F.array().cast("array<long>"))
+    got = {}
+    for r in components(resemblance.links(bare, own, most, simhash.close(uniq.select("node", "fp"), most))).collect():
+        got.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, got.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
+    assert len(got) > 20
+
+
+def test_a_family_is_compared_in_proportion_to_its_size(spark, monkeypatch):
+    """Near copies of one text, few of them near each other: it leads all groups, so each is compared about once."""
+    rng, base, counts = random.Random(12), [f"w{i}" for i in range(150)], []
+    sketched = resemblance._sketched
+
+    def counting(pairs, uniq):
+        out = sketched(pairs, uniq)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(resemblance, "_sketched", counting)
+    texts = [" ".join(base)]
+    for k in range(199):
+        words = list(base)
+        for at in rng.sample(range(150), 2):
+            words[at] = f"new{k}"
+        texts.append(" ".join(words))
+    assert set(jaccard_groups(texts)) == {0}
+    own, uniq = nodes_of(spark, texts)
+    got = components(resemblance.links(uniq, own, 2)).collect()
+    assert len(got) == len(texts) and len({r["root"] for r in got}) == 1
+    assert sum(counts) < 5 * len(texts)
+
+
 def test_star_of_near_copies(spark):
     """Copies of one text that are near it but not each other, more of them than are compared by pairs."""
     rng = random.Random(9)
