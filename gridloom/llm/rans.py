@@ -67,15 +67,15 @@ def encode(ids: np.ndarray, table: Table) -> Block:
     f, c = table.freq[grid], table.cum[grid]
     if n and not f.all():
         raise ValueError("an id has no frequency in the table")
+    top, gap = f << _LIMIT, np.uint64(1 << BITS) - f
     words, out = np.empty((steps, LANES), dtype=np.uint32), np.empty((steps, LANES), dtype=bool)
     x, kept = np.full(LANES, LOW, dtype=np.uint64), []
     for t in range(steps - 1, -1, -1) if n else ():
-        ft = f[t]
-        m = out[t] = x >= ft << _LIMIT
-        words[t] = x & np.uint64(0xFFFFFFFF)
+        m = np.greater_equal(x, top[t], out=out[t])
+        words[t] = x  # the low half
         x = np.where(m, x >> _W, x)
-        q = x // ft
-        x = (q << _B) + (x - q * ft) + c[t]
+        x += x // f[t] * gap[t]  # the quotient times 2**BITS, and the remainder
+        x += c[t]
         if t % EVERY == 0:
             kept.append((t, x))
     kept = kept[::-1] or [(0, x)]

@@ -25,9 +25,9 @@ import contextlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -166,17 +166,26 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(encode, IDS_SCHEMA)
 
 
+def totals(texts: Iterable[np.ndarray], block: int = BLOCK) -> np.ndarray:
+    """How often each id occurs in all texts; those of about `block` ids are counted at once, as each count is as long as the vocabulary."""
+    total, held, size = np.zeros(0, dtype=np.int64), [], 0
+    for own in chain(texts, [None]):
+        if own is not None:
+            held.append(own)
+            size += len(own)
+        if held and (own is None or size >= block):
+            counts = np.bincount(np.concatenate(held))
+            counts[: len(total)] += total[: len(counts)]
+            total = np.concatenate([counts, total[len(counts) :]])
+            held, size = [], 0
+    return total
+
+
 def counted(ids: DataFrame) -> DataFrame:
     """token_id, freq: how often each id occurs in all documents, scaled to 2**20. A row for each id that occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
-        for batch in batches:
-            for data in batch.column(0):
-                own = np.bincount(unpack(data.as_py()))
-                if len(own) > len(total):
-                    total = np.concatenate([total, np.zeros(len(own) - len(total), dtype=np.int64)])
-                total[: len(own)] += own
+        total = totals(unpack(data.as_py()) for batch in batches for data in batch.column(0))
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["token_id", "n"])
 

@@ -107,3 +107,14 @@ def test_bpe_digests(spark):
     want = [(i, len(ids := theirs.encode(t or "", add_special_tokens=False).ids), sha(",".join(map(str, ids))), sha(theirs.decode(ids, skip_special_tokens=False))) for i, t in rows]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert bpe.digests(docs(spark, []), tokenizer_file("byte_bpe_50k.json")).count() == 0
+
+
+def test_ids_are_counted_in_blocks(monkeypatch):
+    """A count as long as the vocabulary for each block of texts, not for each text."""
+    rng, calls, bincount = np.random.default_rng(1), [], np.bincount
+    texts = [rng.integers(0, rng.integers(1, 49_000), rng.integers(0, 30)).astype("<u2") for _ in range(3000)]
+    want = bincount(np.concatenate(texts))
+    monkeypatch.setattr(token_store.np, "bincount", lambda x: calls.append(len(x)) or bincount(x))
+    assert (token_store.totals(iter(texts)) == want).all() and len(calls) == 1
+    assert (token_store.totals(iter(texts), 1000) == want).all() and len(calls) < 60
+    assert len(token_store.totals(iter([]))) == 0
