@@ -37,9 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids of every document, and digests of the ids and of the text that they decode to."""
-    path = tokenizer_file("byte_bpe_50k.json")
-    ids = bpe.encoded(docs, path).withColumn("ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
-    return bpe.decoded(ids, path, ("n_tokens", "ids_sha256"), with_ids=True).select("doc_id", "n_tokens", "ids", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return bpe.digests(docs, tokenizer_file("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [("quality classifier", quality), ("simhash near-dedup", near_copies), ("benchmark decontamination", test_passages), ("pii", personal_data), ("bpe encoding and decoding", tokens)]

@@ -5,9 +5,9 @@ new, its rank by binary search over the sorted pair keys, takes each word's lowe
 merges all places of that pair in the word, left to right. Words without a known pair leave the
 array, so late rounds are short. Words are encoded once for each task's cache.
 
-`encoded` gives doc_id, n_tokens, ids for doc_id, text; `decoded` gives the texts for the ids.
-The ids are those of the tokenizers library with add_special_tokens=False; decoding is that of its
-decode(ids, skip_special_tokens=False).
+`encoded` gives doc_id, n_tokens, ids for doc_id, text; `decoded` gives the texts for the ids; `round_trip` gives both in one
+pass, so that a task has one Python worker with one vocabulary at a time. The ids are those of the tokenizers library with
+add_special_tokens=False; decoding is that of its decode(ids, skip_special_tokens=False).
 
 Null texts are empty: no ids, and an empty text back. Repeated rows and null doc_ids stay as they
 are, an empty table gives no rows, and other columns are only kept where `carry` names them. Whole texts are encoded, however
@@ -17,7 +17,7 @@ long; a text without spaces is one long word, which takes as many rounds as it h
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -34,7 +34,9 @@ _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: What a byte-level tokenizer cuts texts into before the merges (fixed by the vocabulary file's kind).
 _CUT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 _NEVER = np.int64(1 << 40)
-CACHED = 300_000
+CACHED = 100_000
+#: Characters whose words and ids are held at a time.
+PART_CHARS = 300_000
 
 
 def byte_chars() -> list[str]:
@@ -165,20 +167,36 @@ def bpe_of(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens long, ids array<int>, and the columns named by carry, of every row of docs."""
+def coder(path: str, back: bool, carry: tuple[str, ...] = ()) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For batches of doc_id, text and the columns named by carry: doc_id, n_tokens, ids, with `back` the text that these ids decode to, and those columns."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released()
         bpe = bpe_of(path)
         for batch in batches:
-            for part, texts in slices(batch):
+            for part, texts in slices(batch, limit=PART_CHARS):
                 ids, lens = bpe.encode(texts)
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lens), column, *part.columns[2:]], ["doc_id", "n_tokens", "ids", *carry])
+                again = [pa.array(bpe.decode(ids, lens), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lens), column, *again, *part.columns[2:]], ["doc_id", "n_tokens", "ids", *["text"] * back, *carry])
+        released()  # the worker stays while other stages run
+
+    return code
+
+
+def _coded(docs: DataFrame, path: str, back: bool, carry: tuple[str, ...]) -> DataFrame:
+    more = ", text string" * back + "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.select("doc_id", "text", *carry).mapInArrow(coder(path, back, carry), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>{more}")
+
+
+def encoded(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens long, ids array<int>, and the columns named by carry, of every row of docs."""
+    return _coded(docs, path, False, carry)
+
 
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select("doc_id", "text", *carry).mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids array<int>{more}")
+def round_trip(docs: DataFrame, path: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens long, ids array<int>, text string (what these ids decode to), and the columns named by carry, of every row of docs."""
+    return _coded(docs, path, True, carry)
 
 
 def decoded(ids: DataFrame, path: str, carry: tuple[str, ...] = (), with_ids: bool = False) -> DataFrame:
@@ -198,10 +216,10 @@ def decoded(ids: DataFrame, path: str, carry: tuple[str, ...] = (), with_ids: bo
     return ids.select("doc_id", "ids", *carry).mapInArrow(decode, f"doc_id {ids.schema['doc_id'].dataType.simpleString()}, text string{more}")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: every text there and back."""
-    ids = encoded(docs, path).withColumn("ids_sha256", F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256))
-    return decoded(ids, path, ("n_tokens", "ids_sha256")).select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, if asked for ids, ids_sha256, decoded_sha256: every text there and back."""
+    ids_sha256 = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256")
+    return round_trip(docs, path).select("doc_id", "n_tokens", *["ids"] * with_ids, ids_sha256, F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

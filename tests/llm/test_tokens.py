@@ -4,9 +4,11 @@ import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gridloom.llm import bpe, rans, token_store
 from gridloom.llm._shared import new_path
 from gridloom.llm.token_store import tokenizer_file
@@ -109,6 +111,29 @@ def test_bpe_digests(spark):
     assert bpe.digests(docs(spark, []), tokenizer_file("byte_bpe_50k.json")).count() == 0
 
 
+def test_there_and_back_takes_one_worker(spark):
+    """Chained, encoding and decoding have two Python workers for each task at a time, each with a vocabulary."""
+    rows = wide(spark, [(1, "Hello  world\n"), (1, "Hello  world\n"), (None, None), (3, ""), (4, "<|endoftext|> ½²"), (5, "y" * 20_000)])
+    path = tokenizer_file("byte_bpe_50k.json")
+    for out in (bpe.digests(rows, path), corpus_pipeline.tokens(spark, rows, "")):
+        assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ids = bpe.encoded(rows, path, ("source",))
+    apart = bpe.decoded(ids, path, ("n_tokens", "source"), with_ids=True).select("doc_id", "n_tokens", "ids", "text", "source")
+    got, want = (sorted(x.collect(), key=str) for x in (bpe.round_trip(rows, path, ("source",)), apart))
+    assert got == want and [r["text"] for r in got if r["doc_id"] == 4] == ["<|endoftext|> ½²"]
+
+
+def test_texts_are_coded_in_parts(monkeypatch):
+    """What a worker holds of words and ids is bounded, whatever a batch has."""
+    texts, seen = [f"w{i} " * 50 for i in range(200)], []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(texts)], ["doc_id", "text"])
+    encode = bpe.ByteBpe.encode
+    monkeypatch.setattr(bpe, "PART_CHARS", 5_000)
+    monkeypatch.setattr(bpe.ByteBpe, "encode", lambda self, part: seen.append(sum(map(len, part))) or encode(self, part))
+    made = bpe.coder(tokenizer_file("byte_bpe_50k.json"), back=True)(iter([batch]))
+    assert [t for b in made for t in b.column("text").to_pylist()] == texts and max(seen) < 5_500 and len(seen) > 5
+
+
 def test_ids_are_counted_in_blocks(monkeypatch):
     """A count as long as the vocabulary for each block of texts, not for each text."""
     rng, calls, bincount = np.random.default_rng(1), [], np.bincount
