@@ -36,8 +36,9 @@ def hourly_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(series.barrier(A.readings(spark, sf_dir, "hour"), "tick", "meter", ["ts", "event_id"], ["p_kw"], METERS))
 
 
-#: Rows of a file that is streamed.
+#: Rows of a file that is streamed, and files of a batch at most.
 FILE_ROWS = 100_000
+BATCH_FILES = 32
 
 
 def _by_size(rows: DataFrame, *keys: str, least: int = 3) -> DataFrame:
@@ -45,6 +46,11 @@ def _by_size(rows: DataFrame, *keys: str, least: int = 3) -> DataFrame:
     return rows.repartition(max(least, rows.count() // FILE_ROWS), *keys)
 
 
+def _at_once(n: int, batches: int, least: int = 1) -> int:
+    """Of n rows in files of FILE_ROWS, how many of these a batch takes: as a batch costs a second or two whatever it holds, their number shall not grow with the table before they are large."""
+    return max(least, min(BATCH_FILES, n // FILE_ROWS // batches))
+
+
 def _as_files(rows: DataFrame, files: int) -> str:
     """rows as files to be streamed, so many at least, dealt out without order."""
     path = f"{shared_dir(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
@@ -60,14 +66,16 @@ def _streamed(stream: DataFrame, kind: str = "parquet") -> DataFrame:
     return spark.read.schema(stream.schema).format(kind).option("header", True).load(path)
 
 
-def _events_in_batches(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
-    """A stream of all events, a file at a time and in no order of time, and after them a reading of no meter, years later, which ends all ticks."""
+def _events_in_batches(spark: SparkSession, sf_dir: str, files: int) -> tuple[DataFrame, str]:
+    """A stream of all events, in so many batches or more and in no order of time, and after them a reading of no meter, years later, which ends all ticks. And how late a reading may come: 400 days, or the events' whole span if that is more."""
     rows = A.readings(spark, sf_dir).select(F.col("tick").cast("timestamp").alias("tick"), "meter", F.col("ts").cast("timestamp").alias("ts"), "event_id", "p_kw")
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     _by_size(rows, least=files).write.parquet(path)
-    end = rows.agg(F.max("ts").alias("ts")).select(F.col("ts") + F.expr("INTERVAL 9 YEARS"))
+    n, days = rows.agg(F.count("*"), F.coalesce(F.datediff(F.max("ts"), F.min("ts")), F.lit(0))).first()
+    late = max(400, days + 2)
+    end = rows.agg(F.max("ts").alias("ts")).select(F.expr(f"ts + INTERVAL 9 YEARS + INTERVAL {late} DAYS"))
     end.select(F.date_trunc("day", end[0]).alias("tick"), F.lit("none").alias("meter"), end[0].alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("p_kw")).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _at_once(n, files)).parquet(path), f"{late} days"
 
 
 @query("""
@@ -94,8 +102,8 @@ def late_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LAST.format('day')} {_FULL}")
 def tick_barrier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete day ticks through a stateful stream of the raw events, in many batches."""
-    stream = _events_in_batches(spark, sf_dir, 6).withWatermark("ts", "400 days")
-    stream = stream.withColumns({"at": F.unix_micros("ts"), "end": F.col("tick") + F.expr("INTERVAL 1 DAY")})
+    stream, late = _events_in_batches(spark, sf_dir, 6)
+    stream = stream.withWatermark("ts", late).withColumns({"at": F.unix_micros("ts"), "end": F.col("tick") + F.expr("INTERVAL 1 DAY")})
     out = _streamed(barrier.closed(stream, "tick", "meter", ["at", "event_id"], ["p_kw"], METERS, "end")).filter("complete")
     return _totals(out.withColumn("tick", F.col("tick").cast("timestamp_ntz")))
 
@@ -123,8 +131,8 @@ def tick_barrier_emitting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LAST.format('hour')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters FROM last GROUP BY 1 HAVING count(*) < 5")
 def incomplete_ticks_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours that lack a meter, as the stream tells them at their end."""
-    stream = _events_in_batches(spark, sf_dir, 3).withColumn("tick", F.date_trunc("hour", "ts")).withWatermark("ts", "400 days")
-    stream = stream.withColumn("end", F.col("tick") + F.expr("INTERVAL 1 HOUR"))
+    stream, late = _events_in_batches(spark, sf_dir, 3)
+    stream = stream.withColumn("tick", F.date_trunc("hour", "ts")).withWatermark("ts", late).withColumn("end", F.col("tick") + F.expr("INTERVAL 1 HOUR"))
     out = _streamed(barrier.closed(stream, "tick", "meter", "event_id", ["p_kw"], METERS, "end")).filter("NOT complete")
     return out.withColumn("tick", F.col("tick").cast("timestamp_ntz")).groupBy("tick").agg(F.count("*").alias("n_meters"))
 
@@ -145,7 +153,8 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_LAST.format('day')} SELECT CAST(tick AS TIMESTAMP) AS tick, count(*) AS n_meters, round(sum(p_kw), 6) AS total FROM last GROUP BY 1 HAVING count(*) >= 5")
 def watermark_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day totals by watermark and windows alone, from the raw events in many batches."""
-    out = _streamed(barrier.tick_totals(_events_in_batches(spark, sf_dir, 4), "ts", "meter", "p_kw", "1 day", "400 days", METERS, "event_id"))
+    stream, late = _events_in_batches(spark, sf_dir, 4)
+    out = _streamed(barrier.tick_totals(stream, "ts", "meter", "p_kw", "1 day", late, METERS, "event_id"))
     return out.select(F.col("tick").cast("timestamp_ntz").alias("tick"), "n_meters", F.round("total", 6).alias("total"))
 
 

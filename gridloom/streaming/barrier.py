@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,43 +42,131 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) ->
     return keyed_json(messages).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
+#: Rows of a task that are looked through at once for those that later ones of their meter and tick outdo.
+COMBINED_ROWS = 50_000
+
+
+def _undone(rows: pa.Table, keys: list[str], order: list[str], event_time: str | None) -> pa.Table:
+    """rows without those that another of the same keys outdoes, which is not before them by `order` nor, where that is given, by event time. Rows that lack one of these stay."""
+    ints = [rows.column(c).cast(pa.int64()) for c in [*order, *([event_time] if event_time else [])]]
+    lacking = np.zeros(len(rows), bool)
+    for c in ints:
+        lacking |= c.is_null().to_numpy()
+    at = np.flatnonzero(~lacking)
+    own = rows.take(pa.array(at))
+    codes = [own.column(c).combine_chunks().dictionary_encode("encode").indices.to_numpy() for c in keys]
+    ints = [c.take(pa.array(at)).to_numpy() for c in ints]
+    placed = np.lexsort([*reversed(ints[: len(order)]), *reversed(codes)])[::-1]  # each key's last reading first; of equal ones the last that came
+    first = np.ones(len(at), bool)
+    first[1:] = np.any([c[placed][1:] != c[placed][:-1] for c in codes], axis=0)
+    kept = first
+    if event_time and len(at):
+        rank = np.unique(ints[-1], return_inverse=True)[1][placed] + np.cumsum(first) * len(at)  # grows from key to key
+        kept = first | np.append(True, rank[1:] > np.maximum.accumulate(rank)[:-1])
+    return rows.take(pa.array(np.sort(np.append(at[placed[kept]], np.flatnonzero(lacking)))))
+
+
+def combined(stream: DataFrame, keys: list[str], order: list[str], event_time: str | None = None) -> DataFrame:
+    """The stream without readings that are outdone by others of their keys that the same task reads in the same batch, so that a shuffle takes few rows where a key has many.
+
+    With an event time nothing is taken that could count once a watermark drops its betters: of two readings the one before by `order` (longs) goes only if its event time isn't after the other's, so the watermark stays as well.
+    """
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, n = [], 0
+        for batch in batches:
+            parts, n = [*parts, batch], n + batch.num_rows
+            if n >= COMBINED_ROWS:
+                rows = _undone(pa.Table.from_batches(parts), keys, order, event_time)
+                parts, n = rows.to_batches(), len(rows)
+                if n >= COMBINED_ROWS // 2:
+                    yield from parts
+                    parts, n = [], 0
+        if n:
+            yield from _undone(pa.Table.from_batches(parts), keys, order, event_time).to_batches()
+
+    return stream.mapInArrow(kept, stream.schema)  # with the schema's mark of a watermark
+
+
+def _rocksdb(spark: SparkSession) -> None:
+    """The state store of the barriers, which writes what a batch changed and not all that it holds."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+def _lasts(part: pd.DataFrame, meter: str, order: list[str], values: list[str]) -> Iterator[tuple[str, tuple[Any, ...]]]:
+    """Each meter of a part with the order and values of its last reading. In plain Python, as most parts are of a few rows."""
+    best, n = {}, len(order)
+    for name, *own in zip(*(part[c].tolist() for c in (meter, *order, *values)), strict=True):
+        at = tuple(map(int, own[:n]))
+        if name not in best or best[name][:n] <= at:
+            best[name] = (*at, *(None if x is None or x != x else float(x) for x in own[n:]))  # not a number: null
+    yield from best.items()
+
+
+def _frame(tick: str, key: Any, meter: str, values: list[str], held: list[tuple[str, tuple[float | None, ...]]], more: dict[str, Any]) -> pd.DataFrame:
+    """Rows of one tick: held has each meter's values."""
+    own = {tick: [key] * len(held), meter: [k for k, _ in held]}
+    return pd.DataFrame(own | {v: [x[i] for _, x in held] for i, v in enumerate(values)} | {k: [v] * len(held) for k, v in more.items()})
+
+
 class _Barrier(StatefulProcessor):
     """The readings of one tick: a map of meters to their last one, and a mark once the tick was sent."""
 
-    def __init__(self, tick: str, meter: str, order: list[str], values: list[str], expected: int, ttl_ms: int | None, end: str | None) -> None:
-        self.tick, self.meter, self.order, self.values, self.expected, self.ttl_ms, self.end = tick, meter, order, values, expected, ttl_ms, end
+    def __init__(self, tick: str, meter: str, order: list[str], values: list[str], expected: int, ttl_ms: int | None) -> None:
+        self.tick, self.meter, self.order, self.values, self.expected, self.ttl_ms = tick, meter, order, values, expected, ttl_ms
         self.n = len(order)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.held = handle.getMapState("held", "meter string", ", ".join([*(f"at{i} long" for i in range(self.n)), *(f"v{i} double" for i in range(len(self.values)))]), self.ttl_ms)
         self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
 
-    def _rows(self, key: tuple[Any], more: dict[str, list[Any]]) -> pd.DataFrame:
-        held = sorted((k[0], tuple(v)[self.n :]) for k, v in self.held.iterator())
-        own = {self.tick: [key[0]] * len(held), self.meter: [k for k, _ in held]}
-        return pd.DataFrame(own | {v: pd.array([x[i] for _, x in held], dtype="Float64") for i, v in enumerate(self.values)} | {k: v * len(held) for k, v in more.items()})
-
     def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if self.sent.exists():
             return
         for part in rows:
-            last = part.sort_values(self.order, kind="stable").drop_duplicates(self.meter, keep="last")  # one for each meter
-            for name, *own in last[[self.meter, *self.order, *self.values]].itertuples(index=False):
-                at = tuple(map(int, own[: self.n]))
-                if not self.held.containsKey((name,)) or tuple(self.held.getValue((name,)))[: self.n] <= at:
-                    self.held.updateValue((name,), (*at, *(None if pd.isna(x) else float(x) for x in own[self.n :])))
-            if self.end and len(part):
-                self.handle.registerTimer(int(part[self.end].iloc[0].timestamp() * 1000))
-        if not self.end and sum(1 for _ in self.held.keys()) >= self.expected:
-            yield self._rows(key, {})
+            for name, own in _lasts(part, self.meter, self.order, self.values):
+                before = self.held.getValue((name,)) if self.held.containsKey((name,)) else None
+                if before is None or tuple(before)[: self.n] <= own[: self.n]:
+                    self.held.updateValue((name,), own)
+        if sum(1 for _ in self.held.keys()) >= self.expected:
+            yield _frame(self.tick, key[0], self.meter, self.values, sorted((k[0], tuple(v)[self.n :]) for k, v in self.held.iterator()), {})
             self.held.clear()
             self.sent.update((True,))
 
+    def close(self) -> None:
+        pass
+
+
+class _Closed(StatefulProcessor):
+    """The last readings of one tick until its end: one list, which a batch with readings of the tick reads and writes once."""
+
+    def __init__(self, tick: str, meter: str, order: list[str], values: list[str], expected: int, end: str) -> None:
+        self.tick, self.meter, self.order, self.values, self.expected, self.end = tick, meter, order, values, expected, end
+        self.n = len(order)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", ", ".join(["meter string", *(f"at{i} long" for i in range(self.n)), *(f"v{i} double" for i in range(len(self.values)))]))
+
+    def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = {k: tuple(own) for k, *own in self.held.get()}
+        new, changed = not held, False
+        for part in rows:
+            for name, own in _lasts(part, self.meter, self.order, self.values):
+                if name not in held or held[name][: self.n] <= own[: self.n]:
+                    held[name], changed = own, True
+            if new and len(part):
+                self.handle.registerTimer(int(part[self.end].iloc[0].timestamp() * 1000))
+                new = False
+        if changed:
+            self.held.put([(k, *own) for k, own in held.items()])
+        return iter(())
+
     def handleExpiredTimer(self, key: tuple[Any], timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        made = self._rows(key, {"complete": [sum(1 for _ in self.held.keys()) >= self.expected]})
+        held = sorted((k, tuple(own)[self.n :]) for k, *own in self.held.get())
         self.held.clear()
-        yield made
+        yield _frame(self.tick, key[0], self.meter, self.values, held, {"complete": len(held) >= self.expected})
 
     def close(self) -> None:
         pass
@@ -181,9 +271,9 @@ def assembled(stream: DataFrame, meters: DataFrame, tick: str, meter: str, order
     return both.groupBy(tick, meter).transformWithStateInPandas(_Last(tick, meter, orders, values, ttl_ms), f"{at}, {meter} string, " + ", ".join(f"{v} double" for v in values), "Append", mode)
 
 
-def _stateful(stream: DataFrame, processor: _Barrier, columns: list[str], more: str, mode: str) -> DataFrame:
-    """A barrier over a stream. Its maps need the RocksDB state store, which the session is set to."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def _stateful(stream: DataFrame, processor: _Barrier | _Closed, columns: list[str], more: str, mode: str) -> DataFrame:
+    """A barrier over a stream. Its maps and lists need the RocksDB state store, which the session is set to."""
+    _rocksdb(stream.sparkSession)
     out = f"{processor.tick} {stream.schema[processor.tick].dataType.simpleString()}, {processor.meter} string, " + ", ".join(f"{v} double" for v in processor.values) + more
     return stream.select(*columns).groupBy(processor.tick).transformWithStateInPandas(processor, out, "Append", mode)
 
@@ -195,7 +285,7 @@ def completed(stream: DataFrame, tick: str, meter: str, order: str | list[str],
     With ttl_ms, readings and marks are forgotten so long after they were written.
     """
     orders = [order] if isinstance(order, str) else order
-    return _stateful(stream, _Barrier(tick, meter, orders, values, expected, ttl_ms, None), [*dict.fromkeys([tick, meter, *orders, *values])], "", "None" if ttl_ms is None else "ProcessingTime")
+    return _stateful(stream, _Barrier(tick, meter, orders, values, expected, ttl_ms), [*dict.fromkeys([tick, meter, *orders, *values])], "", "None" if ttl_ms is None else "ProcessingTime")
 
 
 def closed(stream: DataFrame, tick: str, meter: str, order: str | list[str], values: list[str], expected: int, end: str) -> DataFrame:
@@ -203,7 +293,9 @@ def closed(stream: DataFrame, tick: str, meter: str, order: str | list[str], val
     whether `expected` meters reported, so ticks that lack one are told as well. Readings later than the watermark are dropped, and nothing of a tick stays behind."""
     orders = [order] if isinstance(order, str) else order
     marked = [f.name for f in stream.schema.fields if "spark.watermarkDelayMs" in f.metadata]  # without it late rows aren't known
-    return _stateful(stream, _Barrier(tick, meter, orders, values, expected, None, end), [*dict.fromkeys([tick, meter, *orders, *values, end, *marked])], ", complete boolean", "EventTime")
+    columns = [*dict.fromkeys([tick, meter, *orders, *values, end, *marked])]
+    own = combined(stream.select(*columns), [tick, meter], orders, marked[0]) if len(marked) == 1 else stream
+    return _stateful(own, _Closed(tick, meter, orders, values, expected, end), columns, ", complete boolean", "EventTime")
 
 
 def tick_totals(stream: DataFrame, event_time: str, meter: str, value: str, width: str, late: str, expected: int, order: str | None = None) -> DataFrame:
@@ -214,6 +306,16 @@ def tick_totals(stream: DataFrame, event_time: str, meter: str, value: str, widt
 
 
 def appended(stream: DataFrame, path: str, checkpoint: str, kind: str = "parquet", now: bool = True) -> StreamingQuery:
-    """The stream as files below path; each micro-batch counts once. `now` ends after what is there."""
+    """The stream as files below path; each micro-batch counts once. `now` ends after what is there.
+
+    A state store's partition costs a batch the same however little it holds, so there are no more of them than cores, whatever number of shuffle partitions the session has; a checkpoint keeps the number it began with.
+    """
     writer = stream.writeStream.format(kind).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).option("header", True)
-    return (writer.trigger(availableNow=True) if now else writer.trigger(processingTime="1 second")).start()
+    writer = writer.trigger(availableNow=True) if now else writer.trigger(processingTime="1 second")
+    conf, name = stream.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    conf.set(name, min(int(before), stream.sparkSession.sparkContext.defaultParallelism))
+    try:
+        return writer.start()  # takes the session's settings as they are now
+    finally:
+        conf.set(name, before)

@@ -1,12 +1,15 @@
 """Streams by stages and by the clock, and energy by timestamps."""
 
 import datetime
+import pathlib
 import random
 
+import duckdb
 import pytest
 
 from gridloom.operators import series
 from gridloom.operators.order import with_next
+from gridloom.plans import catalog, telemetry
 from gridloom.streaming import barrier, clock
 
 
@@ -80,3 +83,71 @@ def test_demand_adds_up_to_the_whole(spark):
     assert got == pytest.approx(want)
     whole = {r["m"]: r["kwh"] for r in spans.selectExpr("m", "kw * hours AS e").groupBy("m").agg({"e": "sum"}).toDF("m", "kwh").collect()}
     assert {m: sum(v for (x, _), v in got.items() if x == m) for m in "ab"} == pytest.approx(whole)
+
+
+def _events(spark, path, days, n=1200):
+    """Events at random times of these days, which many hours lack a kind of, with ids that don't follow time."""
+    rng, t0 = random.Random(5), datetime.datetime(2020, 1, 1)
+    rows = [(i, t0 + datetime.timedelta(days=rng.choice(days), minutes=rng.randrange(150)), rng.choice("abcde"), float(rng.randrange(99))) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.parquet(f"{path}/events.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW events AS SELECT * FROM '{path}/events.parquet/*.parquet'")
+    return duck
+
+
+@pytest.fixture
+def runs(monkeypatch):
+    """Streams that ran, each with its number of batches and of its state's partitions."""
+    seen, started = [], barrier.appended
+
+    def appended(stream, path, checkpoint, *more, **named):
+        run = started(stream, path, checkpoint, *more, **named)
+        run.awaitTermination()
+        at = pathlib.Path(checkpoint.removeprefix("file://"))
+        seen.append((len(list((at / "commits").glob("[0-9]*"))), len(list((at / "state" / "0").glob("[0-9]*")))))
+        return run
+
+    monkeypatch.setattr(barrier, "appended", appended)
+    return seen
+
+
+@pytest.mark.parametrize("name, days", [("incomplete_ticks_stream", range(2900)), ("watermark_totals", [*range(30), *range(1000, 1030)])])
+def test_streams_over_years_in_many_files(spark, tmp_path, monkeypatch, runs, name, days):
+    """Readings of years come in no order, and none is late. Batches take more files where there are many, and the state has no more partitions than there are cores."""
+    monkeypatch.setattr(telemetry, "FILE_ROWS", 30)
+    duck, conf, before = _events(spark, tmp_path, days), "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(conf, 9)
+    try:
+        got = sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect()))
+        assert spark.conf.get(conf) == "9"
+    finally:
+        spark.conf.set(conf, before)
+    assert got and got == sorted(duck.sql(catalog.ORACLES[name]).fetchall())
+    assert [(n <= 12, parts) for n, parts in runs] == [(True, spark.sparkContext.defaultParallelism)]  # of 40 files and one
+
+
+@pytest.mark.parametrize("seed, limit", [(0, 50_000), (1, 40), (2, 7)])
+def test_combined_readings_are_those_that_may_count(spark, monkeypatch, seed, limit):
+    """Whatever a watermark drops, the last reading of those left is the same; without an event time, one of a key is left of what a task has."""
+    monkeypatch.setattr(barrier, "COMBINED_ROWS", limit)
+    rng = random.Random(seed)
+    when = lambda h: None if h is None else datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=h)
+    rows = [(rng.choice([1, 2, None]), rng.choice("abc"), rng.randrange(30), rng.choice([None, *range(9)]) if i % 9 else None, when(rng.choice([None, *range(40)])), float(i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "tick long, meter string, at long, n long, ts timestamp_ntz, v double").coalesce(1)
+    whole = lambda r: r[2] is not None and r[3] is not None
+
+    def best(found, least=None):
+        out = {}
+        for r in found:
+            if whole(r) and (least is None or r[4] is None or r[4] > when(least)):
+                out[r[:2]] = max(out.get(r[:2], (-1,)), (r[2], r[3]))
+        return out
+
+    kept = [tuple(r) for r in barrier.combined(df, ["tick", "meter"], ["at", "n"], "ts").collect()]
+    assert len(kept) < 400 and set(kept) <= set(rows) and {r for r in rows if None in r[2:5]} <= set(kept) and max(r[4] for r in kept if r[4]) == max(r[4] for r in rows if r[4])
+    assert all(best(kept, h) == best(rows, h) for h in range(-1, 41))
+    last = [tuple(r) for r in barrier.combined(df, ["tick", "meter"], ["at", "n"]).collect()]
+    assert best(last) == best(rows)
+    if limit == 50_000:
+        assert len([r for r in last if whole(r)]) == len(best(rows))
+        assert {r[:2]: r for r in last if whole(r)} == {r[:2]: r for r in sorted(filter(whole, rows), key=lambda r: (r[2], r[3]))}  # of equal ones the last that came
