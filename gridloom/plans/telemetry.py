@@ -119,8 +119,8 @@ def tick_barrier_emitting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("at", F.unix_micros("ts")).select("tick", "meter", "at", "event_id", "p_kw")
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     rows.limit(0).write.parquet(path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    sent = barrier.assembled(stream, rows.select("meter").distinct(), "tick", "meter", ["at", "event_id"], ["p_kw"])
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _at_once(rows.count(), 3, least=2)).parquet(path)
+    sent = barrier.assembled(stream, staged(rows.select("meter").distinct()), "tick", "meter", ["at", "event_id"], ["p_kw"])
     early, out = F.col("meter").isin("click", "error"), f"{path}-out"
     for part in (_by_size(rows.filter(early)), _by_size(rows.filter(~early), "tick"), _by_size(rows.withColumns({"at": F.col("at") + 1, "p_kw": F.lit(-1.0)}))):
         part.write.mode("append").parquet(path)

@@ -214,57 +214,60 @@ class _Reported(StatefulProcessor):
 
 
 class _Last(StatefulProcessor):
-    """A meter's last reading of a tick, kept until the tick is told complete, then sent; what comes after is dropped."""
+    """A meter's last reading of a tick, kept until the tick is told complete, then sent; a mark stays, and what comes after is dropped."""
 
     def __init__(self, tick: str, meter: str, order: list[str], values: list[str], ttl_ms: int | None) -> None:
         self.tick, self.meter, self.order, self.values, self.ttl_ms = tick, meter, order, values, ttl_ms
         self.n, self.columns = len(order), [*dict.fromkeys([tick, meter, *order, *values]), "_complete"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", ", ".join([*(f"at{i} long" for i in range(self.n)), *(f"v{i} double" for i in range(len(self.values)))]), self.ttl_ms)
-        self.sent = handle.getValueState("sent", "sent boolean", self.ttl_ms)
+        self.held = handle.getValueState("held", ", ".join(["sent boolean", *(f"at{i} long" for i in range(self.n)), *(f"v{i} double" for i in range(len(self.values)))]), self.ttl_ms)
 
     def handleInputRows(self, key: tuple[Any], rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        if self.sent.exists():
+        sent, *before = tuple(self.held.get() or (False,))
+        if sent:
             for _ in rows:
                 pass
             return
-        best, complete = tuple(self.held.get()) if self.held.exists() else None, False
+        best, complete = tuple(before) or None, False
         for part in rows:
             part = part.set_axis(self.columns, axis=1)  # over a union, names may be lost on the way here
-            complete = complete or bool(part["_complete"].any())
-            for own in part.loc[~part["_complete"], [*self.order, *self.values]].itertuples(index=False):
-                at = tuple(map(int, own[: self.n]))
-                if best is None or best[: self.n] <= at:
-                    best = (*at, *(None if pd.isna(x) else float(x) for x in own[self.n :]))
+            told = part["_complete"].astype(bool)
+            complete = complete or bool(told.any())
+            for _, own in _lasts(part[~told], self.meter, self.order, self.values):
+                if best is None or best[: self.n] <= own[: self.n]:
+                    best = own
         if best is not None and complete:
-            yield pd.DataFrame({self.tick: [key[0]], self.meter: [key[1]]} | {v: pd.array([x], dtype="Float64") for v, x in zip(self.values, best[self.n :], strict=True)})
-            self.held.clear()
-            self.sent.update((True,))
+            yield _frame(self.tick, key[0], self.meter, self.values, [(key[1], best[self.n :])], {})
+            self.held.update((True, *[None] * len(best)))
         elif best is not None:
-            self.held.update(best)
+            self.held.update((False, *best))
 
     def close(self) -> None:
         pass
 
 
-def assembled(stream: DataFrame, meters: DataFrame, tick: str, meter: str, order: str | list[str], values: list[str], ttl_ms: int | None = None, salts: int = 64) -> DataFrame:
+def assembled(stream: DataFrame, meters: DataFrame, tick: str, meter: str, order: str | list[str], values: list[str], ttl_ms: int | None = None, salts: int | None = None) -> DataFrame:
     """tick, meter and values (doubles) of each tick, in the batch in which the last of meters (a column of that name, distinct) reports; the last reading by `order` (one or more longs) until then counts.
 
-    For ticks of any number of meters: a reading meets only others of its tick and meter. First reports are counted in `salts` parts of a tick, and the parts' counts, a row each, by tick; a tick that has all its
-    meters is told to each of them, which sends what it holds. So a key's state is one reading or one number. Readings of other meters, and those after their tick was sent, are dropped. With ttl_ms, what is held
+    For ticks of any number of meters: a reading meets only others of its tick and meter. First reports are counted in `salts` parts of a tick (unless given, 64 for over 4,096 meters, else none), and the parts'
+    counts, a row each, by tick; a tick that has all its meters is told to each of them, which sends what it holds. So a key's state is one reading or one number. Readings of other meters, and those after their tick was sent, are dropped. With ttl_ms, what is held
     and the marks of what was sent are forgotten so long after they were written; else marks stay, so that nothing is sent twice however late it comes again.
     """
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _rocksdb(stream.sparkSession)
     orders = [order] if isinstance(order, str) else order
     known, mode = meters.select(meter).distinct(), "None" if ttl_ms is None else "ProcessingTime"
     expected = known.count()
-    own = stream.select(*dict.fromkeys([tick, meter, *orders, *values])).join(known, meter, "left_semi")
+    own = combined(stream.select(*dict.fromkeys([tick, meter, *orders, *values])).join(known, meter, "left_semi").select(*dict.fromkeys([tick, meter, *orders, *values])), [tick, meter], orders)
     at = f"{tick} {stream.schema[tick].dataType.simpleString()}"
-    first = own.select(tick, meter).groupBy(tick, meter).transformWithStateInPandas(_Reported([tick, meter], ttl_ms), f"{at}, {meter} string, n long", "Append", mode)
-    parts = first.select(tick, F.pmod(F.xxhash64(meter), F.lit(salts)).cast("int").alias("_salt"), "n").groupBy(tick, "_salt").transformWithStateInPandas(_Counted([tick, "_salt"], None, ttl_ms), f"{at}, _salt int, n long", "Append", mode)
-    full = parts.select(tick, "n").groupBy(tick).transformWithStateInPandas(_Counted([tick], expected, ttl_ms), f"{at}, n long", "Append", mode)
+    if ttl_ms is None and "spark.watermarkDelayMs" not in stream.schema[tick].metadata:  # by a watermark, Spark would drop marks and late ticks
+        counts = own.select(tick, meter).dropDuplicates([tick, meter]).withColumn("n", F.lit(1).cast("long"))
+    else:
+        counts = own.select(tick, meter).groupBy(tick, meter).transformWithStateInPandas(_Reported([tick, meter], ttl_ms), f"{at}, {meter} string, n long", "Append", mode)
+    parts = salts or (64 if expected > 4096 else None)
+    if parts:
+        counts = counts.select(tick, F.pmod(F.xxhash64(meter), F.lit(parts)).cast("int").alias("_salt"), "n").groupBy(tick, "_salt").transformWithStateInPandas(_Counted([tick, "_salt"], None, ttl_ms), f"{at}, _salt int, n long", "Append", mode)
+    full = counts.select(tick, "n").groupBy(tick).transformWithStateInPandas(_Counted([tick], expected, ttl_ms), f"{at}, n long", "Append", mode)
     nothing = [F.lit(None).cast(stream.schema[c].dataType).alias(c) for c in dict.fromkeys([*orders, *values])]
     told = full.join(known).select(tick, meter, *nothing, F.lit(True).alias("_complete"))  # a row for each meter of a tick that is sent
     both = own.withColumn("_complete", F.lit(False)).select(*told.columns).unionByName(told)

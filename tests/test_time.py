@@ -126,6 +126,14 @@ def test_streams_over_years_in_many_files(spark, tmp_path, monkeypatch, runs, na
     assert [(n <= 12, parts) for n, parts in runs] == [(True, spark.sparkContext.defaultParallelism)]  # of 40 files and one
 
 
+def test_emitting_in_many_files(spark, tmp_path, monkeypatch, runs):
+    monkeypatch.setattr(telemetry, "FILE_ROWS", 30)
+    duck = _events(spark, tmp_path, range(60))
+    got = sorted(map(tuple, catalog.QUERIES["tick_barrier_emitting"](spark, str(tmp_path)).collect()))
+    assert got and got == sorted(duck.sql(catalog.ORACLES["tick_barrier_emitting"]).fetchall())
+    assert [n <= 16 for n, _ in runs] == [True] * 3 and runs[0][0] < runs[1][0] < runs[2][0]  # of 80 files; it goes on each time
+
+
 @pytest.mark.parametrize("seed, limit", [(0, 50_000), (1, 40), (2, 7)])
 def test_combined_readings_are_those_that_may_count(spark, monkeypatch, seed, limit):
     """Whatever a watermark drops, the last reading of those left is the same; without an event time, one of a key is left of what a task has."""
@@ -151,3 +159,19 @@ def test_combined_readings_are_those_that_may_count(spark, monkeypatch, seed, li
     if limit == 50_000:
         assert len([r for r in last if whole(r)]) == len(best(rows))
         assert {r[:2]: r for r in last if whole(r)} == {r[:2]: r for r in sorted(filter(whole, rows), key=lambda r: (r[2], r[3]))}  # of equal ones the last that came
+
+
+def test_assembled_with_a_time_to_live_and_without_parts(spark, tmp_path):
+    source, held, sent = tmp_path / "in", {}, {}
+    source.mkdir()
+    rng, meters = random.Random(7), spark.createDataFrame([(m,) for m in "abcd"], "meter string")
+    for k, own in enumerate([{1: "abc", 2: "abcd", 3: "a"}, {1: "abcd", 2: "bc", 3: "bcd"}]):
+        part = [(t, m, at, rng.random()) for t, ms in own.items() for m in ms for at in rng.sample(range(99), 5)]
+        (source / f"{k}.json").write_text("\n".join(f'{{"tick": {t}, "meter": "{m}", "at": {a}, "v": {v}}}' for t, m, a, v in part))
+        stream = barrier.replayed(spark, str(source), "tick long, meter string, at long, v double")
+        barrier.appended(barrier.assembled(stream, meters, "tick", "meter", "at", ["v"], 3_600_000), str(tmp_path / "out"), f"{tmp_path}/checkpoint").awaitTermination()
+        for t, m, a, v in part:
+            held[t, m] = max(held.get((t, m), (-1, 0.0)), (a, v))
+        sent |= {t: {(t, m, held[t, m][1]) for m in "abcd"} for t in own if t not in sent and all((t, m) in held for m in "abcd")}
+        assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == set().union(*sent.values())
+    assert len(sent) == 3
