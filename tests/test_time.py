@@ -111,7 +111,7 @@ def runs(monkeypatch):
     return seen
 
 
-@pytest.mark.parametrize("name, days", [("incomplete_ticks_stream", range(2900)), ("watermark_totals", [*range(30), *range(1000, 1030)])])
+@pytest.mark.parametrize("name, days", [("incomplete_ticks_stream", range(2900)), ("tick_barrier_stream", [*range(30), *range(1000, 1030)]), ("watermark_totals", [*range(30), *range(1000, 1030)])])
 def test_streams_over_years_in_many_files(spark, tmp_path, monkeypatch, runs, name, days):
     """Readings of years come in no order, and none is late. Batches take more files where there are many, and the state has no more partitions than there are cores."""
     monkeypatch.setattr(telemetry, "FILE_ROWS", 30)
